@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, linededup, pieces, quality, toxicity, warc
+from . import decontaminate, htmltext, jaccard, linededup, pieces, quality, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,7 @@ def _on(run: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, s
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": _on(pieces.query, "documents"),
+        "op10_jaccard_join": _on(jaccard.query, "documents"),
         "op2_line_dedup": _on(linededup.query, "documents"),
         "op5_quality_rules": _on(quality.query, "documents", "labels"),
         "op6_toxicity": _on(toxicity.query, "documents", "labels"),
