@@ -19,20 +19,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Letters of distinct segments that are matched at once, and of text that is held at once.
 MATCH_LETTERS = 400_000
-HOLD_LETTERS = 8_000_000
+HOLD_LETTERS = 4_000_000
 #: Segments whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class Pieces:
@@ -69,9 +71,13 @@ class Pieces:
         self.ids = np.array(sorted(own, key=lambda i: (len(self.pieces[i]), i)), dtype=np.int64)
         self.lengths = np.array([len(self.pieces[i]) for i in self.ids], dtype=np.int64)
         self.longest = int(self.lengths[-1])
-        self.patterns = np.zeros((len(own), self.longest), dtype=np.uint32)
+        # letters numbered in order, from 1; 0 stands between segments
+        self.number = np.zeros(0x110000, dtype=np.uint16)
+        self.number[sorted(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        self.bits = len(letters).bit_length()
+        self.patterns = np.zeros((len(own), self.longest), dtype=np.uint16)
         for row, i in enumerate(self.ids):
-            self.patterns[row, : self.lengths[row]] = [ord(c) for c in self.pieces[i]]
+            self.patterns[row, : self.lengths[row]] = self.number[[ord(c) for c in self.pieces[i]]]
         self.letters = letters
         self.length_of = np.zeros(len(self.pieces), dtype=np.int64)
         self.length_of[self.ids] = self.lengths
@@ -81,6 +87,7 @@ class Pieces:
         self.memo: dict[str, list[int]] = {}
         self.text_of = {i: self.pieces[i].replace(MARK, " ") for i in own}
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.text_of |= {i: chr(b) for b, i in enumerate(self.byte_ids[:128])}  # whole letters by themselves
 
     def merge(self, text: str, halves: bool = False) -> list[str]:
         """The model's definition, for short texts: merge the best pair, the leftmost of equals, until none is left; ``halves``: stop before the last merge."""
@@ -135,18 +142,18 @@ class Pieces:
     def segment_ids(self, segments: list[str]) -> list[list[int]]:
         """The ids of segments that consist of known letters."""
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
-        text = np.frombuffer("\0".join(segments).encode("utf-32-le"), dtype=np.uint32)
+        text = self.number[np.frombuffer("\0".join(segments).encode("utf-32-le"), dtype=np.uint32)]
         starts = np.concatenate([[0], np.cumsum(sizes[:-1] + 1)]).astype(np.int64)
-        array = suffix_array(text, self.longest)
+        since = np.arange(len(text)) - np.repeat(starts, sizes + 1)[: len(text)]  # how far into its segment a place is
+        array = suffix_array(text, self.longest, self.bits)
         low, high = occurrences(text, array, self.patterns, self.lengths)
         count = high - low
         piece = np.repeat(np.arange(len(count)), count)
         place = array[np.repeat(low - np.concatenate([[0], np.cumsum(count[:-1])]), count) + np.arange(count.sum())]
-        end = place + self.lengths[piece]
-        owner = np.searchsorted(starts, place, side="right") - 1
-        reach = end - starts[owner]
-        order = np.lexsort((place, reach))
-        place, end, token, reach, first = place[order], end[order], self.ids[piece[order]], reach[order], place[order] == starts[owner[order]]
+        reach = since[place] + self.lengths[piece]
+        order = np.argsort(reach.astype(np.uint16) if len(reach) and reach.max() < 65536 else reach, kind="stable")
+        place, piece, reach = place[order], piece[order], reach[order]
+        end, token, first = place + self.lengths[piece], self.ids[piece], since[place] == 0
         last = np.full(len(text) + 2, -1, dtype=np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], reach[1:] != reach[:-1], [True]])) if len(reach) else np.zeros(1, dtype=np.int64)
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -157,7 +164,6 @@ class Pieces:
             if len(rest):
                 ok[rest] = self._whole(t[rest]) & self._fit(before[rest], t[rest])
             last[end[a:b][ok]] = t[ok]
-        out: list[list[int]] = [[] for _ in segments]
         active, at = np.arange(len(segments)), starts + sizes
         backwards = []
         while len(active):
@@ -168,10 +174,11 @@ class Pieces:
             at = at - self.length_of[t]
             go = at > starts[active]
             active, at = active[go], at[go]
-        for who, t in reversed(backwards):
-            for k, v in zip(who.tolist(), t.tolist()):
-                out[k].append(v)
-        return out
+        who, ids = (np.concatenate(x[::-1]) for x in zip(*backwards))
+        order = np.argsort(who, kind="stable")
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(segments)))]).tolist()
+        ids = ids[order].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _whole(self, tokens: np.ndarray) -> np.ndarray:
         """Whether a piece's own letters merge into it."""
@@ -183,11 +190,11 @@ class Pieces:
 
     def encode_all(self, texts: list[str | None]) -> list[list[int] | None]:
         cut, memo = self.cut, self.memo
-        split = [cut.findall(MARK + t.replace(" ", MARK)) if t else ([] if t is not None else None) for t in texts]
+        split = [None if t is None else cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(memo) > REMEMBERED:
             memo.clear()
         new, size = [], 0
-        for s in sorted({s for parts in split if parts for s in parts if s not in memo}):
+        for s in sorted(set(chain.from_iterable(filter(None, split))).difference(memo)):
             if s[0] != MARK and s[0] not in self.letters:
                 memo[s] = [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
                 continue
@@ -198,28 +205,30 @@ class Pieces:
                 new, size = [], 0
         if new:
             memo.update(zip(new, self.segment_ids(new)))
-        return [None if parts is None else [i for s in parts for i in memo[s]] for parts in split]
+        of = memo.__getitem__
+        return [None if parts is None else list(chain.from_iterable(map(of, parts))) for parts in split]
 
     def decode(self, ids: Iterable[int] | None) -> str | None:
         """Pieces in a row, runs of byte pieces as UTF-8 (what isn't comes out as U+FFFD); the leading word mark goes."""
         if ids is None:
             return None
-        text_of, parts, raw, marked = self.text_of, [], bytearray(), False
-        for n, i in enumerate(ids):
-            piece = text_of.get(i)
+        ids = list(ids)
+        parts = list(map(self.text_of.get, ids))
+        marked = bool(ids) and ids[0] not in self.byte_of and (parts[0] or "")[:1] == " "
+        if None not in parts:
+            return "".join(parts)[marked:]
+        out, raw = [], bytearray()
+        for i, piece in zip(ids, parts):
             if piece is None:
                 if i in self.byte_of:
                     raw.append(self.byte_of[i])
                 continue
             if raw:
-                parts.append(raw.decode("utf-8", "replace"))
+                out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if not n:
-                marked = piece[0] == " "
-            parts.append(piece)
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        return "".join(parts)[marked:]
+            out.append(piece)
+        out.append(raw.decode("utf-8", "replace"))
+        return "".join(out)[marked:]
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -232,23 +241,24 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces([p.id_to_piece(i) for i in range(n)], [p.get_score(i) for i in range(n)], byte_ids, plain)
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the ``depth`` letters (at least) that start there, by doubling."""
+def suffix_array(text: np.ndarray, depth: int, bits: int = 16) -> np.ndarray:
+    """Places in the order of the ``depth`` letters (at least) that start there: by as many letters of ``bits`` bits as a word holds, then by doubling."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank, width, array = rank.astype(np.int64) + 1, 1, np.argsort(rank, kind="stable")
-    while width < depth:
-        second = np.zeros(n, dtype=np.int64)
-        second[: n - width] = rank[width:] if width < n else 0
-        key = (rank << 32) | second
-        array = np.argsort(key, kind="stable")
+    width = 62 // bits
+    key = np.zeros(n, dtype=np.int64)
+    for d in range(width):
+        key <<= bits
+        key[: max(n - d, 0)] |= text[d:].astype(np.int64)
+    while True:
+        array = np.argsort(key)
+        if width >= depth:
+            return array
         ordered = key[array]
         rank = np.empty(n, dtype=np.int64)
         rank[array] = np.concatenate([[1], 1 + np.cumsum(ordered[1:] != ordered[:-1])])
+        key = rank << 32
+        key[: max(n - width, 0)] |= rank[width:]
         width *= 2
-        if rank[array[-1]] == n:
-            break
-    return array
 
 
 def occurrences(text: np.ndarray, array: np.ndarray, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,17 +288,17 @@ def occurrences(text: np.ndarray, array: np.ndarray, patterns: np.ndarray, lengt
 
 
 def _held(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about HOLD_LETTERS letters."""
+    """Slices of about HOLD_LETTERS bytes (or ids)."""
     for batch in batches:
-        sizes = [len(x.as_py() or "") if x.is_valid else 0 for x in batch.column(at)] if pa.types.is_string(batch.column(at).type) else [len(x) if x.is_valid else 0 for x in batch.column(at)]
-        first, held = 0, 0
-        for k, size in enumerate(sizes):
-            held += size
-            if held >= HOLD_LETTERS:
-                yield batch.slice(first, k + 1 - first)
-                first, held = k + 1, 0
-        if first < batch.num_rows:
-            yield batch.slice(first)
+        column = batch.column(at)
+        size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.list_value_length(column)
+        ends = np.cumsum(size.fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + HOLD_LETTERS, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
 
 
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids") -> DataFrame:
@@ -315,10 +325,21 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded"
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
+def encode_checked(df: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``round_trip``, whether they decode to the text again, in one pass of Python."""
+    at, names = df.columns.index(text), [*df.columns, "ids", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _held(batches, at):
+            texts = b.column(at).to_pylist()
+            ids = pieces.encode_all(texts)
+            same = pa.array([pieces.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), same], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
+
+
 def query(documents: DataFrame, model: str = MODEL) -> DataFrame:
     """op1, a row per document: the ids of the whole text, their number, and whether they decode to the text again."""
-    pieces = load(model)
-    both = decode(encode(documents.select("doc_id", "text"), pieces), pieces)
-    return both.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
-    )
+    both = encode_checked(documents.select("doc_id", "text"), load(model))
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
