@@ -1,8 +1,8 @@
 """Substring dedup: every byte inside a 50-byte string that also starts in a document with a smaller id goes.
 
-Candidates first. Winnowing keeps, for each 50-byte window, its smallest 24-byte gram (the rightmost of equals). The choice depends on the window alone,
+Candidates first. Winnowing keeps, for each 50-byte window, its smallest 20-byte gram (the rightmost of equals). The choice depends on the window alone,
 so equal windows choose equal grams at equal places: a window can only be repeated if its gram is. Windows of one document that chose the same gram form a
-snippet of 50 to 76 bytes; equal snippets of a batch are one class with the smallest id. Grams found in one document only are done with.
+snippet of 50 to 80 bytes; equal snippets of a batch are one class with the smallest id. Grams found in one document only are done with.
 
 Then suffixes. A gram with one class left is settled by ids. Where a gram has several snippets, those with a window hash in common go into one
 text, whose suffixes are sorted by Lyndon grouping: suffixes are grouped by their longest Lyndon prefix, groups being
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import text_key
 
-LONG, GRAM = 50, 24
+LONG, GRAM = 50, 20
 SPAN = LONG - GRAM + 1
 #: Bytes of text in a batch and in what is hashed at once; gram hashes in a bucket, roughly.
 BATCH_BYTES, PIECE_BYTES, BUCKET_GRAMS = 4 << 20, 1 << 19, 600_000
 NO_ID = (1 << 63) - 1
 
-_HASH = np.dtype([("a", "<u8"), ("s", "<u4"), ("t", "u1")])
-_TOLD = np.dtype([("a", "<u8"), ("mixed", "u1")])
+#: 48 bits of a gram, 39 of a snippet and a flag; 63 bits would be as good, but these are most of what is shuffled.
+_HASH = np.dtype([("high", "<u4"), ("low", "<u2"), ("s", "<u4"), ("t", "u1")])
 _CLASS = np.dtype([("a", "<u8"), ("s", "<u8"), ("doc", "<i8"), ("members", "<u4"), ("size", "u1"), ("mixed", "u1")])
 _MEMBER = np.dtype([("row", "<u4"), ("start", "<u4")])
 _COVER = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
@@ -90,7 +90,7 @@ def _snippets(raw: bytes, sizes: np.ndarray) -> dict[str, np.ndarray]:
     eight = eight[:-2] | eight[2:] << np.uint64(16)
     eight = eight[:-4] | eight[4:] << np.uint64(32)
     grams = n - GRAM + 1
-    h = _mix(_mix(eight[:grams] * _M[0]) + eight[8 : 8 + grams] * _M[1] ^ _mix(eight[16 : 16 + grams] * _M[2]))
+    h = _mix(_mix(eight[:grams] * _M[0]) + eight[8 : 8 + grams] * _M[1] ^ _mix(eight[GRAM - 8 : GRAM - 8 + grams] * _M[2]))
     low = _slide(h, SPAN, np.minimum)
     edge = np.zeros(SPAN - 1, dtype=np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), SPAN, np.maximum) == h)
@@ -199,8 +199,9 @@ def _grams(buckets: int):
         ids, texts, _ = _rows_of(table)
         x = snippets(texts)
         doc = ids[x["row"]]
-        by = np.lexsort((doc, x["s"], x["a"]))
-        a, s, doc = x["a"][by], x["s"][by], doc[by]
+        a = x["a"] >> np.uint64(16)
+        by = np.lexsort((doc, x["s"], a))
+        a, s, doc = a[by], x["s"][by], doc[by]
         new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
         number = np.cumsum(new) - 1
         lowest, highest = (np.full(number[-1] + 1 if len(a) else 0, v, np.int64) for v in (NO_ID, -NO_ID))
@@ -208,9 +209,9 @@ def _grams(buckets: int):
         np.maximum.at(highest, number, doc)
         keep = new | np.concatenate([[False], s[1:] != s[:-1]]) if len(a) else new
         found = np.zeros(int(keep.sum()), dtype=_HASH)
-        found["a"], found["s"] = a[keep], (s[keep] >> np.uint64(7)).astype(np.uint32)
+        found["high"], found["low"], found["s"] = a[keep] >> np.uint64(16), a[keep] & np.uint64(65535), (s[keep] >> np.uint64(7)).astype(np.uint32)
         found["t"] = (s[keep] & np.uint64(0x7F)) << np.uint64(1) | (lowest < highest)[number[keep]]
-        rows = list(_packed((found["a"] >> np.uint64(20)).astype(np.int64) % buckets, found))
+        rows = list(_packed((a[keep] % np.uint64(buckets)).astype(np.int64), found))
         return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "of": pa.array([table.column("batch")[0].as_py()] * len(rows), pa.int64()), "data": pa.array([d[0] for _, d in rows], pa.binary())})
 
     return run
@@ -222,17 +223,16 @@ def _repeated(table: pa.Table) -> pa.Table:
     batch = np.repeat(table.column("of").to_numpy(), [len(p) for p in parts])
     all_ = np.concatenate(parts)
     s = all_["s"].astype(np.uint64) << np.uint64(7) | (all_["t"] >> 1).astype(np.uint64)
-    by = np.lexsort((s, batch, all_["a"]))
-    a, b, s, many = all_["a"][by], batch[by], s[by], (all_["t"][by] & 1).astype(bool)
+    a = all_["high"].astype(np.uint64) << np.uint64(16) | all_["low"].astype(np.uint64)
+    by = np.lexsort((s, batch, a))
+    a, b, s, many = a[by], batch[by], s[by], (all_["t"][by] & 1).astype(bool)
     new = np.concatenate([[True], a[1:] != a[:-1]])
     starts = np.flatnonzero(new)
     number = np.cumsum(new) - 1
     twice = (np.minimum.reduceat(b, starts) < np.maximum.reduceat(b, starts)) | np.logical_or.reduceat(many, starts)
     mixed = np.minimum.reduceat(s, starts) < np.maximum.reduceat(s, starts)
     keep = twice[number] & np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    told = np.zeros(int(keep.sum()), dtype=_TOLD)
-    told["a"], told["mixed"] = a[keep], mixed[number[keep]]
-    rows = list(_packed(b[keep], told))
+    rows = list(_packed(b[keep], a[keep] << np.uint64(1) | mixed[number[keep]].astype(np.uint64)))
     return pa.table({"of": pa.array([x for x, _ in rows], pa.int64()), "data": pa.array([d[0] for _, d in rows], pa.binary())})
 
 
@@ -246,12 +246,12 @@ def _classes(buckets: int):
             return pa.table([pa.array([], k) for k in kinds], names=names)
         batch = table.column("batch")[0].as_py()
         ids, texts, _ = _rows_of(table)
-        known = np.concatenate([np.frombuffer(x.as_py(), dtype=_TOLD) for x in told.column("data")])
-        known = known[np.argsort(known["a"])]
+        known = np.sort(np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in told.column("data")]))
         x = snippets(texts)
-        at = np.minimum(np.searchsorted(known["a"], x["a"]), len(known) - 1)
-        ok = known["a"][at] == x["a"]
-        x, mixed = {k: v[ok] for k, v in x.items()}, known["mixed"][at[ok]]
+        gram = x["a"] >> np.uint64(16)
+        at = np.minimum(np.searchsorted(known >> np.uint64(1), gram), len(known) - 1)
+        ok = known[at] >> np.uint64(1) == gram
+        x, mixed = {k: v[ok] for k, v in x.items()}, (known[at[ok]] & np.uint64(1)).astype(np.uint8)
         doc = ids[x["row"]]
         by = np.lexsort((doc, x["s"], x["a"]))
         x, mixed, doc = {k: v[by] for k, v in x.items()}, mixed[by], doc[by]
