@@ -1,9 +1,9 @@
 """N-gram Jaccard join and its components, exact at a similarity of 0.8.
 
 A document's set is its distinct five-word shingles. Sets are compared by prefix: under any fixed order of shingles, linked sets of n shingles share one of
-their first n - ceil(0.8 n) + 1. The order here puts shingles of rarely hit counters first (counts over all documents in a fixed table of
-counters), so very common passages stay out of prefixes. The index list of a shingle holds the sets with it in their prefix, by size and position. Set
-relations spare most comparisons:
+their first n - ceil(0.8 n) + 1. The order here puts shingles of one set first, then rarer ones: for the third of all shingles with a hash divisible by three the
+number of sets is counted, over all documents; the others come after these, by hash. A set with enough shingles of its own has no posting that any
+other set meets. The index list of a shingle holds the sets with it in their prefix, by size and position. Set relations spare most comparisons:
 
 * equal sets are one set from the start;
 * lists are blocks by size and position, and blocks that can't reach the overlap are skipped as a whole;
@@ -30,11 +30,10 @@ from .common import stored, text_key
 from .graph import components
 
 SIZE, PERCENT = 5, 80
-#: Counters of the shingle order: a fixed table, whatever the input's size.
-COUNTERS = 1 << 20
-BLOCK = 1 << 14
-#: Letters of text whose words are hashed at once, and postings that a task packs at once.
-HOLD_BYTES, HOLD_POSTINGS = 4 << 20, 2_000_000
+#: Of every so many shingles one is counted for the order.
+COUNTED = 3
+#: Bytes of text in a batch, and of text whose words are hashed at once.
+BATCH_BYTES, HOLD_BYTES = 4 << 20, 4 << 20
 #: Postings of a bucket, roughly; sets compared with a hub in one group.
 BUCKET_POSTINGS, GROUP = 500_000, 400
 #: At most so many text keys (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -110,81 +109,95 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for the documents (``id`` and ``n`` of their set) and, at the end, the task's counters by block."""
-    counts = np.zeros(COUNTERS, dtype=np.int64)
+    """``id`` and ``n`` of each document's set."""
     for batch, texts in _texts(batches, 3):
-        ids, sizes = [], []
         sets = list(shingle_sets(texts))
-        for s in sets:
-            ids.append(set_id(s) if len(s) else None)
-            sizes.append(len(s))
-        if sets:
-            counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        n = len(sets)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-            names=["doc_id", "k1", "k2", "id", "n", "block", "counts"],
-        )
-    if counts.any():
-        blocks = COUNTERS // BLOCK
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.nulls(blocks, pa.int64())] * 5, pa.array(range(blocks), pa.int32()), pa.array([counts[b * BLOCK : (b + 1) * BLOCK].tobytes() for b in range(blocks)], pa.binary())],
-            names=["doc_id", "k1", "k2", "id", "n", "block", "counts"],
-        )
+        ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, pa.array(map(len, sets), pa.int64())], names=["doc_id", "k1", "k2", "id", "n"])
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts"))
-    return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())}, schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
-
-
-def survey(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id k1 k2 id n`` of all rows, and the counters over all sets."""
+def _keyed(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k1, k2 = text_key(text)
-    rows = documents.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
-    found = stored(rows.mapInArrow(_survey, "doc_id long, k1 long, k2 long, id long, n long, block int, counts binary"), "sets")
-    sums = found.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add_up, "block int, counts binary").collect()
-    counters = np.zeros(COUNTERS, dtype=np.int64)
-    for r in sums:
-        counters[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), dtype=np.int64)
-    return found.where("block is null").select("doc_id", "k1", "k2", "id", "n"), counters
-
-
-def _postings(counters, buckets: int):
-    """Packed postings by bucket of the token; equal sets of a task once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen, held, size = counters.value, set(), [], 0
-
-        def packed() -> pa.RecordBatch:
-            all_ = np.concatenate(held)
-            bucket = (all_["token"] % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            all_, bucket = all_[by], bucket[by]
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            return pa.RecordBatch.from_pydict(
-                {"bucket": pa.array(bucket[cuts[:-1]], pa.int64()), "postings": pa.array([all_[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())}
-            )
-
-        for _, texts in _texts(batches, 0):
-            for s in shingle_sets(texts):
-                n = len(s)
-                if not n or (me := set_id(s)) in seen:
-                    continue
+    return documents.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+
+
+def survey(documents: DataFrame) -> DataFrame:
+    """``doc_id k1 k2 id n`` of all rows."""
+    return stored(_keyed(documents).mapInArrow(_survey, "doc_id long, k1 long, k2 long, id long, n long"), "sets")
+
+
+def _batch_sets(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """The batch's sets with their ids, equal ones once."""
+    seen = set()
+    for _, texts in _texts(table.to_batches(), table.schema.get_field_index("text")):
+        for s in shingle_sets(texts):
+            if len(s) and (me := set_id(s)) not in seen:
                 seen.add(me)
-                prefix = n - needed(n) + 1
-                count = order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                post = np.empty(prefix, dtype=POSTING)
-                post["token"] = s[np.argsort(count, kind="stable")[:prefix]]
-                post["id"], post["n"], post["at"] = me, n, np.minimum(np.arange(prefix), 65535)
-                held.append(post)
-                size += prefix
-            if size >= HOLD_POSTINGS:
-                yield packed()
-                held, size = [], 0
-        if held:
-            yield packed()
+                yield me, s
+
+
+def _by_bucket(bucket: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    by = np.argsort(bucket, kind="stable")
+    bucket, data = bucket[by], data[by]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(by) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[a]), data[a:b].tobytes()
+
+
+def _counted(buckets: int):
+    """Per bucket the batch's counted shingles, 48 bits each, with 16 bits for the number of its sets that have it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [s[s % np.uint64(COUNTED) == 0] >> np.uint64(16) for _, s in _batch_sets(table)]
+        token, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        data = token << np.uint64(16) | np.minimum(n, 65535).astype(np.uint64)
+        rows = list(_by_bucket((token % np.uint64(buckets)).astype(np.int64), data))
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "of": pa.array([table.column("batch")[0].as_py()] * len(rows), pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
+
+    return run
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """For each batch its counted shingles that several sets have, with their number."""
+    parts = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("data")]
+    of = np.repeat(table.column("of").to_numpy(), [len(p) for p in parts])
+    data = np.concatenate(parts)
+    token, n = data >> np.uint64(16), (data & np.uint64(65535)).astype(np.int64)
+    by = np.argsort(token, kind="stable")
+    token, n, of = token[by], n[by], of[by]
+    new = np.concatenate([[True], token[1:] != token[:-1]])
+    total = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1]
+    keep = total > 1
+    rows = list(_by_bucket(of[keep], token[keep] << np.uint64(16) | np.minimum(total[keep], 65535).astype(np.uint64)))
+    return pa.table({"of": pa.array([b for b, _ in rows], pa.int64()), "data": pa.array([d for _, d in rows], pa.binary())})
+
+
+def _postings(buckets: int):
+    """Per bucket the prefixes of the batch's sets."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), dtype=np.uint64) for x in told.column("data"))]))
+        token, many = known >> np.uint64(16), (known & np.uint64(65535)).astype(np.int64)
+        held = [np.empty(0, dtype=POSTING)]
+        for me, s in _batch_sets(table) if table.num_rows else ():
+            n = len(s)
+            rank = np.full(n, 1 << 20)
+            at = np.flatnonzero(s % np.uint64(COUNTED) == 0)
+            short = s[at] >> np.uint64(16)
+            rank[at] = 1
+            if len(token):
+                found = np.minimum(np.searchsorted(token, short), len(token) - 1)
+                rank[at] = np.where(token[found] == short, many[found], 1)
+            prefix = n - needed(n) + 1
+            first = np.argsort(rank, kind="stable")[:prefix]
+            shared = np.flatnonzero(rank[first] > 1)  # what only this set has meets nothing
+            post = np.empty(len(shared), dtype=POSTING)
+            post["token"], post["id"], post["n"], post["at"] = s[first[shared]], me, n, np.minimum(shared, 65535)
+            held.append(post)
+        all_ = np.concatenate(held)
+        rows = list(_by_bucket((all_["token"] % np.uint64(buckets)).astype(np.int64), all_))
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int64()), "postings": pa.array([d for _, d in rows], pa.binary())})
 
     return run
 
@@ -286,9 +299,7 @@ def sets_of(documents: DataFrame, known: DataFrame, ids: DataFrame) -> DataFrame
     """``id set``: the sets of the given ids, each from one document that has it."""
     one = known.where("id is not null").groupBy("id").agg(F.min(F.struct("k1", "k2", "doc_id")).alias("r")).join(ids, "id")
     keys = stored(one.select("r.k1", "r.k2", F.col("r.doc_id").alias("one")), "keys")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    k1, k2 = text_key(text)
-    rows = documents.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), text.alias("text"))
+    rows = _keyed(documents)
     small = keys.count() <= BROADCAST_KEYS
     same = (rows["k1"] == keys["k1"]) & (rows["k2"] == keys["k2"]) & rows["doc_id"].eqNullSafe(keys["one"])
     texts = rows.join(F.broadcast(keys) if small else keys, same, "left_semi").select("text")
@@ -321,16 +332,25 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return members.groupBy("group").cogroup(hubs.groupBy("hub_group")).applyInArrow(_compare, "a long, b long, inter long, na long, nb long")
 
 
-def links(documents: DataFrame, known: DataFrame, counters: np.ndarray) -> DataFrame:
+def _contracted(links: DataFrame) -> DataFrame:
+    """As few links that connect as much: each set hangs on the smallest of its partners, and those hang on each other."""
+    sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    hung = sides.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))
+    return hung.select("a", "m").unionByName(hung.select(F.explode("all").alias("a"), "m").where("a != m")).distinct().select(F.col("a"), F.col("m").alias("b"))
+
+
+def links(documents: DataFrame, known: DataFrame) -> DataFrame:
     """``a b``: enough links between sets that every component is connected."""
-    spark = documents.sparkSession
-    sizes = known.where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    if not sizes[0]:
-        return spark.createDataFrame([], "a long, b long")
-    expected = sizes[0] + sizes[1] * (100 - PERCENT) / 100
-    buckets = max(8, math.ceil(expected / BUCKET_POSTINGS))
-    order = spark.sparkContext.broadcast(np.minimum(counters, 2**32 - 1).astype(np.uint32))  # COUNTERS numbers, whatever the input
-    packed = documents.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_postings(order, buckets), "bucket long, postings binary")
+    shingles = known.agg(F.sum("n")).first()[0] or 0
+    if not shingles:
+        return documents.sparkSession.createDataFrame([], "a long, b long")
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0]
+    batches, buckets = max(1, math.ceil(size / BATCH_BYTES)), max(8, math.ceil(shingles / COUNTED / BUCKET_POSTINGS))
+    rows = _keyed(documents)
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(batches)).cast("long").alias("batch"), "text")
+    counts = rows.groupBy("batch").applyInArrow(_counted(buckets), "bucket long, of long, data binary")
+    told = counts.groupBy("bucket").applyInArrow(_add_up, "of long, data binary")
+    packed = rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_postings(buckets), "bucket long, postings binary")
     lists = stored(packed.groupBy("bucket").applyInArrow(_lists, "bucket long, postings binary"), "lists")
     sets = sets_of(documents, known, lists.mapInArrow(_ids, "id long").distinct())
     hub_pairs = lists.mapInArrow(_hub_pairs, "bucket long, a long, b long")
@@ -341,13 +361,13 @@ def links(documents: DataFrame, known: DataFrame, counters: np.ndarray) -> DataF
     either = told.select("a", "b").unionByName(told.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(compare(others.join(either, ["a", "b"], "left_anti"), sets), "compared")
     union = F.col("na") + F.col("nb") - F.col("inter")
-    return told.unionByName(rest).where(100 * F.col("inter") >= PERCENT * union).select("a", "b")
+    return _contracted(told.unionByName(rest).where(100 * F.col("inter") >= PERCENT * union).select("a", "b"))
 
 
 def classes(documents: DataFrame) -> DataFrame:
     """``doc_id k1 k2 id n_shingles component_id`` of every row; ``id`` stands for the set."""
-    known, counters = survey(documents)
-    roots = components(links(documents, known, counters))
+    known = survey(documents)
+    roots = components(links(documents, known))
     named = known.join(roots, known["id"] == roots["node"], "left").select("doc_id", "k1", "k2", "id", "n", F.coalesce("root", "id").alias("root"))
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return named.join(least, "root", "left").select(
