@@ -7,9 +7,9 @@ other set meets. The index list of a shingle holds the sets with it in their pre
 
 * equal sets are one set from the start;
 * lists are blocks by size and position, and blocks that can't reach the overlap are skipped as a whole;
-* in each list, every set is compared with one hub. What the hub's comparison says is used for the others: two sets linked to the hub are
-  connected already; and as 1 - similarity is a metric, two sets whose distances to the hub differ by more than 0.2 can't be linked. Only pairs about which the
-  hub says neither are compared as well.
+* in each list, every set is compared with one hub. What the hubs' comparisons say is used for the others: sets that these links connect, in whatever lists, need no
+  comparison; and as 1 - similarity is a metric, two sets whose distances to a hub differ by more than 0.2 can't be linked. Only pairs about which the
+  hubs say neither are compared as well.
 
 Defined cases. Null and empty texts have the empty set, are linked with nothing and are their own component. A text of one to four words has one shingle, the whole
 sequence. Rows are told apart by their text, so repeated ids are no matter; a component whose ids are all null has a null ``component_id``. Only
@@ -33,7 +33,7 @@ SIZE, PERCENT = 5, 80
 #: Of every so many shingles one is counted for the order.
 COUNTED = 3
 #: Bytes of text in a batch, and of text whose words are hashed at once.
-BATCH_BYTES, HOLD_BYTES = 4 << 20, 4 << 20
+BATCH_BYTES, HOLD_BYTES = 4 << 20, 1 << 20
 #: Postings of a bucket, roughly; sets compared with a hub in one group.
 BUCKET_POSTINGS, GROUP = 500_000, 400
 #: At most so many text keys (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -47,10 +47,16 @@ _UNBASE = pow(_BASE, -1, 1 << 64)
 _STEPS = [0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """1, base, base^2, ...; the longest ones are kept."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.cumprod(out, dtype=np.uint64)
+    return _POWERS[base][:n]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -111,9 +117,9 @@ def _texts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Reco
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``id`` and ``n`` of each document's set."""
     for batch, texts in _texts(batches, 3):
-        sets = list(shingle_sets(texts))
-        ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, pa.array(map(len, sets), pa.int64())], names=["doc_id", "k1", "k2", "id", "n"])
+        found = [(set_id(s) if len(s) else None, len(s)) for s in shingle_sets(texts)]
+        ids, sizes = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids, sizes], names=["doc_id", "k1", "k2", "id", "n"])
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -259,29 +265,40 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_py(), dtype=POSTING)["id"]), pa.int64())], names=["id"])
 
 
+def _bucket_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bucket, x in zip(batch.column(0), batch.column(1)):
+            ids = np.unique(np.frombuffer(x.as_py(), dtype=POSTING)["id"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket.as_py()] * len(ids), pa.int64()), pa.array(ids, pa.int64())], names=["of", "a"])
+
+
 def _other_pairs(lists: pa.Table, told: pa.Table) -> pa.Table:
-    """The pairs of a bucket's lists that the hubs' comparisons leave open."""
+    """The pairs of a bucket's lists that the hubs' comparisons leave open.
+
+    Rows of ``told`` are compared pairs, or, without ``b``, a set and (as ``inter``) its component so far.
+    """
     found_a, found_b, bucket = [], [], lists.column("bucket")[0].as_py() if lists.num_rows else 0
-    a, b = (told.column(c).to_numpy() for c in ("a", "b"))
-    inter, na, nb = (told.column(c).to_numpy() for c in ("inter", "na", "nb"))
+    single = told.column("b").is_null().to_numpy()
+    a, b, inter, na, nb = (told.column(c).fill_null(0).to_numpy() for c in ("a", "b", "inter", "na", "nb"))
+    root = dict(zip(a[single].tolist(), inter[single].tolist()))
+    a, b, inter, na, nb = (x[~single] for x in (a, b, inter, na, nb))
     distance = dict(zip(zip(a.tolist(), b.tolist()), (1 - inter / (na + nb - inter)).tolist()))
-    close = set(zip(*(x[linked(inter, na, nb)].tolist() for x in (a, b))))
     for x in lists.column("postings"):
         all_ = np.frombuffer(x.as_py(), dtype=POSTING)
         _, hub = _hubs(all_)
         ids, hubs = all_["id"].tolist(), all_["id"][hub].tolist()
-        near = np.array([i == h or (i, h) in close for i, h in zip(ids, hubs)])
+        part_of = np.array([root.get(i, i) for i in ids], dtype=np.int64)
+        open_ = (part_of != part_of[hub]).astype(np.int64)
         cuts = _groups(all_)
-        open_ = np.add.reduceat((~near).astype(np.int64), cuts[:-1]) if len(cuts) > 1 else np.zeros(0)
-        for g in np.flatnonzero((np.diff(cuts) > 2) & (open_ > 0)).tolist():
+        for g in np.flatnonzero((np.diff(cuts) > 2) & (np.add.reduceat(open_, cuts[:-1]) > 0)).tolist():
             run = slice(int(cuts[g]), int(cuts[g + 1]))
-            part, me = all_[run], near[run]
+            part, comp = all_[run], part_of[run]
             far = np.array([0.0 if i == h else distance.get((i, h), np.nan) for i, h in zip(ids[run], hubs[run])])
-            others = np.flatnonzero(part["id"] != part["id"].dtype.type(hubs[run.start]))
-            for i in others[~me[others]].tolist():  # at least one of a pair isn't linked to the hub
-                js = others[(others != i) & (me[others] | (others > i))]
-                apart = np.abs(far[js] - far[i]) > 1 - PERCENT / 100 + 1e-9
-                js = js[~apart]  # an unknown distance compares as false
+            others = np.flatnonzero(part["id"] != hubs[run.start])
+            apart = open_[run].astype(bool)
+            for i in others[apart[others]].tolist():  # at least one of a pair isn't connected with the hub
+                js = others[(comp[others] != comp[i]) & (~apart[others] | (others > i))]
+                js = js[~(np.abs(far[js] - far[i]) > 1 - PERCENT / 100 + 1e-9)]  # an unknown distance excludes nothing
                 js = js[_reach(part["n"][js], part["at"][js], part["n"][i : i + 1], part["at"][i : i + 1])]
                 found_a.append(part["id"][js])
                 found_b.append(np.full(len(js), part["id"][i]))
@@ -355,13 +372,17 @@ def links(documents: DataFrame, known: DataFrame) -> DataFrame:
     sets = sets_of(documents, known, lists.mapInArrow(_ids, "id long").distinct())
     hub_pairs = lists.mapInArrow(_hub_pairs, "bucket long, a long, b long")
     told = stored(compare(hub_pairs.select("a", "b").distinct(), sets), "compared")
-    by_bucket = hub_pairs.join(told, ["a", "b"]).select(F.col("bucket").alias("of"), "a", "b", "inter", "na", "nb").groupBy("of")
+    union = F.col("na") + F.col("nb") - F.col("inter")
+    near = lambda df: df.where(100 * F.col("inter") >= PERCENT * union).select("a", "b")
+    roots = components(_contracted(near(told)))
+    pairs = hub_pairs.join(told, ["a", "b"]).select(F.col("bucket").alias("of"), "a", "b", "inter", "na", "nb")
+    placed = lists.mapInArrow(_bucket_ids, "of long, a long").join(roots, F.col("a") == F.col("node")).select("of", "a", F.col("root").alias("inter"))
+    by_bucket = pairs.unionByName(placed, allowMissingColumns=True).groupBy("of")
     others = lists.groupBy("bucket").cogroup(by_bucket).applyInArrow(_other_pairs, "bucket long, a long, b long").select("a", "b").distinct()
     others = stored(others, "pairs")
     either = told.select("a", "b").unionByName(told.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = stored(compare(others.join(either, ["a", "b"], "left_anti"), sets), "compared")
-    union = F.col("na") + F.col("nb") - F.col("inter")
-    return _contracted(told.unionByName(rest).where(100 * F.col("inter") >= PERCENT * union).select("a", "b"))
+    rest = near(compare(others.join(either, ["a", "b"], "left_anti"), sets))
+    return _contracted(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b").unionByName(rest))
 
 
 def classes(documents: DataFrame) -> DataFrame:
