@@ -142,28 +142,27 @@ def covered(ranges: Column) -> Column:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` with ``n_words n_hit n_items items_sha256 contaminated``; every row stays."""
+    """``documents`` with ``n_words n_hit n_items items_sha256 contaminated`` (in place of columns of these names); every row stays."""
     hits = spans(documents, benchmark).groupBy("_k1", "_k2").agg(
         covered(F.collect_set(F.struct("start", "end"))).alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"),
     )
-    counted = documents.select("*", *text_key(F.coalesce("text", F.lit(""))), F.size(match_words(F.col("text"))).cast("long").alias("n_words"))
+    text = F.coalesce("text", F.lit(""))
+    counted = documents.select(F.struct("*").alias("_row"), *text_key(text), F.size(match_words(F.col("text"))).cast("long").alias("_n"))
     items = F.coalesce("_items", F.array().cast("array<string>"))
-    out = counted.join(hits, ["_k1", "_k2"], "left")
-    return out.select(
-        *[counted[c] for c in documents.columns], counted["n_words"],
-        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-        F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-    )
+    made = {
+        "n_words": F.col("_n"), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ","), 256),
+        "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False)),
+    }
+    old = [F.col("_row").getField(c).alias(c) for c in documents.columns if c not in made]
+    return counted.join(hits, ["_k1", "_k2"], "left").select(*old, *[v.alias(k) for k, v in made.items()])
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, unchanged, that no benchmark window touches."""
     hit = spans(documents, benchmark).select("_k1", "_k2").distinct()
-    keyed = documents.select("*", *text_key(F.coalesce("text", F.lit(""))))
-    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select(*documents.columns)
+    keyed = documents.select(F.struct("*").alias("_row"), *text_key(F.coalesce("text", F.lit(""))))
+    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select("_row.*")
 
 
 def query(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -136,7 +136,7 @@ def main_text(page: str | None) -> str:
     """The main text of a page, a line per block."""
     if not page:
         return ""
-    kept = []
+    kept, outside = [], []
     for b in blocks(page):
         text = " ".join(entities.unescape("".join(b.parts)).split())
         if text:
@@ -146,6 +146,7 @@ def main_text(page: str | None) -> str:
             elif len(text) > SHORT:
                 label = b.main or stop_density(text) >= STOPS or None
             kept.append((text, b.main, label))
+            outside.append(b.out)
     # nearest decided block of the same section on either side
     labels: list[bool | None] = [x[2] for x in kept]
     near: list[list[tuple[int, bool]]] = [[] for _ in kept]
@@ -157,7 +158,8 @@ def main_text(page: str | None) -> str:
                 if main in last:
                     near[i].append((abs(i - last[main][0]), last[main][1]))
             else:
-                last[main] = (i, label)
+                if not (main and outside[i]):  # furniture inside the article says nothing of what stands beside it
+                    last[main] = (i, label)
     for i, around in enumerate(near):
         if labels[i] is None:
             closest = {label for d, label in around if d == min(x[0] for x in around)}

@@ -257,24 +257,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int =
     return [float(v) for v in b]
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with ``score``; no shuffle."""
+def score(documents: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``documents`` with the score as column ``out``; no shuffle."""
     columns = documents.columns
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array([model.score(x.as_py()) for x in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*columns, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(out, DoubleType())]))
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents``, unchanged, whose score is below one half."""
-    return score(documents, fit(documents, labels)).where(F.col("score") < 0.5).select(*documents.columns)
+    out = "_toxicity"
+    while out in documents.columns:
+        out += "_"
+    return score(documents, fit(documents, labels), out).where(F.col(out) < 0.5).drop(out)
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:
