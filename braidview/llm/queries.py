@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, jaccard, linededup, oracles, pieces, quality, suffixdedup, toxicity, warc
+from . import chat, decontaminate, htmltext, jaccard, linededup, oracles, pieces, quality, suffixdedup, toxicity, warc
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": _on(pieces.query, "documents"),
         "op10_jaccard_join": _on(jaccard.query, "documents"),
         "op2_line_dedup": _on(linededup.query, "documents"),
+        "op3_chat_formatting": _on(chat.query, "conversations"),
         "op4_suffix_array_dedup": _on(suffixdedup.query, "documents"),
         "op5_quality_rules": _on(quality.query, "documents", "labels"),
         "op6_toxicity": _on(toxicity.query, "documents", "labels"),
