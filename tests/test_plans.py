@@ -123,6 +123,31 @@ def test_neural(case, kind):
         assert f.weights.sum() == pytest.approx(1.0) and (f.weights >= 0).all()
 
 
+@pytest.mark.parametrize("kind", neural.KINDS)
+def test_neural_training_is_the_same_at_every_size(spark, case, kind, monkeypatch):
+    monkeypatch.setattr(neural, "STREAM_CELLS", 500)  # several partitions, which no mini-batch ends with
+    df = case.df.withColumn("flat", F.lit(3.0))
+    views = {**case.views, next(iter(case.views)): [*next(iter(case.views.values())), "flat"]}
+    steps, step = [], neural.Optimiser.step
+    monkeypatch.setattr(neural.Optimiser, "step", lambda self, *a, **k: steps.append(1) or step(self, *a, **k))
+    spec = neural.NeuralSpec(kind=kind, k=2, epochs=14, batch=50, warmup=2, hidden=(8, 4), flow_hidden=8, rate=5e-3, dynamic=True, freeze_private=3, patience=1, tol=0.02)
+    fits = [neural.fit_neural(df, views, spec, distributed=d) for d in (False, True)]
+    a, b = fits
+    assert len(a.history) == len(b.history) and len(steps) == 2 * 5 * len(a.history)  # 240 rows: five steps an epoch
+    assert np.allclose(a.history, b.history) and np.allclose(a.weights, b.weights) and np.allclose(a.mai, b.mai)
+    assert all(np.allclose(v, b.params[k], atol=1e-6) for k, v in a.params.items())
+    x, y = (neural.score_neural(df, f).orderBy("row_id").toPandas().filter(regex="^(u_|z_|r_x)") for f in fits)
+    assert np.allclose(x, y, atol=1e-5)
+
+
+def test_epochs_take_every_row_once_in_new_orders():
+    spec = neural.NeuralSpec(batch=7)
+    x = np.repeat(1.0, 100)[:, None] * np.arange(100.0)[:, None]
+    first, second = (np.vstack(list(neural.held_blocks(x, np.arange(100), spec)(e)))[:, 0] for e in (0, 1))
+    assert sorted(first) == sorted(second) == list(range(100)) and (first != second).any()
+    assert [len(b) for b in neural.regrouped(iter([x[:5], x[5:30], x[30:]]), 40)] == [40, 40, 20]
+
+
 def test_flow_inverts():
     for mask in ("block", "alternate"):
         spec = neural.NeuralSpec(kind="flow", k=3, mask=mask)
