@@ -5,6 +5,9 @@ sidebars, notices, adverts, forms, comments and the like are out; so are blocks
 their words are stop words or they stand inside the article. Blocks too short to tell stay open. In pass two an open block takes the label of the
 nearest decided block of its section (article or not); if two are as near and disagree, or there is none, it is in.
 
+Names of furniture count at either end of a class, id or role (``ad-slot``, ``main-nav``), not in names of layouts (``has-sidebar``, ``content-sidebar-wrap``), and
+not on an h1. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles.
+
 Defined cases. Null and empty pages give an empty text. Unclosed tags, comments and scripts end with the page; stray closing tags are ignored.
 Markup without any block tag is one block. Repeated rows give a row each. Only ``page_id``, ``url`` and ``html`` are read.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,11 +47,15 @@ RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id or role that mark page furniture.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|disclaimer|"
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|disclaimer|"
     r"comments?|commentlist|disqus|respond|replies|footer|masthead|site-?header|page-?header|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
-    r"search\w*|pagination|pager|popup|modal|overlay|toolbar|widget|copyright|skip-?link|contentinfo|complementary|navigation)(?:$|[\s_-])",
+    r"search\w*|pagination|pager|popup|modal|overlay|toolbar|widget|copyright|skip-?link|contentinfo|complementary|navigation)",
     re.I,
 )
+#: Those that hold articles other than the page's.
+OTHERS = re.compile(r"comments?|commentlist|disqus|respond|replies|related|recommend\w*", re.I)
+#: Parts of class names that tell of a page's layout or state, beside furniture or the lack of it.
+LAYOUT = frozenset("has have no not non with without layout off closed disabled".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
@@ -55,22 +63,41 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("linked", "main", "out", "parts")
+    __slots__ = ("linked", "main", "marks", "out", "parts")
 
-    def __init__(self, main: bool, out: bool) -> None:
+    def __init__(self, main: bool, out: bool, marks: tuple[int, ...]) -> None:
         self.parts: list[str] = []
-        self.linked, self.main, self.out = 0, main, out
+        self.linked, self.main, self.out, self.marks = 0, main, out, marks
+
 
+@lru_cache(maxsize=10_000)
+def _named_furniture(token: str) -> str | None:
+    """The furniture that a class, id or role names at its start or end, if any."""
+    parts = re.split(r"[_-]+", token.strip("_-"))
+    low = {p.lower() for p in parts}
+    if low & LAYOUT or ("content" in low and ("sidebar" in low or {"side", "bar"} <= low)):
+        return None
+    for n in (1, 2):  # words of two parts: side-bar
+        for word in ("-".join(parts[:n]), "-".join(parts[-n:])):
+            if FURNITURE.fullmatch(word):
+                return word
+    return None
 
-def _furniture(attributes: str) -> bool:
-    return any(FURNITURE.search(a or b or c) for a, b, c in NAMED.findall(attributes)) or bool(HIDDEN.search(attributes))
+
+def _furniture(attributes: str) -> list[str]:
+    """The furniture that an element's class, id and role name."""
+    return [w for a, b, c in NAMED.findall(attributes) for t in (a or b or c).split() if (w := _named_furniture(t))]
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what their place in the page says of them."""
     found: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, inside the article, inside furniture, inside a link
+    # name, inside the article, inside furniture, inside a link, and the elements around that are furniture by name only
+    open_tags: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
     main = out = link = False
+    marks: tuple[int, ...] = ()
+    around: set[int] = set()  # marked elements around an article or main, or such themselves
+    clear = False  # an article or main stands outside all furniture
     block: Block | None = None
     at, end = 0, len(page)
     while at <= end:
@@ -78,7 +105,7 @@ def blocks(page: str) -> list[Block]:
         text = page[at : m.start() if m else end]
         if text:
             if block is None:
-                block = Block(main, out)
+                block = Block(main, out, marks)
                 found.append(block)
             block.parts.append(text)
             block.linked += len(text.strip()) if link else 0
@@ -95,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == name:
-                    _, main, out, link = open_tags[k]
+                    _, main, out, link, marks = open_tags[k]
                     del open_tags[k:]
                     if name in OUT:
                         block = None
@@ -111,19 +138,30 @@ def blocks(page: str) -> list[Block]:
             # a paragraph ends an unclosed one, and what was left open inside it
             for k in range(len(open_tags) - 1, -1, -1):
                 if open_tags[k][0] == "p":
-                    _, main, out, link = open_tags[k]
+                    _, main, out, link, marks = open_tags[k]
                     del open_tags[k:]
                     break
                 if open_tags[k][0] in BLOCKS:
                     break
-        open_tags.append((name, main, out, link))
-        if name in ("article", "main"):
+        open_tags.append((name, main, out, link, marks))
+        article = name in ("article", "main")
+        if article:
             main = True
-        if name in OUT or (name == "header" and not main) or (m[3] and name not in ("html", "body") and _furniture(m[3])):
+        named = _furniture(m[3]) if m[3] and name not in ("html", "body", "h1") else []
+        if name in OUT or (name == "header" and not main) or (m[3] and name not in ("html", "body") and HIDDEN.search(m[3])) or (not article and any(OTHERS.fullmatch(w) for w in named)):
             out = True
             block = None
+        elif named:
+            marks = (*marks, at)
+            block = None
+        if article and not out:
+            around.update(marks)
+            clear = clear or not marks
         if name == "a":
             link = True
+    void = set() if clear else around
+    for b in found:
+        b.out = b.out or any(x not in void for x in b.marks)
     return found
 
 

@@ -296,6 +296,23 @@ def test_html_rules():
     assert htmltext.main_text("<p>open <!-- never closed") == "open"
 
 
+def test_html_furniture_spares_the_article():
+    text = "The first paragraph of the text is long enough to be decided by its rule."
+    other = "The words of the others are not what this page is about, and there are many of them."
+    for c in ("content-sidebar-wrap", "has-sidebar", "no-comments", "sidebar", "widget main-banner"):
+        assert htmltext.main_text(f'<div class="{c}"><article><p>{text}</p></article></div>') == text
+        assert htmltext.main_text(f'<main class="{c}"><p>{text}</p></main><p class="ad">{other}</p>') == text
+    for c in ("content-sidebar-wrap", "has-sidebar", "no-comments"):
+        assert htmltext.main_text(f'<div class="{c}"><p>{text}</p></div>') == text
+    assert htmltext.main_text(f'<h1 class="page-header">Head</h1><p>{text}</p>') == f"Head\n{text}"
+    # what is furniture still goes, in wrappers of its own names and beside the article
+    for c in ("ad-slot", "main-nav", "side-bar", "left-sidebar", "post-comments", "related-posts", "cookie-banner", "ads", "site_footer"):
+        assert htmltext.main_text(f'<article><p>{text}</p><div class="x {c}"><p>{other}</p></div></article>') == text
+        assert htmltext.main_text(f'<article><p>{text}</p></article><div id={c}><article><p>{other}</p></article></div>') == text
+    assert htmltext.main_text(f'<div><p>{text}</p></div><div class="comments"><article><p>{other}</p></article></div>') == text
+    assert htmltext.main_text(f'<div class="has-sidebar"><div hidden><article><p>{other}</p></article></div><p>{text}</p></div>') == text
+
+
 def test_html_query(spark, sf_dir):
     pages = common.table(spark, sf_dir, "pages")
     got = {r["page_id"]: r for r in htmltext.query(pages).collect()}
