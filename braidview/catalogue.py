@@ -559,18 +559,18 @@ def _(spark, d):
 
 @query("rank_estimate")
 def _(spark, d):
-    return _one(spark, k=linear.estimate_rank(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS, permutations=2))
+    return _one(spark, k=linear.estimate_rank(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS))
 
 
 @query("alignment_permutations")
 def _(spark, d):
-    out = linear.alignment_test(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS, linear.Spec(k=2, iterations=5), permutations=2)
+    out = linear.alignment_test(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS, linear.Spec(k=2))
     return _one(spark, observed=out["observed"], p=out["p"])
 
 
 @query("refit_permutations")
 def _(spark, d):
-    out = linear.refit_test(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS, linear.Spec(k=2, iterations=5), permutations=3)
+    out = linear.refit_test(_customer_views(spark, d), "c_custkey", CUSTOMER_VIEWS, linear.Spec(k=2))
     return _one(spark, observed=out["observed"], t=out["t"], p=out["p"])
 
 
@@ -601,21 +601,21 @@ def _(spark, d):
 @query("neural_scores")
 def _(spark, d):
     v = _customer_views(spark, d)
-    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="lend", k=2, epochs=3, batch=256, hidden=(16, 8)))
+    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="lend", k=2, batch=256, hidden=(16, 8)))
     return neural.score_neural(v, f, reconstruct=False).select("c_custkey", "u_orders_1", "u_orders_2", "u_lines_1", "u_lines_2")
 
 
 @query("flow_roundtrip")
 def _(spark, d):
     v = _customer_views(spark, d)
-    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="flow", k=2, epochs=2, batch=256, flow_hidden=16))
+    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="flow", k=2, batch=256, flow_hidden=16))
     return neural.score_neural(v, f).select("c_custkey", "u_1", "u_2", "r_mean_price")
 
 
 @query("flow_imputation")
 def _(spark, d):
     v = _customer_views(spark, d)
-    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="flow_v", k=2, epochs=2, batch=256, flow_hidden=16))
+    f = neural.fit_neural(v, CUSTOMER_VIEWS, neural.NeuralSpec(kind="flow_v", k=2, batch=256, flow_hidden=16))
     return neural.impute_view(v, f, "orders", "lines").select("c_custkey", "i_mean_quantity")
 
 

@@ -7,12 +7,14 @@ for the mixing to be made anew on the batch.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.constraints import constrain, parse_constraint, tangent
 from ..functions.gram import Moments, Score, consensus, downhill, energy, only, reconstruction_error, reconstruction_map, rv_of
@@ -291,15 +293,26 @@ def permutation_moments(df: DataFrame, key: str, f_scalings: Mapping[str, Scalin
     return Moments(gram, [0, *np.cumsum([len(cs) for cs in views.values()]).tolist()], n)
 
 
+@contextmanager
+def _held(df: DataFrame, key: str, views: Views) -> Iterator[DataFrame]:
+    """Key and views' columns of ``df``, computed once however often they are shuffled."""
+    rows = df.select(*[f"`{c}`" for c in dict.fromkeys([key, *[c for cs in views.values() for c in cs]])]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def refit_test(df: DataFrame, key: str, views: Views, spec: Spec, permutations: int = 50, seed: int = 0) -> dict[str, object]:
     """Final energy against those of fits to shuffled views: one-sample t of the null against the observed one, alternative "less"."""
-    seen = fit(df, views, spec)
     null = []
-    for p in range(permutations):
-        m = permutation_moments(df, key, seen.scalings, seen.views, seed + p + 1)
-        bases, _, _, _ = solve(m, spec)
-        u = consensus(m, bases, spec.mixer, spec.topology, spec.graph)
-        null.append(sum(energy(m, i, bases[i], u[i if len(u) > 1 else 0], spec.energy) for i in range(m.views)))
+    with _held(df, key, views) as rows:
+        seen = fit(rows, views, spec)
+        for p in range(permutations):
+            m = permutation_moments(rows, key, seen.scalings, seen.views, seed + p + 1)
+            bases, _, _, _ = solve(m, spec)
+            u = consensus(m, bases, spec.mixer, spec.topology, spec.graph)
+            null.append(sum(energy(m, i, bases[i], u[i if len(u) > 1 else 0], spec.energy) for i in range(m.views)))
     observed = sum(energy(seen.moments, i, seen.bases[i], seen.score_of(i), spec.energy) for i in range(seen.moments.views))
     t, p = one_sample_t(null, observed, "less") if permutations > 1 and np.std(null) > 0 else (0.0, 1.0)
     return {"observed": observed, "null": null, "t": t, "p": p}
@@ -311,12 +324,13 @@ def mean_alignment(m: Moments, bases: Sequence[np.ndarray], scores: Sequence[Sco
 
 def alignment_test(df: DataFrame, key: str, views: Views, spec: Spec, permutations: int = 100, seed: int = 0) -> dict[str, object]:
     """Mean RV of view projections with the score against shuffled refits; p is the share of the null at or above it."""
-    seen = fit(df, views, spec)
-    observed, null = mean_alignment(seen.moments, seen.bases, seen.scores), []
-    for p in range(permutations):
-        m = permutation_moments(df, key, seen.scalings, seen.views, seed + p + 1)
-        bases, scores, _, _ = solve(m, spec)
-        null.append(mean_alignment(m, bases, scores))
+    with _held(df, key, views) as rows:
+        seen = fit(rows, views, spec)
+        observed, null = mean_alignment(seen.moments, seen.bases, seen.scores), []
+        for p in range(permutations):
+            m = permutation_moments(rows, key, seen.scalings, seen.views, seed + p + 1)
+            bases, scores, _, _ = solve(m, spec)
+            null.append(mean_alignment(m, bases, scores))
     return {"observed": observed, "null": null, "p": float(np.mean([x >= observed for x in null])) if null else 1.0}
 
 
@@ -348,6 +362,11 @@ def estimate_rank(df: DataFrame, key: str, views: Views, permutations: int = 20,
     The search ends at the smallest number of components that holds ``share`` of some view's variance.
     """
     views = {v: list(cs) for v, cs in views.items()}
+    with _held(df, key, views) as rows:
+        return _estimate_rank(rows, key, views, permutations, share, seed)
+
+
+def _estimate_rank(df: DataFrame, key: str, views: Views, permutations: int, share: float, seed: int) -> int:
     scalings, m = fit_scalings(df, views, ["center"], moments=True)
     tops = []
     for i in range(m.views):

@@ -226,6 +226,27 @@ def test_harness(spark, case):
     assert grid["results"].count() == 2 and grid["best"].count() == 1
 
 
+def test_registered_models_run_their_whole_job(spark, sf_dir, monkeypatch):
+    from types import SimpleNamespace
+
+    views = catalogue._customer_views(spark, sf_dir)
+    _, centred = prep.fit_scalings(views, catalogue.CUSTOMER_VIEWS, ["center"], moments=True)
+    shuffles, rounds, epochs, solve = [], set(), [], linear.solve
+    monkeypatch.setattr(linear, "permutation_moments", lambda *a: shuffles.append(a[-1]) or centred)
+    monkeypatch.setattr(linear, "solve", lambda m, spec, *a, **k: rounds.add(spec.iterations) or solve(m, linear.Spec(k=2, iterations=1), *a, **k))
+    for name, operator in (("alignment_permutations", 100), ("rank_estimate", 20), ("refit_permutations", 50)):
+        shuffles.clear()
+        catalogue.QUERIES[name](spark, sf_dir)
+        assert len(set(shuffles)) == operator
+    assert rounds == {linear.Spec(k=2).iterations}
+    monkeypatch.setattr(neural, "fit_neural", lambda df, views, spec: epochs.append(spec.epochs))
+    for f in ("score_neural", "impute_view"):
+        monkeypatch.setattr(neural, f, lambda *a, **k: SimpleNamespace(select=lambda *c: None))
+    for name in ("neural_scores", "flow_roundtrip", "flow_imputation"):
+        catalogue.QUERIES[name](spark, sf_dir)
+    assert epochs == [neural.NeuralSpec().epochs] * 3
+
+
 def test_flagship(spark, sf_dir):
     got = catalogue.flagship(spark, sf_dir)
     assert got.columns == ["c_custkey", "u_1", "u_2"] and got.count() > 0
