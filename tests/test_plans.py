@@ -148,6 +148,23 @@ def test_epochs_take_every_row_once_in_new_orders():
     assert [len(b) for b in neural.regrouped(iter([x[:5], x[5:30], x[30:]]), 40)] == [40, 40, 20]
 
 
+def test_neural_mixes_independent_components(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    truth = rng.uniform(-1, 1, (600, 2))
+    both = np.hstack([truth @ rng.normal(size=(2, 3)), truth @ rng.normal(size=(2, 3))])
+    df = tables.from_matrix(spark, both)
+    views = {"a": ["x0", "x1", "x2"], "b": ["x3", "x4", "x5"]}
+    spec = neural.NeuralSpec(mixer="ica", topology="star", epochs=2, hidden=(4,), first_layer="raw", sign="any")
+    us = neural.score_neural(df, neural.fit_neural(df, views, spec), reconstruct=False).orderBy("row_id").select("u_1", "u_2").toPandas().to_numpy()
+    match = np.abs(np.corrcoef(us.T, truth.T)[:2, 2:])
+    assert match.max(axis=1).min() > 0.95 and set(match.argmax(axis=1)) == {0, 1}  # singular vectors leave the sources mixed
+    mixed = neural._mixed([neural.var(truth @ np.array([[1.0, 0.7], [0.4, 1.0]]))], spec).x
+    assert np.abs(np.corrcoef(mixed.T, truth.T)[:2, 2:]).max(axis=1).min() > 0.95
+    monkeypatch.setattr(neural, "ICA_CELLS", 100)
+    with pytest.raises(ValueError, match="ica"):
+        neural.fit_neural(df, views, spec)
+
+
 def test_flow_inverts():
     for mask in ("block", "alternate"):
         spec = neural.NeuralSpec(kind="flow", k=3, mask=mask)
