@@ -6,8 +6,8 @@ number of sets is counted, over all documents; the others come after these, by h
 other set meets. The index list of a shingle holds the sets with it in their prefix, by size and position. Set relations spare most comparisons:
 
 * equal sets are one set from the start;
-* lists are blocks by size and position, and blocks that can't reach the overlap are skipped as a whole;
-* in each list, every set is compared with one hub. What the hubs' comparisons say is used for the others: sets that these links connect, in whatever lists, need no
+* lists are sorted by size and cut into groups where sizes are too far apart to be linked; within a group size and position are tested pair by pair;
+* in each list, every set is compared with one hub, the set with the smallest mixed id (not one chosen for its similarity). What the hubs' comparisons say is used for the others: sets that these links connect, in whatever lists, need no
   comparison; and as 1 - similarity is a metric, two sets whose distances to a hub differ by more than 0.2 can't be linked. Only pairs about which the
   hubs say neither are compared as well.
 
