@@ -15,16 +15,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import stored, text_key
 
 SPAN = 3
 _KEY = ("_none", "_id", "_k1", "_k2")
+#: Up to so many documents with later windows, and so many of these (4 bytes each), are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_PLACES = 500_000, 5_000_000
 
 
-def _keyed(documents: DataFrame, *keep: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    own = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
-    return documents.select(*keep, *own, *text_key(text), F.split(text, "\n").alias("_lines"))
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def _own() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(*_own(), *text_key(_text("text")), F.split(_text("text"), "\n").alias("_lines"))
 
 
 def _worded() -> Column:
@@ -62,20 +70,25 @@ def later_windows(documents: DataFrame) -> DataFrame:
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``text`` without the removed lines, and ``n_lines n_removed n_runs``."""
-    columns = documents.columns
-    gone = later_windows(documents)
-    full = _keyed(documents, F.struct("*").alias("_row")).join(gone, list(_KEY), "left").select("_row", "_lines", "_gone")
-    placed = full.select("_row", "_lines", "_gone", F.when(F.col("_gone").isNotNull(), _worded()).alias("_worded"))
-    cut = F.array_distinct(F.flatten(F.transform("_gone", lambda i: F.slice("_worded", i, SPAN))))
-    placed = placed.select("_row", "_lines", F.coalesce(cut, F.array().cast("array<int>")).alias("_cut"))
-    places = F.sequence(F.lit(1), F.size("_lines"))
-    kept = F.when(F.size("_cut") == 0, F.col("_lines")).otherwise(F.transform(F.array_except(places, "_cut"), lambda i: F.get("_lines", i - 1)))
-    text = F.array_join(kept, "\n").alias("text")
+    """``documents`` with ``text`` without the removed lines, and ``n_lines n_removed n_runs`` (in place of columns of these names)."""
+    gone = stored(later_windows(documents), "gone")
+    rows, places = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    keyed = documents.select(F.struct("*").alias("_row"), *_own(), *text_key(_text("text")))
+    # the text moves, once, only where the places are too many to be sent to it
+    full = keyed.join(F.broadcast(gone) if rows <= BROADCAST_ROWS and places <= BROADCAST_PLACES else gone, list(_KEY), "left")
+    split = full.select("_row", "_gone", _text("_row.text").alias("_text"), F.split(_text("_row.text"), "\n").alias("_lines"))
+    places_of = lambda worded: F.array_distinct(F.flatten(F.transform("_gone", lambda i: F.slice(worded, i, SPAN))))
+    cut = F.get(F.transform(F.array(_worded()), places_of), F.lit(0))  # so the worded lines are found once
+    placed = split.select("_row", "_text", "_lines", F.when(F.col("_gone").isNotNull(), cut).alias("_cut"))
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size("_lines")), "_cut"), lambda i: F.get("_lines", i - 1))
+    runs = F.size(F.array_except("_cut", F.transform("_cut", lambda p: p + 1)))
+    made = {
+        "n_lines": F.size("_lines").cast("long"), "n_removed": F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.size("_cut")).cast("long"),
+        "n_runs": F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(runs).cast("long"),
+    }
+    text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")).alias("text")
     return placed.select(
-        *[text if c == "text" else F.col("_row").getField(c).alias(c) for c in columns],
-        F.size("_lines").cast("long").alias("n_lines"), F.size("_cut").cast("long").alias("n_removed"),
-        F.size(F.array_except("_cut", F.transform("_cut", lambda p: p + 1))).cast("long").alias("n_runs"),
+        *[text if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns if c not in made], *[v.alias(k) for k, v in made.items()]
     )
 
 
