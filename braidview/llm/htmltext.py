@@ -1,14 +1,15 @@
 """Main text of HTML pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. Pass one decides blocks by rule: those inside menus, page headers and footers,
+The page is cut into blocks at block-level tags, in one walk over its tags. Pass one decides blocks by rule: those inside menus, page headers and footers,
 sidebars, notices, adverts, forms, comments and the like are out; so are blocks that are mostly link text; longer blocks are in if enough of
-their words are stop words or they stand inside the article. Blocks too short to tell stay open. In pass two an open block takes the label of the
-nearest decided block of its section (article or not); if two are as near and disagree, or there is none, it is in.
+their words are stop words, inside the article as outside. The others stay open. In pass two an open block takes the label of the
+nearest decided block of its section (article or not); if two are as near and disagree, or there is none, it is in. Where no block of a section is in by rule, long open blocks are.
 
 Names of furniture count at either end of a class, id or role (``ad-slot``, ``main-nav``), not in names of layouts (``has-sidebar``, ``content-sidebar-wrap``), and
 not on an h1. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles.
 
-Defined cases. Null and empty pages give an empty text. Unclosed tags, comments and scripts end with the page; stray closing tags are ignored.
+Defined cases. Null and empty pages give an empty text. Unclosed elements, comments and scripts end with the page; stray closing tags are ignored; a tag without its ``>`` is text.
+A slash at the end of a tag closes nothing but void elements. Of furniture inside furniture the ``DEPTH`` innermost names count.
 Markup without any block tag is one block. Repeated rows give a row each. Only ``page_id``, ``url`` and ``html`` are read.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 SHORT = 60
 LINKS = 0.5
 STOPS = 0.12
+DEPTH = 50
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -56,9 +58,10 @@ FURNITURE = re.compile(
 OTHERS = re.compile(r"comments?|commentlist|disqus|respond|replies|related|recommend\w*", re.I)
 #: Parts of class names that tell of a page's layout or state, beside furniture or the lack of it.
 LAYOUT = frozenset("has have no not non with without layout off closed disabled".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+NAME_END = re.compile(r"[\s/>]")
+TAG_STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+NO_DISPLAY = re.compile(r"display\s*+:\s*+none", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -84,9 +87,64 @@ def _named_furniture(token: str) -> str | None:
     return None
 
 
-def _furniture(attributes: str) -> list[str]:
+def _attributes(text: str) -> dict[str, str]:
+    """The attributes of a tag; of repeated ones the first."""
+    found: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), a or b or c)
+    return found
+
+
+def _furniture(attributes: dict[str, str]) -> list[str]:
     """The furniture that an element's class, id and role name."""
-    return [w for a, b, c in NAMED.findall(attributes) for t in (a or b or c).split() if (w := _named_furniture(t))]
+    return [w for k in ("class", "id", "role") for t in attributes.get(k, "").split() if (w := _named_furniture(t))]
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """Texts ("", False, text), opening tags (name, False, attributes) and closing tags (name, True, ""), in one walk over the page.
+
+    Comments, declarations and the inside of scripts and the like are left out. A quote in a tag that nothing closes is a letter as any other; a tag that nothing closes is text.
+    """
+    at, end = 0, len(page)
+    last = {c: page.rfind(c) for c in ">\"'"}
+    closers: dict[str, re.Pattern] = {}
+    since = 0  # text that is still to be given out
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= end:
+            break
+        kind = page[start + 1]
+        if kind == "!" or kind == "?":
+            comment = page.startswith("<!--", start)
+            stop = page.find("-->" if comment else ">", start + (4 if comment else 2)) if last[">"] > start else -1
+            after = end if stop < 0 else stop + (3 if comment else 1)
+            name, closing, inside = "", False, ""
+        else:
+            closing = kind == "/"
+            first = start + 2 if closing else start + 1
+            if last[">"] < first or not (page[first].isascii() and page[first].isalpha()):
+                at = start + 1
+                continue
+            stop = NAME_END.search(page, first).start()
+            name, i = page[first:stop].lower(), stop
+            while True:
+                m = TAG_STOP.search(page, i)
+                if m is None or m[0] == ">":
+                    break
+                i = page.index(m[0], m.end()) + 1 if m.end() <= last[m[0]] else m.end()
+            stop = m.start() if m else page.index(">", stop)
+            inside, after = page[first + len(name) : stop], stop + 1
+        if start > since:
+            yield "", False, page[since:start]
+        at = since = after
+        if name:
+            yield name, closing, "" if closing else inside
+            if name in RAW and not closing:
+                close = closers.setdefault(name, re.compile(rf"</{name}(?=[\s/>])", re.I)).search(page, at)
+                stop = page.find(">", close.end()) if close else -1
+                at = since = end if stop < 0 else stop + 1
+    if since < end:
+        yield "", False, page[since:]
 
 
 def blocks(page: str) -> list[Block]:
@@ -94,70 +152,70 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     # name, inside the article, inside furniture, inside a link, and the elements around that are furniture by name only
     open_tags: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+    opened: dict[str, int] = {}  # how many of a name are open
+    large: list[int] = []  # which of them are block elements
     main = out = link = False
     marks: tuple[int, ...] = ()
     around: set[int] = set()  # marked elements around an article or main, or such themselves
     clear = False  # an article or main stands outside all furniture
     block: Block | None = None
-    at, end = 0, len(page)
-    while at <= end:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
-        if text:
+
+    def close(k: int) -> None:
+        nonlocal main, out, link, marks
+        _, main, out, link, marks = open_tags[k]
+        for x in open_tags[k:]:
+            opened[x[0]] -= 1
+        del open_tags[k:]
+        while large and large[-1] >= k:
+            large.pop()
+
+    for number, (name, closing, inside) in enumerate(tokens(page)):
+        if not name:
             if block is None:
                 block = Block(main, out, marks)
                 found.append(block)
-            block.parts.append(text)
-            block.linked += len(text.strip()) if link else 0
-        if m is None:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+            block.parts.append(inside)
+            block.linked += len(inside.strip()) if link else 0
             continue
         if name in BLOCKS:
             block = None
         elif name == "br" and block is not None:
             block.parts.append(" ")
-        if m[1]:
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    _, main, out, link, marks = open_tags[k]
-                    del open_tags[k:]
-                    if name in OUT:
-                        block = None
-                    break
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if closing:
+            if opened.get(name):
+                k = len(open_tags) - 1
+                while open_tags[k][0] != name:
+                    k -= 1
+                close(k)
+                if name in OUT:
+                    block = None
             continue
-        if name in VOID or m[3].endswith("/"):
+        if name in RAW or name in VOID:
             continue
-        if name == "p":
-            # a paragraph ends an unclosed one, and what was left open inside it
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == "p":
-                    _, main, out, link, marks = open_tags[k]
-                    del open_tags[k:]
-                    break
-                if open_tags[k][0] in BLOCKS:
-                    break
+        if name == "p" and large and open_tags[large[-1]][0] == "p":
+            close(large[-1])  # a paragraph ends an unclosed one, and what was left open inside it
+        if name == "a" and open_tags and open_tags[-1][0] == "a":
+            close(len(open_tags) - 1)
+        attributes = _attributes(inside) if inside else {}
+        if name in BLOCKS:
+            large.append(len(open_tags))
         open_tags.append((name, main, out, link, marks))
+        opened[name] = opened.get(name, 0) + 1
         article = name in ("article", "main")
         if article:
             main = True
-        named = _furniture(m[3]) if m[3] and name not in ("html", "body", "h1") else []
-        if name in OUT or (name == "header" and not main) or (m[3] and name not in ("html", "body") and HIDDEN.search(m[3])) or (not article and any(OTHERS.fullmatch(w) for w in named)):
+        named = _furniture(attributes) if attributes and name not in ("html", "body", "h1") else []
+        hidden = attributes and name not in ("html", "body") and ("hidden" in attributes or NO_DISPLAY.search(attributes.get("style", "")))
+        if name in OUT or (name == "header" and not main) or hidden or (not article and any(OTHERS.fullmatch(w) for w in named)):
             out = True
             block = None
         elif named:
-            marks = (*marks, at)
+            marks = (*marks, number)[-DEPTH:]
             block = None
         if article and not out:
             around.update(marks)
             clear = clear or not marks
-        if name == "a":
+        if name == "a" and "href" in attributes:
             link = True
     void = set() if clear else around
     for b in found:
@@ -170,39 +228,50 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def decide(text: str, linked: int, main: bool, out: bool) -> bool | None:
+    """Pass one: whether a block is in by its place, links, length and stop words; None if they leave it open."""
+    if out or linked > LINKS * len(text):
+        return False
+    return True if len(text) > SHORT and stop_density(text) >= STOPS else None
+
+
+def inherit(rows: list[tuple[int, bool, bool, bool | None]]) -> list[bool]:
+    """Pass two, over (length, in the article, in furniture, label): an open block takes the label of the nearest decided block of its section.
+
+    It is in if two are as near and disagree, or there is none. Furniture inside the article says nothing of what stands beside it. In a section where no block is in by rule, the
+    words are of no language that the list knows: long open blocks are in.
+    """
+    known = {main for _, main, _, label in rows if label}
+    near: list[list[tuple[int, bool]]] = [[] for _ in rows]
+    for order in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+        last: dict[bool, tuple[int, bool]] = {}
+        for i in order:
+            _, main, out, label = rows[i]
+            if label is None:
+                if main in last:
+                    near[i].append((abs(i - last[main][0]), last[main][1]))
+            elif not (main and out):
+                last[main] = (i, label)
+    labels = []
+    for (size, main, _, label), around in zip(rows, near):
+        if label is None:
+            closest = {x for d, x in around if d == min(y[0] for y in around)}
+            label = closest != {False} or (size > SHORT and main not in known)
+        labels.append(label)
+    return labels
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a line per block."""
     if not page:
         return ""
-    kept, outside = [], []
+    texts, rows = [], []
     for b in blocks(page):
         text = " ".join(entities.unescape("".join(b.parts)).split())
         if text:
-            label: bool | None = None
-            if b.out or b.linked > LINKS * len(text):
-                label = False
-            elif len(text) > SHORT:
-                label = b.main or stop_density(text) >= STOPS or None
-            kept.append((text, b.main, label))
-            outside.append(b.out)
-    # nearest decided block of the same section on either side
-    labels: list[bool | None] = [x[2] for x in kept]
-    near: list[list[tuple[int, bool]]] = [[] for _ in kept]
-    for order in (range(len(kept)), range(len(kept) - 1, -1, -1)):
-        last: dict[bool, tuple[int, bool]] = {}
-        for i in order:
-            _, main, label = kept[i]
-            if label is None:
-                if main in last:
-                    near[i].append((abs(i - last[main][0]), last[main][1]))
-            else:
-                if not (main and outside[i]):  # furniture inside the article says nothing of what stands beside it
-                    last[main] = (i, label)
-    for i, around in enumerate(near):
-        if labels[i] is None:
-            closest = {label for d, label in around if d == min(x[0] for x in around)}
-            labels[i] = closest != {False}
-    return "\n".join(x[0] for x, label in zip(kept, labels) if label)
+            texts.append(text)
+            rows.append((len(text), b.main, b.out, decide(text, b.linked, b.main, b.out)))
+    return "\n".join(x for x, label in zip(texts, inherit(rows)) if label)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
