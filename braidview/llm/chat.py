@@ -6,17 +6,21 @@ identifier (the n-th call of an id with its n-th result). Calls are put in topol
 "$id"; among free ones the earlier in the conversation is first. Arguments are validated against the declared schema (type, enum, required, properties,
 additionalProperties, items, minimum, maximum, minLength, maxLength). Every turn becomes one canonical JSON object: sorted keys, no spaces, letters as they are.
 
-Only the slim rows of calls, results and declarations are gathered by conversation; texts stay where they are, and a conversation may be of any length.
+Calls and declarations are joined by name for validation. For the order alone the calls of a conversation are gathered in one task, each with its id and the ids that it
+needs (some hundred bytes, no texts or arguments): a conversation may have as many calls as fit there, some millions; its turns, texts and results have no such bound.
 
 Defined cases. Null texts are empty, null roles stay null. A null ``conv_id`` is a conversation of its own name; repeated rows are formatted each and their calls counted once.
-JSON that can't be read stays in the content and counts in ``n_bad``. Calls on a cycle come last, in order of appearance, with ``order`` null. Calls without a
-declaration are ``valid`` null. Only ``conv_id``, ``turn``, ``role`` and ``text`` are read.
+Ids are compared by their text (a number by its JSON). Of several declarations of a name the last one counts, in the whole conversation.
+A tag that isn't sound JSON stays in the content and counts in ``n_bad``: text that can't be read, NaN and numbers beyond a double's range, surrogates without their other half, more than ``DEPTH`` levels,
+or a call, result or declaration without its name or id. Of equal keys in an object the last one counts. Calls on or behind a cycle come last, in order of appearance, with ``order`` null. Calls without a
+declaration, or with one whose schema has a keyword of the wrong kind, are ``valid`` null. Only ``conv_id``, ``turn``, ``role`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,32 +29,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<(tools|tool_call|tool_result)>(.*?)</\1>", re.S)
-_ENTRY = "k1 long, k2 long, conv string, turn long, seq int, kind string, id string, name string, body string"
+OPENING = re.compile(r"<(tools|tool_call|tool_result)>")
+DEPTH = 100
+_ENTRY = "k1 long, k2 long, conv string, turn long, seq int, kind string, id string, name string, body string, needs array<string>"
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def sound(text: str) -> object:
+    """The value of a JSON text; ``ValueError`` if it can't be read, nests too deep, or holds what UTF-8 or a double can't."""
+    try:
+        value = json.loads(text, parse_constant=_no_constant)
+    except RecursionError as e:
+        raise ValueError("nested too deep") from e
+    open_: list[tuple[object, int]] = [(value, 0)]
+    while open_:
+        x, depth = open_.pop()
+        if depth > DEPTH:
+            raise ValueError("nested too deep")
+        if isinstance(x, dict):
+            open_ += [(y, depth + 1) for pair in x.items() for y in pair]
+        elif isinstance(x, list):
+            open_ += [(y, depth + 1) for y in x]
+        elif isinstance(x, str):
+            x.encode()  # UnicodeEncodeError is a ValueError
+        elif isinstance(x, float) and not math.isfinite(x):
+            raise ValueError("a number is out of range")
+    return value
+
+
+def _entry(kind: str, value: object) -> bool:
+    """Whether a value is what its tag promises."""
+    if kind == "tools":
+        return isinstance(value, list) and all(isinstance(x, dict) and isinstance(x.get("name"), str) for x in value)
+    return isinstance(value, dict) and "id" in value and (kind == "tool_result" or isinstance(value.get("name"), str))
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[str, object]], int]:
     """The content without readable tags, the entries (kind, object) in order, and how many tags couldn't be read."""
-    entries, bad = [], 0
-
-    def take(m: re.Match) -> str:
-        nonlocal bad
+    text = text or ""
+    entries, bad, kept, since, at = [], 0, [], 0, 0
+    unclosed: set[str] = set()
+    while m := OPENING.search(text, at):
+        kind, at = m[1], m.end()
+        close = -1 if kind in unclosed else text.find(f"</{kind}>", at)
+        if close < 0:
+            unclosed.add(kind)
+            continue
+        inside, at = text[at:close], close + len(kind) + 3
         try:
-            value = json.loads(m[2])
+            value = sound(inside)
+            ok = _entry(kind, value)
         except ValueError:
-            value = None
-        ok = isinstance(value, list) and all(isinstance(x, dict) and isinstance(x.get("name"), str) for x in value) if m[1] == "tools" else isinstance(value, dict) and "id" in value
-        if not ok or (m[1] == "tool_call" and not isinstance(value.get("name"), str)):
+            ok = False
+        if ok:
+            entries.append((kind, value))
+            kept.append(text[since : m.start()])
+            since = at
+        else:
             bad += 1
-            return m[0]
-        entries.append((m[1], value))
-        return ""
-
-    return TAG.sub(take, text or "").strip(), entries, bad
+    return "".join([*kept, text[since:]]).strip(), entries, bad
 
 
 def _name(value: object) -> str:
@@ -60,29 +104,60 @@ def _name(value: object) -> str:
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
-def valid(value: object, schema: object) -> bool:
-    """Whether a value fits a schema (the keywords named above; others are ignored)."""
+def _number(x: object) -> bool:
+    return isinstance(x, (int, float)) and not isinstance(x, bool)
+
+
+def _is(value: object, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        return _number(value) and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES[kind])
+
+
+def _same(a: object, b: object) -> bool:
+    """Equality of JSON values: 1 is 1.0, but not true."""
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return isinstance(a, bool) == isinstance(b, bool) and a == b
+
+
+def usable(schema: object) -> bool:
+    """Whether the keywords of a schema that :func:`valid` reads are of the kinds that they have to be."""
     if not isinstance(schema, dict):
-        return schema is not False
+        return isinstance(schema, bool)
+    kinds = schema.get("type", [])
+    names = [kinds] if isinstance(kinds, str) else kinds
+    return (
+        isinstance(names, list) and (names != [] or "type" not in schema) and all(isinstance(k, str) and (k in _TYPES or k in ("number", "integer")) for k in names)
+        and isinstance(schema.get("enum", []), list)
+        and isinstance(schema.get("required", []), list) and all(isinstance(k, str) for k in schema.get("required", []))
+        and isinstance(schema.get("properties", {}), dict) and all(map(usable, schema.get("properties", {}).values()))
+        and usable(schema.get("additionalProperties", True)) and usable(schema.get("items", True))
+        and all(_number(schema.get(k, 0)) for k in ("minimum", "maximum")) and all(_is(schema.get(k, 0), "integer") for k in ("minLength", "maxLength"))
+    )
+
+
+def valid(value: object, schema: object) -> bool:
+    """Whether a value fits a usable schema (the keywords named above; others are ignored)."""
+    if isinstance(schema, bool):
+        return schema
     kinds = schema.get("type")
-    if kinds is not None:
-        number = isinstance(value, (int, float)) and not isinstance(value, bool)
-        fits = lambda k: number if k == "number" else number and float(value).is_integer() if k == "integer" else k in _TYPES and isinstance(value, _TYPES[k])
-        if not any(fits(k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-            return False
-    if "enum" in schema and canonical(value) not in {canonical(x) for x in schema["enum"]}:
+    if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return False
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return False
     if isinstance(value, dict):
         known = schema.get("properties", {})
         if any(k not in value for k in schema.get("required", [])) or any(k in value and not valid(value[k], s) for k, s in known.items()):
             return False
-        if not all(valid(v, schema.get("additionalProperties", True)) for k, v in value.items() if k not in known):
-            return False
-    if isinstance(value, list) and "items" in schema and not all(valid(v, schema["items"]) for v in value):
-        return False
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        return False
-    return not isinstance(value, str) or schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+        return all(valid(v, schema.get("additionalProperties", True)) for k, v in value.items() if k not in known)
+    if isinstance(value, list):
+        return all(valid(v, schema.get("items", True)) for v in value)
+    if isinstance(value, str):
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+    return not _number(value) or schema.get("minimum", value) <= value <= schema.get("maximum", value)
 
 
 def references(value: object) -> set[str]:
@@ -116,27 +191,40 @@ def topological(calls: list[tuple[str, set[str]]]) -> list[int | None]:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("conv", pa.string()), ("turn", pa.int64()), ("seq", pa.int32()), *[(c, pa.string()) for c in ("kind", "id", "name", "body")]])
+    """A row per call and result, and per name that a tag declares: a call's arguments and the ids that it needs, a declaration's schema."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("conv", pa.string()), ("turn", pa.int64()), ("seq", pa.int32()), *[(c, pa.string()) for c in ("kind", "id", "name", "body")], ("needs", pa.list_(pa.string()))])
     for batch in batches:
         rows = []
         for k1, k2, conv, turn, text in zip(*(c.to_pylist() for c in batch.columns)):
             for seq, (kind, value) in enumerate(parse(text)[1]):
-                for x in value if kind == "tools" else [value]:
-                    rows.append((k1, k2, conv, turn, seq, kind, None if kind == "tools" else _name(x["id"]), x.get("name"), canonical(x)))
+                place = (k1, k2, conv, turn, seq, kind)
+                if kind == "tools":
+                    rows += [(*place, None, name, canonical(x.get("parameters", {})), None) for name, x in {x["name"]: x for x in value}.items()]
+                elif kind == "tool_call":
+                    after, arguments = value.get("after"), value.get("arguments", {})
+                    needs = set(map(_name, after)) if isinstance(after, list) else set()
+                    rows.append((*place, _name(value["id"]), value["name"], canonical(arguments), sorted(needs | references(arguments))))
+                else:
+                    rows.append((*place, _name(value["id"]), None, None, None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whether arguments fit the schema beside them; null without a usable one."""
+    for batch in batches:
+        said = []
+        for body, declared in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            schema = None if declared is None else json.loads(declared)
+            said.append(valid(json.loads(body), schema) if declared is not None and usable(schema) else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.bool_())], names=["k1", "k2", "seq", "valid"])
+
+
 def _arrange(part: pd.DataFrame) -> pd.DataFrame:
-    """Order and validity of a conversation's calls."""
+    """The order of a conversation's calls."""
     part = part.sort_values(["turn", "k1", "k2", "seq"], kind="stable", na_position="first")
-    schemas = {r.name: json.loads(r.body).get("parameters", {}) for r in part[part["kind"] == "tools"].itertuples(index=False)}
-    calls = part[part["kind"] == "tool_call"]
-    bodies = [json.loads(b) for b in calls["body"]]
-    needs = [set(map(_name, b["after"] if isinstance(b.get("after"), list) else [])) | references(b.get("arguments")) for b in bodies]
-    out = calls[["k1", "k2", "seq"]].copy()
-    out["order"] = pd.array(topological(list(zip(calls["id"], needs))), dtype="Int64")
-    out["valid"] = pd.array([valid(b.get("arguments", {}), schemas[b["name"]]) if b["name"] in schemas else None for b in bodies], dtype="boolean")
+    out = part[["k1", "k2", "seq"]].copy()
+    out["order"] = pd.array(topological([(i, set(n)) for i, n in zip(part["id"], part["needs"])]), dtype="Int64")
     return out
 
 
@@ -153,12 +241,16 @@ def format_turns(turns: DataFrame) -> DataFrame:
     rows = _keys(turns)
     entries = rows.select("k1", "k2", "conv", "turn", "text").mapInArrow(_entries, _ENTRY).dropDuplicates(["k1", "k2", "seq", "name"])
     nth = F.row_number().over(Window.partitionBy("conv", "id", "kind").orderBy("turn", "k1", "k2", "seq"))
-    both = entries.where("kind <> 'tools'").withColumn("n", nth)
+    both = entries.where("kind <> 'tools'").select("k1", "k2", "conv", "turn", "seq", "kind", "id").withColumn("n", nth)
     calls = both.where("kind = 'tool_call'").select("k1", "k2", "conv", "turn", "seq", "id", "n")
     results = both.where("kind = 'tool_result'").select(F.col("k1").alias("r1"), F.col("k2").alias("r2"), "conv", F.col("turn").alias("result_turn"), F.col("seq").alias("result_seq"), "id", "n")
     linked = calls.hint("shuffle_hash").join(results, ["conv", "id", "n"], "full_outer")
-    arranged = entries.where("kind <> 'tool_result'").groupBy("conv").applyInPandas(_arrange, "k1 long, k2 long, seq int, order long, valid boolean")
-    of_calls = linked.where("k1 is not null").join(arranged, ["k1", "k2", "seq"], "left").select("k1", "k2", "seq", F.lit("c").alias("kind"), "order", "valid", F.col("result_turn").alias("other"), F.col("r1").isNotNull().alias("linked"))
+    own = entries.where("kind = 'tool_call'")
+    arranged = own.select("conv", "turn", "k1", "k2", "seq", "id", "needs").groupBy("conv").applyInPandas(_arrange, "k1 long, k2 long, seq int, order long")
+    declared = entries.where("kind = 'tools'").groupBy("conv", "name").agg(F.max(F.struct("turn", "k1", "k2", "seq", "body"))["body"].alias("declared"))
+    judged = own.join(declared, ["conv", "name"], "left").select("k1", "k2", "seq", "body", "declared").mapInArrow(_judge, "k1 long, k2 long, seq int, valid boolean")
+    told = linked.where("k1 is not null").join(arranged, ["k1", "k2", "seq"], "left").join(judged, ["k1", "k2", "seq"], "left")
+    of_calls = told.select("k1", "k2", "seq", F.lit("c").alias("kind"), "order", "valid", F.col("result_turn").alias("other"), F.col("r1").isNotNull().alias("linked"))
     of_results = linked.where("r1 is not null").select(
         F.col("r1").alias("k1"), F.col("r2").alias("k2"), F.col("result_seq").alias("seq"), F.lit("r").alias("kind"), F.lit(None).cast("long").alias("order"), F.lit(None).cast("boolean").alias("valid"),
         F.col("turn").alias("other"), F.col("k1").isNotNull().alias("linked"),
