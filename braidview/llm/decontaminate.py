@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import stored, text_key
 
 #: Anything but digits, a-z and what lies beyond ASCII separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,6 +28,10 @@ WINDOW = 10
 GRAM = 5
 #: At most so many distinct fingerprints (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 500_000
+#: At most so many first words of short items are looked up in place; beyond, all words are joined.
+FIRST_WORDS = 5_000
+#: Up to so many hit texts, and so many items of theirs, are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_HITS, BROADCAST_ITEMS = 500_000, 2_000_000
 
 
 def match_words(text: Column) -> Column:
@@ -104,18 +108,20 @@ def spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         *keys, "item_id", (F.col("_p") - F.col("_l")).alias("start"), (F.col("_p") + GRAM - 1 + F.col("_r")).alias("end")
     )
 
-    short = items.where(F.col("_n") < WINDOW).select("item_id", F.col("_n").alias("_m"), F.xxhash64("_n", "_w").alias("_h"))
+    short = items.where(F.col("_n") < WINDOW).select("item_id", F.col("_n").alias("_m"), F.xxhash64("_n", "_w").alias("_h"), F.get("_w", F.lit(0)).alias("_first"))
     lengths = sorted(r["_m"] for r in short.select("_m").distinct().collect())  # nine values at most
     if not lengths:
         return long
+    firsts = [r["_first"] for r in short.select("_first").distinct().limit(FIRST_WORDS + 1).collect()]
+    places = _positions(F.col("_n"), F.col("_n"))
+    if len(firsts) <= FIRST_WORDS:  # most words begin no short item: they are left out before anything is made of them
+        places = F.filter(places, lambda i: F.get("_w", i - 1).isin(firsts))
 
-    def whole(m: int) -> Column:
-        return F.transform(
-            _positions(F.col("_n"), F.col("_n") - m + 1),
-            lambda i: F.struct(i.alias("start"), (i + m - 1).alias("end"), F.xxhash64(F.lit(m), F.slice("_w", i, m)).alias("h")),
-        )
+    def whole(i: Column) -> Column:
+        made = [F.struct(i.alias("start"), (i + m - 1).alias("end"), F.xxhash64(F.lit(m), F.slice("_w", i, m)).alias("h")) for m in lengths]
+        return F.filter(F.array(*made), lambda x: x["end"] <= F.col("_n"))
 
-    pieces = texts.select(*keys, F.explode(F.concat(*[whole(m) for m in lengths])).alias("_f"))
+    pieces = texts.select(*keys, F.explode(F.flatten(F.transform(places, whole))).alias("_f"))
     pieces = pieces.select(*keys, F.col("_f.start").alias("start"), F.col("_f.end").alias("end"), F.col("_f.h").alias("_h"))
     hashes = short.select("_h").distinct()
     few = pieces.join(_maybe_broadcast(hashes, hashes.count()), "_h", "left_semi").distinct()
@@ -141,12 +147,20 @@ def covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, add, lambda acc: acc["n"])
 
 
+def _sent(hits: DataFrame, items: Column) -> DataFrame:
+    """What was found, written once, and broadcast if it is small enough."""
+    found = stored(hits, "hits")
+    n, many = found.agg(F.count("*"), F.coalesce(F.sum(items), F.lit(0))).first()
+    return F.broadcast(found) if n <= BROADCAST_HITS and many <= BROADCAST_ITEMS else found
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` with ``n_words n_hit n_items items_sha256 contaminated`` (in place of columns of these names); every row stays."""
     hits = spans(documents, benchmark).groupBy("_k1", "_k2").agg(
         covered(F.collect_set(F.struct("start", "end"))).alias("n_hit"),
         F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("_items"),
     )
+    hits = _sent(hits, F.size("_items"))
     text = F.coalesce("text", F.lit(""))
     counted = documents.select(F.struct("*").alias("_row"), *text_key(text), F.size(match_words(F.col("text"))).cast("long").alias("_n"))
     items = F.coalesce("_items", F.array().cast("array<string>"))
@@ -160,7 +174,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents``, unchanged, that no benchmark window touches."""
-    hit = spans(documents, benchmark).select("_k1", "_k2").distinct()
+    hit = _sent(spans(documents, benchmark).select("_k1", "_k2").distinct(), F.lit(0))
     keyed = documents.select(F.struct("*").alias("_row"), *text_key(F.coalesce("text", F.lit(""))))
     return keyed.join(hit, ["_k1", "_k2"], "left_anti").select("_row.*")
 
