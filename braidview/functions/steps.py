@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -184,13 +185,143 @@ class LimitedMemory(Step):
         return v + rate * q
 
 
+class Momentum(Step):
+    """Gradient steps on a decaying sum of gradients."""
+
+    def direction(self, s: dict, g: np.ndarray) -> np.ndarray:
+        return g
+
+    def move(self, s, v, g, energy):
+        beta = self.p.get("momentum", 0.9)
+        s["m"] = beta * s["m"] + (1 - beta) * self.direction(s, g)
+        return v + self.p["learning_rate"] * s["m"]
+
+
+class Noisy(Momentum):
+    """Momentum on gradients with normal noise of deviation ``sigma`` (variational gradient descent)."""
+
+    def direction(self, s, g):
+        return g + self.p.get("sigma", 0.1) * s.setdefault("rng", np.random.default_rng(self.p.get("seed", 0))).standard_normal(g.shape)
+
+
+class Preconditioned(Momentum):
+    """Momentum on gradients divided by a running mean of their squares, which starts at 1 (a diagonal stand-in for the Hessian)."""
+
+    def direction(self, s, g):
+        s["scale"] = 0.99 * s.get("scale", 1.0) + 0.01 * g**2
+        return g / (s["scale"] + self.p["epsilon"])
+
+
+class Random(Step):
+    """The best of some random moves, if any is better than staying; ``along`` the gradient, or from the basis itself. Without an energy the first move is taken."""
+
+    along = 0.0
+
+    def move(self, s, v, g, energy):
+        rng = s.setdefault("rng", np.random.default_rng(self.p.get("seed", 0)))
+        noise = self.p.get("noise_scale", 0.1) * rng.standard_normal((int(self.p.get("n_trials", 16)), *v.shape))
+        moves = v + self.p["learning_rate"] * (self.along * g + noise)
+        if energy is None:
+            return moves[0]
+        return min([v, *moves], key=lambda x: float(np.nan_to_num(energy(x), nan=np.inf)))
+
+
+class RandomAlong(Random):
+    along = 1.0
+
+
+class AmsGrad(Step):
+    """Adam whose second moment never falls."""
+
+    def move(self, s, v, g, energy):
+        b1, b2 = self.p["beta1"], self.p["beta2"]
+        s["m"], s["s"] = b1 * s["m"] + (1 - b1) * g, b2 * s["s"] + (1 - b2) * g**2
+        s["top"] = np.maximum(s["top"], s["s"])
+        return v + self.p["learning_rate"] * s["m"] / (np.sqrt(s["top"]) + self.p["epsilon"])
+
+
+class AdaDelta(Step):
+    """Steps in the unit of the basis: the root of past squared steps over that of past squared gradients."""
+
+    def move(self, s, v, g, energy):
+        rho, least = self.p.get("rho", 0.95), self.p.get("least", 1e-6)
+        s["s"] = rho * s["s"] + (1 - rho) * g**2
+        step = np.sqrt((s["m"] + least) / (s["s"] + least)) * g
+        s["m"] = rho * s["m"] + (1 - rho) * step**2
+        return v + step
+
+
+class Rectified(Step):
+    """Adam with the variance of its early rates rectified; plain momentum while that variance is unknown."""
+
+    def move(self, s, v, g, energy):
+        b1, b2, t = self.p["beta1"], self.p["beta2"], s["t"]
+        s["m"], s["s"] = b1 * s["m"] + (1 - b1) * g, b2 * s["s"] + (1 - b2) * g**2
+        mean, most = s["m"] / (1 - b1**t), 2 / (1 - b2) - 1
+        length = most - 2 * t * b2**t / (1 - b2**t)
+        if length <= 5:
+            return v + self.p["learning_rate"] * mean
+        r = np.sqrt((length - 4) * (length - 2) * most / ((most - 4) * (most - 2) * length))
+        return v + self.p["learning_rate"] * r * mean / (np.sqrt(s["s"] / (1 - b2**t)) + self.p["epsilon"])
+
+
+class Ranger(Lookahead):
+    inner = Rectified
+
+
+class OnManifold(Moments):
+    """Adam's step without what leaves the tangent space of orthonormal columns, and back onto them."""
+
+    def move(self, s, v, g, energy):
+        step = super().move(s, v, g, energy) - v
+        turn = v.T @ step
+        return polar(v + step - v @ (turn + turn.T) / 2)
+
+
+class Searched(Step):
+    """The direction of an inner rule, as far as a line search allows; without an energy the inner rule's own step."""
+
+    inner: type[Step] = Moments
+
+    def __init__(self, **options) -> None:
+        super().__init__(**options)
+        self.own = self.inner(**options)
+
+    def move(self, s, v, g, energy):
+        ahead = self.own.move(s, v, g, energy)
+        if energy is None:
+            return ahead
+        direction = (ahead - v) / self.p["learning_rate"]
+        slope = -float((g * direction).sum())
+        if slope >= 0:  # the inner rule's memory points uphill
+            direction, slope = g, -float((g * g).sum())
+        return v + backtrack(v, direction, slope, energy) * direction
+
+
+class SearchedRmsProp(Searched):
+    inner = RmsProp
+
+
+class SearchedNadam(Searched):
+    inner = Nadam
+
+
 RULES: dict[str, type[Step]] = {
     "hybrid_adam": Hybrid, "adam": Moments, "nadam": Nadam, "rmsprop": RmsProp, "gd": GradientStep, "armijo_gradient": Armijo,
     "bidirectional_armijo_gradient": ArmijoBoth, "lookahead": Lookahead, "bidirectional_lookahead": LookaheadBoth, "nsa_flow": Retraction, "lars": Lars,
-    "torch_adamw": AdamW, "torch_adagrad": Adagrad, "torch_nadam": Nadam, "torch_lbfgs": LimitedMemory,
+    "torch_adamw": AdamW, "torch_adagrad": Adagrad, "torch_nadam": Nadam, "torch_lbfgs": LimitedMemory, "adagrad": Adagrad, "lbfgs": LimitedMemory,
+    "random_search": Random, "random_gradient": RandomAlong, "sgd_momentum": Momentum, "ls_adam": Searched, "ls_rmsprop": SearchedRmsProp, "ls_nadam": SearchedNadam,
+    "amsgrad": AmsGrad, "adadelta": AdaDelta, "ranger": Ranger, "vsgd": Noisy, "riemannian_adam": OnManifold, "psgd": Preconditioned,
 }
 
 
+def list_steps() -> list[str]:
+    """The names of all rules."""
+    return sorted(RULES)
+
+
 def make_step(name: str, **options) -> Step:
-    """The rule of a name; an unknown one gives the hybrid."""
+    """The rule of a name; an unknown one gives the hybrid, with a warning."""
+    if name not in RULES:
+        warnings.warn(f"no step rule is named {name}: hybrid_adam is taken", stacklevel=2)
     return RULES.get(name, Hybrid)(**options)

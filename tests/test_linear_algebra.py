@@ -168,3 +168,49 @@ def test_autodiff():
             down[i] -= 1e-6
             args = lambda y: [ad.Var(y if n == k else o) for n, o in enumerate((w, b))]
             assert p[k].g[i] == pytest.approx((f(*args(up)).x - f(*args(down)).x) / 2e-6, abs=1e-5)
+
+
+def test_every_named_step_lowers_a_quadratic():
+    target = np.linspace(-1.0, 1.0, 12).reshape(6, 2)
+    energy = lambda v: float(((v - target) ** 2).sum())
+    assert steps.list_steps() == sorted(steps.RULES) and {"random_search", "ls_nadam", "psgd", "ranger"} <= set(steps.list_steps())
+    start = linalg.polar(np.random.default_rng(1).standard_normal((6, 2)))
+    for name in steps.list_steps():
+        for given in (energy, None):
+            if given is None and name in ("random_search", "random_gradient"):
+                continue  # they know no better move without it
+            rule, v = steps.make_step(name, learning_rate=0.05), start.copy()
+            for _ in range(60):
+                v = rule(0, v, 2 * (target - v), given)
+            assert np.isfinite(v).all() and energy(v) < energy(start), (name, given)
+        assert rule(1, start, target - start, None).shape == start.shape
+
+
+def test_searched_steps_never_go_uphill():
+    target = np.arange(8.0).reshape(4, 2)
+    energy = lambda v: float(((v - target) ** 2).sum())
+    for name in ("ls_adam", "ls_rmsprop", "ls_nadam", "random_search", "random_gradient"):
+        rule, v = steps.make_step(name), np.zeros((4, 2))
+        for _ in range(25):
+            after = rule(0, v, 2 * (target - v), energy)
+            assert energy(after) <= energy(v), name
+            v = after
+
+
+def test_agreement_needs_moments_alone():
+    from braidview.plans import neural
+
+    rng = np.random.default_rng(5)
+    u = rng.standard_normal((40, 3))
+    views = [u + 0.3 * i * rng.standard_normal((40, 3)) for i in range(4)]
+    for metric in neural.AGREEMENT:
+        got = neural.agreement(views, metric)
+        for i, z in enumerate(views):
+            unit = lambda x: (x - x.mean(axis=0)) / np.linalg.norm(x - x.mean(axis=0))
+            z, rest = unit(z), unit(sum(unit(x) for j, x in enumerate(views) if j != i))
+            best = linalg.procrustes_r2(z, rest) if metric.startswith("procrustes") else None
+            if best is not None and metric == "procrustes_r2":
+                assert got[i] == pytest.approx(max(0.0, 1 - np.linalg.norm(z @ linalg.polar(z.T @ rest) - rest) ** 2), abs=1e-6)
+            if metric == "trace":
+                assert got[i] == pytest.approx(max(0.0, np.trace(z.T @ rest)), abs=1e-9)
+        assert neural.agreement(views[:1], metric) == [1.0]
