@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 OPENING = re.compile(r"<(tools|tool_call|tool_result)>")
 DEPTH = 100
 _ENTRY = "k1 long, k2 long, conv string, turn long, seq int, kind string, id string, name string, body string, needs array<string>"
@@ -238,7 +240,7 @@ def _keys(turns: DataFrame) -> DataFrame:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """``conv_id turn role message n_calls n_linked n_invalid n_results n_bad`` of every row."""
-    rows = _keys(turns)
+    rows = small_batches(_keys(turns))
     entries = rows.select("k1", "k2", "conv", "turn", "text").mapInArrow(_entries, _ENTRY).dropDuplicates(["k1", "k2", "seq", "name"])
     nth = F.row_number().over(Window.partitionBy("conv", "id", "kind").orderBy("turn", "k1", "k2", "seq"))
     both = entries.where("kind <> 'tools'").select("k1", "k2", "conv", "turn", "seq", "kind", "id").withColumn("n", nth)

@@ -29,6 +29,12 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on sends Python a few MB of rows at once (64 MB otherwise): long texts go through buffers on both sides."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here."""
     spark = df.sparkSession

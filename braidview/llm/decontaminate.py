@@ -24,21 +24,29 @@ from .common import stored, text_key
 
 #: Anything but digits, a-z and what lies beyond ASCII separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BREAKS_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 GRAM = 5
 #: At most so many distinct fingerprints (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_FINGERPRINTS = 500_000
-#: At most so many first words of short items are looked up in place; beyond, all words are joined.
-FIRST_WORDS = 5_000
+#: At most so many fingerprints, and first words of short items, are looked up in the texts themselves before anything else is made of these; beyond, that step is left out.
+IN_PLACE = 20_000
 #: Up to so many hit texts, and so many items of theirs, are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_HITS, BROADCAST_ITEMS = 500_000, 2_000_000
 
 
 def match_words(text: Column) -> Column:
-    lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    text = F.coalesce(text, F.lit(""))
+    ascii_ = F.octet_length(text) == F.char_length(text)  # there lower() changes A-Z alone, and is much the faster
+    lowered = F.when(ascii_, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return F.filter(F.split(lowered, BREAKS), lambda w: w != F.lit(""))
 
 
+def match_words_count(text: Column) -> Column:
+    """The number of words, for which case is no matter: letters of both kinds are parts of words."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS_OF_ANY_CASE), lambda w: w != F.lit(""))).cast("long")
+
+
 def _positions(n: Column, last: Column) -> Column:
     """1, 2, ..., last; empty if there is none."""
     return F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
@@ -49,10 +57,18 @@ def _hashed(df: DataFrame, text: str, *keep: str) -> DataFrame:
     return words.select(*keep, F.transform("_words", lambda w: F.xxhash64(w)).alias("_w")).select(*keep, "_w", F.size("_w").alias("_n"))
 
 
-def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
-    """A row per fingerprint of each row's word hashes ``_w``: place ``_p`` (from 1), hash ``_h`` and the words around it."""
+def _within(value: str, values: list[int]) -> str:
+    return f"{value} IN ({', '.join(f'{v}L' for v in values)})" if values else "false"
+
+
+def fingerprints(hashed: DataFrame, *keep: str, known: list[int] | None = None) -> DataFrame:
+    """A row per fingerprint of each row's word hashes ``_w``: place ``_p`` (from 1), hash ``_h`` and the words around it.
+
+    With ``known`` only rows that have one of these grams anywhere are winnowed: the others can't have it as a fingerprint.
+    """
+    # no filters on what is made here, nor explode(), which brings its own: Spark would push them down and work out the words twice
     around = WINDOW - GRAM
-    grams = hashed.where(F.col("_n") >= WINDOW).select(
+    grams = hashed.select(
         *keep, "_w", "_n",
         F.transform(_positions(F.col("_n"), F.col("_n") - GRAM + 1), lambda i: F.xxhash64(*[F.get("_w", i - 1 + j) for j in range(GRAM)])).alias("_g"),
     )
@@ -62,7 +78,10 @@ def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
         piece = F.slice("_g", i, span)
         return i + F.array_position(piece, F.array_min(piece)).cast("int") - 1
 
-    chosen = grams.select(*keep, "_w", "_n", "_g", F.array_distinct(F.transform(_positions(F.col("_n"), F.col("_n") - WINDOW + 1), least)).alias("_at"))
+    at = F.array_distinct(F.transform(_positions(F.col("_n"), F.col("_n") - WINDOW + 1), least))
+    if known is not None:
+        at = F.when(F.expr(f"exists(_g, g -> {_within('g', known)})"), at).otherwise(F.array().cast("array<int>"))
+    chosen = grams.select(*keep, "_w", "_n", "_g", at.alias("_at"))
 
     def described(p: Column) -> Column:
         first = F.greatest(p - around, F.lit(1))
@@ -71,7 +90,7 @@ def fingerprints(hashed: DataFrame, *keep: str) -> DataFrame:
             F.slice("_w", first, p - first + GRAM + around).alias("around"),
         )
 
-    rows = chosen.select(*keep, F.explode(F.transform("_at", described)).alias("_f"))
+    rows = chosen.select(*keep, F.explode_outer(F.transform("_at", described)).alias("_f")).where("_f is not null")
     return rows.select(*keep, F.col("_f.p").alias("_p"), F.col("_f.h").alias("_h"), F.col("_f.first").alias("_first"), F.col("_f.around").alias("_around"))
 
 
@@ -97,7 +116,8 @@ def spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = fingerprints(items, "item_id").select("item_id", F.col("_p").alias("_ip"), "_h", F.col("_first").alias("_if"), F.col("_around").alias("_ia"))
     hashes = theirs.select("_h").distinct()
     known = hashes.count()
-    ours = fingerprints(texts, *keys).join(_maybe_broadcast(hashes, known), "_h", "left_semi").distinct()
+    values = [r["_h"] for r in hashes.collect()] if known <= IN_PLACE else None
+    ours = fingerprints(texts, *keys, known=values).join(_maybe_broadcast(hashes, known), "_h", "left_semi").distinct()
     # few rows are left: those of texts that share a gram with an item
     paired = ours.join(theirs, "_h")
     at, item_at = F.col("_p") - F.col("_first") + 1, F.col("_ip") - F.col("_if") + 1
@@ -112,16 +132,17 @@ def spans(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r["_m"] for r in short.select("_m").distinct().collect())  # nine values at most
     if not lengths:
         return long
-    firsts = [r["_first"] for r in short.select("_first").distinct().limit(FIRST_WORDS + 1).collect()]
+    first = short.select("_first").distinct()
     places = _positions(F.col("_n"), F.col("_n"))
-    if len(firsts) <= FIRST_WORDS:  # most words begin no short item: they are left out before anything is made of them
-        places = F.filter(places, lambda i: F.get("_w", i - 1).isin(firsts))
+    if first.count() <= IN_PLACE:  # most words begin no short item: they are left out before anything is made of them
+        listed = [r["_first"] for r in first.collect()]
+        places = F.when(F.col("_n") > 0, F.expr(f"filter(sequence(1, _n), i -> {_within('get(_w, i - 1)', listed)})")).otherwise(F.array().cast("array<int>"))
 
     def whole(i: Column) -> Column:
         made = [F.struct(i.alias("start"), (i + m - 1).alias("end"), F.xxhash64(F.lit(m), F.slice("_w", i, m)).alias("h")) for m in lengths]
         return F.filter(F.array(*made), lambda x: x["end"] <= F.col("_n"))
 
-    pieces = texts.select(*keys, F.explode(F.flatten(F.transform(places, whole))).alias("_f"))
+    pieces = texts.select(*keys, F.explode_outer(F.flatten(F.transform(places, whole))).alias("_f")).where("_f is not null")
     pieces = pieces.select(*keys, F.col("_f.start").alias("start"), F.col("_f.end").alias("end"), F.col("_f.h").alias("_h"))
     hashes = short.select("_h").distinct()
     few = pieces.join(_maybe_broadcast(hashes, hashes.count()), "_h", "left_semi").distinct()
@@ -162,7 +183,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     hits = _sent(hits, F.size("_items"))
     text = F.coalesce("text", F.lit(""))
-    counted = documents.select(F.struct("*").alias("_row"), *text_key(text), F.size(match_words(F.col("text"))).cast("long").alias("_n"))
+    counted = documents.select(F.struct("*").alias("_row"), *text_key(text), match_words_count(F.col("text")).alias("_n"))
     items = F.coalesce("_items", F.array().cast("array<string>"))
     made = {
         "n_words": F.col("_n"), "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ","), 256),

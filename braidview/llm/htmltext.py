@@ -23,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 SHORT = 60
 LINKS = 0.5
 STOPS = 0.12
@@ -285,7 +287,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id url text n_chars`` of every row of ``pages``; no shuffle."""
     rows = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return small_batches(rows).mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 query = extract

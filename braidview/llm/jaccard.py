@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, text_key
+from .common import drop_stored, small_batches, stored, text_key
 from .graph import components
 
 SIZE, PERCENT = 5, 80
 #: Bytes of text in a batch, and of text whose words are hashed at once.
-BATCH_BYTES, HOLD_BYTES = 8 << 20, 1 << 20
+BATCH_BYTES, HOLD_BYTES = 4 << 20, 1 << 20
 #: Entries of a bucket, at most about (each batch sends a shingle once); sets of a hub, and shingles of theirs, that are compared in one part.
 BUCKET_POSTINGS, GROUP, GROUP_SHINGLES = 1 << 20, 2000, 1_000_000
 #: Entries of a list's block.
@@ -147,7 +147,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def survey(documents: DataFrame) -> DataFrame:
     """``doc_id k1 k2 id n`` of all rows, and ``size data``, the packed text, of one row at least for each id."""
-    return stored(_keyed(documents).mapInArrow(_survey, "doc_id long, k1 long, k2 long, id long, n long, size long, data binary"), "sets")
+    return stored(small_batches(_keyed(documents)).mapInArrow(_survey, "doc_id long, k1 long, k2 long, id long, n long, size long, data binary"), "sets")
 
 
 def _sets(table: pa.Table) -> Iterator[tuple[int, int, bytes, np.ndarray]]:

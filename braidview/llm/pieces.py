@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
+from .common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Letters of distinct segments that are matched at once, and of text that is held at once.
 MATCH_LETTERS = 400_000
-HOLD_LETTERS = 4_000_000
+HOLD_LETTERS = 1_500_000
 #: Segments whose ids a task remembers; longer ones than so many letters are matched by themselves.
-REMEMBERED, LONG_LETTERS = 500_000, 5_000
+REMEMBERED, LONG_LETTERS = 400_000, 5_000
 #: Answers about pairs of pieces that a task remembers, as a power of two.
 PAIR_BITS = 20
 
@@ -405,7 +407,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids")
             texts = b.column(at).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(texts, *pieces.encode_flat(texts))], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))]))
+    return small_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))]))
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -418,7 +420,7 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", out: str = "decoded"
             texts = pa.array([pieces.decode(x) for x in b.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return small_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def encode_checked(df: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -433,7 +435,7 @@ def encode_checked(df: DataFrame, pieces: Pieces, text: str = "text") -> DataFra
             same = pa.array([t is None or x == t for x, t in zip(pieces.decode_flat(ids, bounds), texts)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*b.columns, _lists(texts, ids, bounds), same], names=names)
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
+    return small_batches(df).mapInArrow(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]))
 
 
 def query(documents: DataFrame, model: str = MODEL) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import small_batches, text_key
 
 LONG, GRAM = 50, 20
 SPAN = LONG - GRAM + 1
@@ -176,13 +176,32 @@ def suffix_order(text: bytes) -> list[int]:
     return out
 
 
+def _zip(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _unzip(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts packed one by one, as they are shuffled and read several times."""
+    for batch in batches:
+        sizes, data = [], []
+        for x in batch.column(4):
+            text = x.as_py()
+            sizes.append(len(text))
+            data.append(_zip(text))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["batch", "doc_id", "k1", "k2", "size", "data"])
+
+
 def _rows_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Ids (null: NO_ID), texts and the order in which a batch's documents are numbered in every step."""
     ids = table.column("doc_id").fill_null(NO_ID).to_numpy()
     k1, k2 = (table.column(c).to_numpy() for c in ("k1", "k2"))
     order = np.lexsort((k2, k1, ids))
-    texts = table.column("text").to_pylist()
-    return ids[order], [texts[i] for i in order], order
+    data, sizes = table.column("data").to_pylist(), table.column("size").to_pylist()
+    return ids[order], [_unzip(data[i], sizes[i]) for i in order], order
 
 
 def _packed(bucket: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
@@ -240,8 +259,8 @@ def _classes(buckets: int):
     """Per bucket the batch's classes of equal snippets with their members; copies within the batch are covered at once."""
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        names = ["bucket", "of", "classes", "members", "texts", "cover"]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        names = ["bucket", "of", "classes", "members", "size", "texts", "cover"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         if not table.num_rows or not told.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         batch = table.column("batch")[0].as_py()
@@ -276,9 +295,9 @@ def _classes(buckets: int):
             own = order[lo:hi]
             mine = np.concatenate([np.arange(offset[c], offset[c + 1]) for c in own])
             content = b"".join(texts[x["row"][starts[c]]][x["start"][starts[c]] : x["start"][starts[c]] + x["size"][starts[c]] + LONG - 1] for c in own if mixed[starts[c]])
-            rows.append((int(bucket[own[0]]), batch, classes[own].tobytes(), members[mine].tobytes(), content, b""))
+            rows.append((int(bucket[own[0]]), batch, classes[own].tobytes(), members[mine].tobytes(), len(content), _zip(content), b""))
         if len(cover):
-            rows.append((batch % buckets, batch, b"", b"", b"", cover.tobytes()))
+            rows.append((batch % buckets, batch, b"", b"", 0, b"", cover.tobytes()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -325,7 +344,8 @@ def _settle(table: pa.Table) -> pa.Table:
     """The covered ranges that a bucket's classes tell, by batch."""
     found: dict[int, list[np.ndarray]] = {}
     parts, members, of, content = [], [], [], []
-    for b, c, m, t, cover in zip(*(table.column(k).to_pylist() for k in ("of", "classes", "members", "texts", "cover"))):
+    for b, c, m, size, t, cover in zip(*(table.column(k).to_pylist() for k in ("of", "classes", "members", "size", "texts", "cover"))):
+        t = _unzip(t, size)
         if cover:
             found.setdefault(b, []).append(np.frombuffer(cover, dtype=_COVER))
         if c:
@@ -334,9 +354,9 @@ def _settle(table: pa.Table) -> pa.Table:
             members.append(np.frombuffer(m, dtype=_MEMBER))
             of.append(np.full(len(part), b))
             at = 0
-            for mixed, size in zip(part["mixed"].tolist(), part["size"].tolist()):
-                content.append(t[at : at + size + LONG - 1] if mixed else b"")
-                at += size + LONG - 1 if mixed else 0
+            for mixed, windows in zip(part["mixed"].tolist(), part["size"].tolist()):
+                content.append(t[at : at + windows + LONG - 1] if mixed else b"")
+                at += windows + LONG - 1 if mixed else 0
     if parts:
         classes, member, of = np.concatenate(parts), np.concatenate(members), np.concatenate(of)
         offset = np.concatenate([[0], np.cumsum(classes["members"], dtype=np.int64)])
@@ -435,9 +455,10 @@ def dedup_substrings(documents: DataFrame, with_text: bool = True) -> DataFrame:
     k1, k2 = text_key(text)
     rows = documents.select(F.col("doc_id").cast("long"), k1.alias("k1"), k2.alias("k2"), text.cast("binary").alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("doc_id", "k1", "k2"), F.lit(batches)).cast("long").alias("batch"), "doc_id", "k1", "k2", "text")
+    rows = small_batches(rows).mapInArrow(_zipped, "batch long, doc_id long, k1 long, k2 long, size long, data binary")
     hashes = rows.groupBy("batch").applyInArrow(_grams(buckets), "bucket long, of long, data binary")
     told = hashes.groupBy("bucket").applyInArrow(_repeated, "of long, data binary")
-    classes = rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_classes(buckets), "bucket long, of long, classes binary, members binary, texts binary, cover binary")
+    classes = rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_classes(buckets), "bucket long, of long, classes binary, members binary, size long, texts binary, cover binary")
     covers = classes.groupBy("bucket").applyInArrow(_settle, "of long, cover binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<long>" * with_text
     return rows.groupBy("batch").cogroup(covers.groupBy("of")).applyInArrow(_cut(with_text), schema)

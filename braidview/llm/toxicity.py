@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 TRAIN_ROWS = 20_000
 LEXICON = 1_000
@@ -217,7 +217,7 @@ def _counts(rows: DataFrame, words_of) -> DataFrame:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    rows = stored(training_rows(documents, labels), "toxic-sample")
+    rows = small_batches(stored(training_rows(documents, labels), "toxic-sample"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -258,7 +258,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, rounds: int =
 
 
 def score(documents: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """``documents`` with the score as column ``out``; no shuffle."""
+    """``documents`` with the score as column ``out`` (in place of one of that name); no shuffle."""
+    documents = documents.select(*[c for c in documents.columns if c != out])
     columns = documents.columns
     at = columns.index("text")
 
@@ -269,7 +270,7 @@ def score(documents: DataFrame, model: Model, out: str = "score") -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField(out, DoubleType())]))
+    return small_batches(documents).mapInArrow(run, StructType([*documents.schema.fields, StructField(out, DoubleType())]))
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ folder on every store; ``content`` is a whole .warc.gz file of about ``ARCHIVE_B
 
 Defined cases. Null pages are empty payloads. Of records with equal payloads of 100 bytes or more, those with the smallest ``page_id`` are
 responses (repeated rows of that id too); others revisit them. Null ids count as larger than any other. Smaller payloads are always responses.
-Line breaks in a URL are percent-encoded; a null URL is left out and comes back as null.
+Blanks, line breaks and percent signs in a URL are percent-encoded in the archive, so that it comes back as it was; a null URL is left out and comes back as null.
 Only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 LEAST_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
+#: What would not survive in a header line.
+ESCAPES = {c: f"%{ord(c):02X}" for c in "%\r\n \t"}
+ESCAPED = re.compile("|".join(ESCAPES.values()))
 DATE = "1970-01-01T00:00:00Z"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
@@ -39,7 +43,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + "".join(ESCAPES.get(c, c) for c in url))
     if refers_to is None:
         block += payload
     else:
@@ -72,12 +76,14 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     first, *lines = head.decode().split("\r\n")
     if not cut or not first.startswith("WARC/"):
         raise ValueError("no WARC record")
-    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    n = int(headers["content-length"])
-    block = rest[:n]
-    if len(block) != n or rest[n:] != b"\r\n\r\n":
+    headers = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines)}
+    size = headers.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise ValueError("the record has no Content-Length")
+    block = rest[: int(size)]
+    if len(block) != int(size) or rest[int(size) :] != b"\r\n\r\n":
         raise ValueError("Content-Length doesn't fit the record")
-    if headers["warc-block-digest"] != f"sha256:{_sha256(block)}":
+    if headers.get("warc-block-digest") != f"sha256:{_sha256(block)}":
         raise ValueError("the block doesn't match its digest")
     return headers, block
 
@@ -91,16 +97,18 @@ def read_records(archive: bytes) -> Iterator[tuple]:
     """Rows of READ_SCHEMA, in the archive's order."""
     for member in members(archive):
         headers, block = parse(member)
-        digest = headers["warc-payload-digest"].removeprefix("sha256:")
+        digest, kind = headers.get("warc-payload-digest", "").removeprefix("sha256:"), headers.get("warc-type")
         head, _, payload = block.partition(b"\r\n\r\n")
-        size = int(head.split(b"Content-Length: ", 1)[1].split(b"\r\n", 1)[0])
-        kind = headers["warc-type"]
+        found = re.search(rb"\r\nContent-Length: (\d+)(?:\r\n|$)", head)
+        if kind not in ("response", "revisit") or found is None:
+            raise ValueError("no record of a page")
+        size = int(found[1])
         if kind == "response" and (len(payload) != size or _sha256(payload) != digest):
             raise ValueError("the payload doesn't match its digest")
         url = headers.get("warc-target-uri")
         if url is not None:
-            url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
-        yield _page(headers["warc-record-id"]), size, digest, kind, _page(headers.get("warc-refers-to")), url
+            url = ESCAPED.sub(lambda m: chr(int(m[0][1:], 16)), url)
+        yield _page(headers.get("warc-record-id")), size, digest, kind, _page(headers.get("warc-refers-to")), url
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +151,7 @@ def with_revisits(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives to the shared folder; the table of archives."""
-    return stored(with_revisits(pages).mapInArrow(_write, "archive string, content binary"), "warc")
+    return stored(small_batches(with_revisits(pages)).mapInArrow(_write, "archive string, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
