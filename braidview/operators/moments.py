@@ -51,13 +51,32 @@ def gram_long(df: DataFrame, key: str, left: Sequence[str], right: Sequence[str]
 
 
 def correlation_adjacency(df: DataFrame, columns: Sequence[str], threshold: float = 0.8, absolute: bool = True) -> np.ndarray:
-    """Correlations of column pairs over the rows where both are present, those under the threshold as 0, ones on the diagonal."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i)]
-    out = np.eye(len(columns))
-    if pairs:
-        row = df.agg(*[F.corr(F.when(value(columns[j]).isNotNull(), value(columns[i])), F.when(value(columns[i]).isNotNull(), value(columns[j]))).alias(f"r{k}") for k, (i, j) in enumerate(pairs)]).first()
-        for k, (i, j) in enumerate(pairs):
-            r = row[f"r{k}"]
-            r = 0.0 if r is None or r != r else r
-            out[i, j] = out[j, i] = r if (abs(r) if absolute else r) >= threshold else 0.0
+    """Correlations of column pairs over the rows where both are present, those under the threshold as 0, ones on the diagonal.
+
+    One pass: every batch of rows gives the sums of products of values, their squares and presences for all pairs at once, around the columns' means.
+    """
+    p = len(columns)
+    row = df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    mean = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, p, p))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - mean
+            here = np.isfinite(x).astype(float)
+            x = np.where(here > 0, x, 0.0)
+            total += np.stack([x.T @ x, x.T @ here, (x**2).T @ here, here.T @ here])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * p * p)), pa.array(total.ravel())], names=["at", "v"])
+
+    sums = df.select(*[value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # 4 p p rows
+    flat = np.zeros(4 * p * p)
+    for r in sums:
+        flat[r["at"]] = r["v"]
+    xy, x, xx, n = flat.reshape(4, p, p)
+    n = np.maximum(n, 1.0)
+    size = np.sqrt((xx - x**2 / n).clip(min=0.0))  # of the row's column where the other one is present
+    both = size * size.T
+    r = np.divide(xy - x * x.T / n, both, out=np.zeros((p, p)), where=both > 1e-300)
+    out = np.where((np.abs(r) if absolute else r) >= threshold, r, 0.0)
+    np.fill_diagonal(out, 1.0)
     return out

@@ -109,30 +109,57 @@ def variance_shares(values: DataFrame, threshold: float) -> DataFrame:
     return values.withColumn("share", share).withColumn("enough", F.col("share") >= threshold)
 
 
-def split_rows(df: DataFrame, key: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Rows in the order of their key cut at floor(n * cumulative share); the last part takes the rest.
+def below(bounds: Sequence[object], x: Column) -> Column:
+    """How many of the ascending ``bounds`` are smaller than ``x``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.array(*[F.lit(b) for b in bounds])
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        middle = F.shiftright(low + high, 1)
+        smaller = (low < high) & (F.get(table, middle) < x)
+        return F.struct(F.when(smaller, middle + 1).otherwise(low).cast("int").alias("low"), F.when((low < high) & ~smaller, middle).otherwise(high).cast("int").alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda acc: acc["low"])
+
+
+#: Rows of a range that one task numbers, about; ranges at most; keys that their bounds are taken from.
+RANGE_ROWS, RANGES, RANGE_SAMPLE = 200_000, 1024, 20_000
 
-    Numbering goes by key ranges of equal width: counts per range first (a bounded list), places within ranges after, so no task orders all rows.
+
+def numbered(df: DataFrame, key: str, *ties: str, place: str = "_place") -> tuple[DataFrame, int]:
+    """``df`` with the rows' places from 1 in the order of ``key`` (of any type with an order), then ``ties``; and their number.
+
+    Numbering goes by key ranges of about equal numbers of rows: bounds from the keys with the smallest hashes (a bounded list), rows per range next, places within ranges last, so
+    no task orders all rows.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    ranges = 256
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    part = F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int")
-    rows = df.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()}
+    n = df.count()
+    parts, bounds = min(RANGES, -(-n // RANGE_ROWS)), []
+    if parts > 1:
+        sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(RANGE_SAMPLE).collect())
+        bounds = sorted({sample[len(sample) * p // parts] for p in range(1, parts)}) if sample else []
+    rows = df.withColumn("_part", F.coalesce(below(bounds, F.col(key)), F.lit(0)))
+    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()} if bounds else {}
     before, total = [], 0
-    for p in range(ranges):
+    for p in range(len(bounds) + 1):
         before.append(total)
         total += sizes.get(p, 0)
-    place = F.element_at(F.array(*[F.lit(b) for b in before]), F.col("_part") + 1) + F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    rows, cut, label = rows.withColumn("_place", place), 0, F.lit(names[-1])
-    bounds = []
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
+    return rows.withColumn(place, F.get(F.array(*[F.lit(b) for b in before]), F.col("_part")) + at).drop("_part"), n
+
+
+def split_rows(df: DataFrame, key: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Rows in the order of their key cut at floor(n * cumulative share); the last part takes the rest."""
+    rows, n = numbered(df, key)
+    cut, label, bounds = 0, F.lit(names[-1]), []
     for s in shares[:-1]:
         cut += int(n * s)
         bounds.append(cut)
     for b, name in reversed(list(zip(bounds, names))):
         label = F.when(F.col("_place") <= b, F.lit(name)).otherwise(label)
-    return rows.withColumn("part", label).drop("_part", "_place")
+    return rows.withColumn("part", label).drop("_place")
 
 
 def union_rows(frames: Sequence[DataFrame]) -> DataFrame:

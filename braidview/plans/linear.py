@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -23,6 +23,7 @@ from ..functions.steps import make_step
 from ..operators.columns import value, weighted_sum
 from ..operators.moments import second_moments
 from ..operators.prep import Scaling, fit_scalings
+from ..operators.relational import numbered
 
 Views = Mapping[str, Sequence[str]]
 
@@ -251,34 +252,27 @@ def decompose(f: Fit, kind: str | None = None) -> dict[str, dict[str, object]]:
     return out
 
 
+def shuffling(seed: int, view: int, key: str) -> Column:
+    """60 bits that order the rows of a view at random: the head of the MD5 of seed, view and key."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(view), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+
+
 def shuffled(df: DataFrame, key: str, views: Views, seed: int) -> DataFrame:
-    """Rows of every view but the first put in another order, each view in its own: places by a hash of key, seed and view, joined on the place.
+    """Rows of every view put in an order of their own, by a hash of seed, view and key, and joined by their places.
 
-    The order depends on keys and seed alone. One exchange per view; no single-task window, as places come from a range-partitioned count.
+    The order depends on keys and seed alone. One exchange per view; no task orders all rows.
     """
     names = list(views)
-    out = ranked(df.select(*[f"`{c}`" for c in views[names[0]]], F.col(key)), F.xxhash64(F.lit(f"{seed}:0"), F.col(key)), key)
+    out = ranked(df.select(*[f"`{c}`" for c in views[names[0]]], F.col(key)), shuffling(seed, 0, key), key)
     for i, v in enumerate(names[1:], 1):
-        other = ranked(df.select(*[f"`{c}`" for c in views[v]], F.col(key).alias("_other")), F.xxhash64(F.lit(f"{seed}:{i}"), F.col("_other")), "_other").drop("_other")
+        other = ranked(df.select(*[f"`{c}`" for c in views[v]], F.col(key).alias("_other")), shuffling(seed, i, "_other"), "_other").drop("_other")
         out = out.join(other, "_place")
     return out.drop("_place")
 
 
-def ranked(df: DataFrame, order, tie: str, place: str = "_place") -> DataFrame:
-    """Rows numbered from 1 in the order of ``order`` (then ``tie``), without gathering them: sizes of hash-range parts first, then places within."""
-    parts = 64
-    h = df.withColumn("_order", order)
-    part = F.shiftrightunsigned("_order", 58).cast("int")  # the top six bits of a hash are uniform
-    h = h.withColumn("_part", part)
-    sizes = {r["_part"]: r["count"] for r in h.groupBy("_part").count().collect()}  # 64 rows at most
-    before, total = {}, 0
-    for p in range(parts):
-        before[p] = total
-        total += sizes.get(p, 0)
-    from pyspark.sql import Window
-
-    start = F.element_at(F.array(*[F.lit(before[p]) for p in range(parts)]), F.col("_part") + 1)
-    return h.withColumn(place, start + F.row_number().over(Window.partitionBy("_part").orderBy("_order", tie))).drop("_part", "_order")
+def ranked(df: DataFrame, order: Column, tie: str, place: str = "_place") -> DataFrame:
+    """Rows numbered from 1 in the order of ``order`` (then ``tie``), without gathering them."""
+    return numbered(df.withColumn("_order", order), "_order", tie, place=place)[0].drop("_order")
 
 
 def permutation_moments(df: DataFrame, key: str, f_scalings: Mapping[str, Scaling], views: Views, seed: int) -> Moments:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
-import shutil
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -63,32 +62,65 @@ def _kind(value: object) -> str:
     return "json"
 
 
-def write_artifact(value: Mapping[str, object], path: str, clear: bool = False) -> str:
-    """Write a result as a folder: a file (or Parquet folder) per member and a manifest. Members of lists are numbered from 1."""
-    if clear and os.path.isdir(path):
-        shutil.rmtree(path)
-    os.makedirs(path, exist_ok=True)
+class Store:
+    """Small files where Spark reads and writes its tables, on whatever file system a path names."""
+
+    def __init__(self, spark: SparkSession | None = None) -> None:
+        self.spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        self.jvm, self.conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.conf)
+
+    def put(self, path: str, text: str) -> None:
+        where, fs = self._at(path)
+        out = fs.create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def get(self, path: str) -> str:
+        where, fs = self._at(path)
+        data = fs.open(where)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(data)).decode()
+        finally:
+            data.close()
+
+    def delete(self, path: str) -> None:
+        where, fs = self._at(path)
+        fs.delete(where, True)
+
+
+def write_artifact(value: Mapping[str, object], path: str, clear: bool = False, store: Store | None = None) -> str:
+    """Write a result as a folder: a file (or Parquet folder) per member and a manifest. Members of lists are numbered from 1.
+
+    All of it goes through Hadoop's file systems, so the folder may lie wherever the executors write tables.
+    """
+    store = store or Store()
+    if clear:
+        store.delete(path)
     manifest: dict[str, dict[str, str]] = {}
     for name, v in value.items():
         kind, name = _kind(v), str(name)
-        at = os.path.join(path, name)
+        at = f"{path.rstrip('/')}/{name}"
         manifest[name] = {"type": kind}
         if kind == "table":
             v.write.mode("overwrite").parquet(at + ".parquet")
         elif kind == "data_frame":
-            v.to_csv(at + ".csv")
+            store.put(at + ".csv", v.to_csv())
         elif kind == "matrix":
-            pd.DataFrame(v if v.ndim > 1 else v[:, None]).to_csv(at + ".csv")
+            store.put(at + ".csv", pd.DataFrame(v if v.ndim > 1 else v[:, None]).to_csv())
             manifest[name]["shape"] = json.dumps(list(v.shape))
         elif kind == "dict":
-            write_artifact(v, at)
+            write_artifact(v, at, store=store)
         elif kind == "list":
-            write_artifact({str(i): x for i, x in enumerate(v, 1)}, at)
+            write_artifact({str(i): x for i, x in enumerate(v, 1)}, at, store=store)
         elif kind == "json":
-            with open(at + ".json", "w") as f:
-                json.dump(v, f, default=_plain)
-    with open(os.path.join(path, "manifest.json"), "w") as f:
-        json.dump(manifest, f, indent=1)
+            store.put(at + ".json", json.dumps(v, default=_plain))
+    store.put(f"{path.rstrip('/')}/manifest.json", json.dumps(manifest, indent=1))
     return path
 
 
@@ -102,25 +134,23 @@ def _plain(x: object) -> object:
 
 def read_artifact(path: str, spark: SparkSession | None = None) -> dict[str, object]:
     """Read back what :func:`write_artifact` wrote."""
-    with open(os.path.join(path, "manifest.json")) as f:
-        manifest = json.load(f)
+    store = Store(spark)
     out: dict[str, object] = {}
-    for name, m in manifest.items():
-        at, kind = os.path.join(path, name), m["type"]
+    for name, m in json.loads(store.get(f"{path.rstrip('/')}/manifest.json")).items():
+        at, kind = f"{path.rstrip('/')}/{name}", m["type"]
         if kind == "null":
             out[name] = None
         elif kind == "table":
-            out[name] = (spark or SparkSession.getActiveSession()).read.parquet(at + ".parquet")
+            out[name] = store.spark.read.parquet(at + ".parquet")
         elif kind == "data_frame":
-            out[name] = pd.read_csv(at + ".csv", index_col=0)
+            out[name] = pd.read_csv(io.StringIO(store.get(at + ".csv")), index_col=0)
         elif kind == "matrix":
-            out[name] = pd.read_csv(at + ".csv", index_col=0).to_numpy().reshape(json.loads(m["shape"]))
+            out[name] = pd.read_csv(io.StringIO(store.get(at + ".csv")), index_col=0).to_numpy().reshape(json.loads(m["shape"]))
         elif kind == "json":
-            with open(at + ".json") as f:
-                out[name] = json.load(f)
+            out[name] = json.loads(store.get(at + ".json"))
         else:
-            members = read_artifact(at, spark)
-            out[name] = list(members.values()) if kind == "list" else members
+            members = read_artifact(at, store.spark)
+            out[name] = [members[k] for k in sorted(members, key=int)] if kind == "list" else members
     return out
 
 
