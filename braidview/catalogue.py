@@ -644,3 +644,6 @@ def _(spark, d):
     bases = {"orders": np.eye(4)[:, :2]}
     out, info = embed.extend_embedding(v, bases, {"orders": CUSTOMER_VIEWS["orders"]}, {"lines": CUSTOMER_VIEWS["lines"]})
     return out.select("c_custkey", *info["scored"], *info["added"])
+
+
+from . import forms  # noqa: E402, F401  # registers the forms with fixed parameters

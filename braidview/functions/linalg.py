@@ -267,27 +267,41 @@ def one_sample_t(values, mu: float, alternative: str = "two-sided") -> tuple[flo
     return float(t), {"less": low, "greater": 1.0 - low}.get(alternative, 2.0 * min(low, 1.0 - low))
 
 
-def welch_t(a, b) -> tuple[float, float, float]:
-    """Statistic, degrees of freedom and two-sided p value."""
-    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-    va, vb = a.var(ddof=1) / len(a), b.var(ddof=1) / len(b)
-    t = (a.mean() - b.mean()) / math.sqrt(va + vb)
-    df = (va + vb) ** 2 / (va**2 / (len(a) - 1) + vb**2 / (len(b) - 1))
+def welch_of_moments(na: int, ma: float, va: float, nb: int, mb: float, vb: float) -> tuple[float, float, float]:
+    """Welch's statistic, degrees of freedom and two-sided p value from counts, means and sample variances."""
+    ea, eb = va / na, vb / nb
+    t = (ma - mb) / math.sqrt(ea + eb)
+    df = (ea + eb) ** 2 / (ea**2 / (na - 1) + eb**2 / (nb - 1))
     low = t_cdf(t, df)
     return float(t), float(df), 2.0 * min(low, 1.0 - low)
 
 
+def cohens_d_of_moments(na: int, ma: float, va: float, nb: int, mb: float, vb: float) -> float:
+    return float((ma - mb) / math.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)))
+
+
+def _moments(x) -> tuple[int, float, float]:
+    x = np.asarray(x, dtype=float)
+    return len(x), float(x.mean()), float(x.var(ddof=1))
+
+
+def welch_t(a, b) -> tuple[float, float, float]:
+    """:func:`welch_of_moments` of two samples."""
+    return welch_of_moments(*_moments(a), *_moments(b))
+
+
 def cohens_d(a, b) -> float:
-    a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-    pooled = ((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2)
-    return float((a.mean() - b.mean()) / math.sqrt(pooled))
+    return cohens_d_of_moments(*_moments(a), *_moments(b))
 
 
-def anova(design_full: np.ndarray, design_less: np.ndarray, y: np.ndarray) -> dict[str, float]:
-    """F test of the columns that the smaller design lacks, with partial eta squared (the type II comparison of two nested models)."""
-    rest = lambda d: float(((y - d @ np.linalg.lstsq(d, y, rcond=None)[0]) ** 2).sum())
-    full, less = rest(design_full), rest(design_less)
-    df1 = np.linalg.matrix_rank(design_full) - np.linalg.matrix_rank(design_less)
-    df2 = len(y) - np.linalg.matrix_rank(design_full)
+def anova_of_sums(full: float, less: float, df1: int, df2: int) -> dict[str, float]:
+    """F test of two nested models from their residual sums of squares, with partial eta squared (the type II comparison)."""
     f = ((less - full) / df1) / (full / df2)
     return {"f": f, "df1": int(df1), "df2": int(df2), "p": f_sf(f, df1, df2), "partial_eta2": (less - full) / less}
+
+
+def anova(design_full: np.ndarray, design_less: np.ndarray, y: np.ndarray) -> dict[str, float]:
+    """F test of the columns that the smaller design lacks."""
+    rest = lambda d: float(((y - d @ np.linalg.lstsq(d, y, rcond=None)[0]) ** 2).sum())
+    rank = np.linalg.matrix_rank(design_full)
+    return anova_of_sums(rest(design_full), rest(design_less), rank - np.linalg.matrix_rank(design_less), len(y) - rank)
