@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stored
 
 OPENING = re.compile(r"<(tools|tool_call|tool_result)>")
 DEPTH = 100
@@ -241,7 +241,8 @@ def _keys(turns: DataFrame) -> DataFrame:
 def format_turns(turns: DataFrame) -> DataFrame:
     """``conv_id turn role message n_calls n_linked n_invalid n_results n_bad`` of every row."""
     rows = small_batches(_keys(turns))
-    entries = rows.select("k1", "k2", "conv", "turn", "text").mapInArrow(_entries, _ENTRY).dropDuplicates(["k1", "k2", "seq", "name"])
+    entries = rows.select("k1", "k2", "conv", "turn", "text").mapInArrow(_entries, _ENTRY)
+    entries = stored(entries.dropDuplicates(["k1", "k2", "seq", "name"]), "entries")  # texts are read once for them
     nth = F.row_number().over(Window.partitionBy("conv", "id", "kind").orderBy("turn", "k1", "k2", "seq"))
     both = entries.where("kind <> 'tools'").select("k1", "k2", "conv", "turn", "seq", "kind", "id").withColumn("n", nth)
     calls = both.where("kind = 'tool_call'").select("k1", "k2", "conv", "turn", "seq", "id", "n")

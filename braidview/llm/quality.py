@@ -61,8 +61,9 @@ def log_ratios(documents: DataFrame, labels: DataFrame) -> list[float]:
     """log p(bucket | trusted) / p(bucket | corpus), counted over all texts; a list of fixed length."""
     rows = _with_labels(documents.select("doc_id", "text"), labels.where("quality = 1").select("_id"), "left")
     words = rows.select(F.col("_id").isNotNull().cast("long").alias("_t"), words_of(F.col("text")).alias("_words"))
-    grams = words.select("_t", _hashes("_words").alias("_w")).select("_t", F.explode(buckets_of("_w")).alias("_b"))
-    counts = grams.groupBy("_b").agg(F.count("*").alias("n"), F.sum("_t").alias("t")).collect()  # BUCKETS rows at most
+    # explode() would bring a filter on what it explodes, which Spark would push down and so work out the words twice
+    grams = words.select("_t", _hashes("_words").alias("_w")).select("_t", F.explode_outer(buckets_of("_w")).alias("_b"))
+    counts = grams.where("_b is not null").groupBy("_b").agg(F.count("*").alias("n"), F.sum("_t").alias("t")).collect()  # BUCKETS rows at most
     n, t = [1] * BUCKETS, [1] * BUCKETS
     for r in counts:
         n[r["_b"]] += r["n"]
