@@ -1,7 +1,7 @@
 """A training corpus from ``documents``: toxic texts go, repeated lines go, one of each group of near copies stays, benchmark leaks go, the rest is encoded.
 
 Every stage works on all rows that the one before it kept. Rows with a null id or text pass through every stage that has no reason to drop
-them; an empty table stays empty.
+them (line dedup turns a null text into an empty one); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidview.llm import decontaminate, jaccard, linededup, pieces, toxicity
-from braidview.llm.common import stored, table
+from braidview.llm.common import drop_stored, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_stored(before)  # nothing reads it any more
+        before = docs
     return docs
