@@ -194,7 +194,9 @@ def downhill(m: Moments, i: int, v: np.ndarray, u: Score, kind: str, prior: np.n
     if kind == "regression":
         return 2.0 * (xu - v)
     if kind == "acc":
-        return xu @ np.sign(xu.T @ v) / (m.n - 1)
+        s = xu.T @ v
+        # what is zero but for rounding has no sign: it would depend on the order in which rows were added up
+        return xu @ np.where(np.abs(s) > 1e-8 * np.abs(s).max(initial=0.0), np.sign(s), 0.0) / (m.n - 1)
     if kind in ICA:
         s = xu.T @ v
         slope = {"logcosh": lambda: np.tanh(s), "exp": lambda: s * np.exp(-(s**2) / 2.0), "gauss": lambda: s * np.exp(-(s**2)), "kurtosis": lambda: s**3}[kind]()

@@ -59,9 +59,10 @@ def whiten(x, components: int | None = None) -> np.ndarray:
 
 
 def polar(v: np.ndarray) -> np.ndarray:
-    """The nearest matrix with orthonormal columns."""
-    u, _, vt = np.linalg.svd(clean(v), full_matrices=False)
-    return u @ vt
+    """The nearest matrix with orthonormal columns; directions that ``v`` lacks (but for rounding) stay empty, as any filling would depend on the rounding."""
+    u, s, vt = np.linalg.svd(clean(v), full_matrices=False)
+    there = s > 1e-10 * s[:1].max(initial=0.0)
+    return u[:, there] @ vt[there]
 
 
 def newton_schulz(x: np.ndarray, iterations: int = 5, tol: float = 1e-7) -> np.ndarray:

@@ -77,6 +77,23 @@ def fit_scalings(df: DataFrame, views: Mapping[str, Sequence[str]], methods: Seq
     return out, found
 
 
+def array_scalings(views: Mapping[str, np.ndarray], names: Mapping[str, Sequence[str]], methods: Sequence[str] = ("centerAndScale", "np")) -> tuple[dict[str, Scaling], Moments]:
+    """:func:`fit_scalings` with moments for small views that the driver holds as arrays; NaN is missing."""
+    filled, fills = [], {}
+    for v, x in views.items():
+        x = np.asarray(x, dtype=float)
+        there = np.isfinite(x)
+        fills[v] = float(x[there].mean()) if there.any() else 0.0
+        filled.append(np.where(there, x, fills[v]))
+    wide = np.hstack(filled)
+    n, means = len(wide), wide.mean(axis=0)
+    stds = wide.std(axis=0, ddof=1) if n > 1 else np.zeros(wide.shape[1])
+    gram = (wide - means).T @ (wide - means)
+    cuts = [0, *np.cumsum([x.shape[1] for x in filled]).tolist()]
+    out = {v: _scaling(list(names[v]), methods, fills[v], n, means[a:b], stds[a:b], gram[a:b, a:b]) for v, a, b in zip(views, cuts, cuts[1:])}
+    return out, Moments(gram, cuts, n).scaled([np.array(s.factor) for s in out.values()])
+
+
 def fit_scaling(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = ("centerAndScale", "np")) -> Scaling:
     return fit_scalings(df, {"view": columns}, methods)[0]["view"]
 

@@ -22,7 +22,7 @@ from ..functions.linalg import canonical_sign, gram_svd, one_sample_t, orthogona
 from ..functions.steps import make_step
 from ..operators.columns import value, weighted_sum
 from ..operators.moments import second_moments
-from ..operators.prep import Scaling, fit_scalings
+from ..operators.prep import Scaling, array_scalings, fit_scalings
 from ..operators.relational import numbered
 
 Views = Mapping[str, Sequence[str]]
@@ -77,10 +77,11 @@ class Fit:
 
 
 def initial_bases(m: Moments, k: int, seed: int = 0) -> list[np.ndarray]:
-    """Leading right singular vectors of every view; views with fewer columns than ``k`` are filled up with small noise."""
+    """Leading right singular vectors of every view, turned so that their largest entries are positive (the mean of views depends on it); views with fewer columns than ``k`` are filled up with small noise."""
     rng, out = np.random.default_rng(seed), []
     for i in range(m.views):
         _, v = gram_svd(m.block(i, i), k)
+        v = canonical_sign(v)
         out.append(np.hstack([v, 1e-4 * rng.standard_normal((len(v), k - v.shape[1]))]) if v.shape[1] < k else v)
     return out
 
@@ -138,6 +139,20 @@ def fit(df: DataFrame, views: Views, spec: Spec) -> Fit:
     return Fit(spec, views, scalings, bases, scores, [reconstruction_map(m, i, u) for i, u in enumerate(by_view)], history, rounds, m.n, m)
 
 
+def fit_arrays(views: Mapping[str, np.ndarray], spec: Spec, names: Views | None = None) -> Fit:
+    """The same fit of small views that the driver holds as arrays; columns are named <view>_0 ... unless ``names`` says otherwise."""
+    named = {v: list(names[v]) if names else [f"{v}_{i}" for i in range(np.shape(x)[1])] for v, x in views.items()}
+    scalings, m = array_scalings(views, named, spec.scale)
+    rows = None
+    if spec.mixer == "ica":
+        x = np.hstack([(np.where(np.isfinite(x), x, s.nan_fill) - s.shift) * s.factor for x, s in zip(views.values(), scalings.values())])
+        x = x - x.mean(axis=0)
+        rows = lambda b: x @ b
+    bases, scores, history, rounds = solve(m, spec, rows)
+    by_view = scores if len(scores) > 1 else scores * m.views
+    return Fit(spec, named, scalings, bases, scores, [reconstruction_map(m, i, u) for i, u in enumerate(by_view)], history, rounds, m.n, m)
+
+
 #: Cells (rows times columns) that the ica mixer may bring to the driver.
 ICA_CELLS = 5_000_000
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidview import catalogue
-from braidview.operators import columns, neighbors, prep, relational
+from braidview.operators import columns, moments, neighbors, prep, relational
 from braidview.plans import embed, explain, harness, linear, neural
 from braidview.sources import generators, tables
 from braidview.streaming import whitening
@@ -267,3 +267,57 @@ def test_registered_models_run_their_whole_job(spark, sf_dir, monkeypatch):
 def test_flagship(spark, sf_dir):
     got = catalogue.flagship(spark, sf_dir)
     assert got.columns == ["c_custkey", "u_1", "u_2"] and got.count() > 0
+
+
+def test_numbering_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(relational, "RANGE_ROWS", 40)
+    monkeypatch.setattr(relational, "RANGE_SAMPLE", 60)
+    skewed = [2**k for k in range(40)] + [7] * 90 + list(range(-200, 0))
+    for values, kind in ((skewed, "long"), ([f"k{v:030d}" if v >= 0 else "a" for v in skewed], "string"), ([None, 3, 1, None, 2] * 30, "long"), ([], "long")):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i long, v {kind}").repartition(5)
+        rows, n = relational.numbered(df, "v", "i")
+        want = [i for i, v in sorted(enumerate(values), key=lambda x: (x[1] is not None, x[1] if x[1] is not None else 0, x[0]))]
+        assert n == len(values) and [r["i"] for r in sorted(rows.collect(), key=lambda r: r["_place"])] == want
+        assert sorted(r["_place"] for r in rows.collect()) == list(range(1, n + 1))
+    parts = relational.split_rows(spark.range(1000).selectExpr("concat('k', lpad(id, 5, '0')) k"), "k", [0.6, 0.2, 0.2], ["a", "b", "c"]).groupBy("part").agg(F.count("*").alias("n"), F.max("k").alias("m"))
+    assert {r["part"]: (r["n"], r["m"]) for r in parts.collect()} == {"a": (600, "k00599"), "b": (200, "k00799"), "c": (200, "k00999")}
+
+
+def test_adjacency_with_missing_values(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    x[:, 1] += x[:, 0]
+    x[rng.random((80, 3)) < 0.2] = np.nan
+    df = tables.from_matrix(spark, x)
+    got = moments.correlation_adjacency(df, ["x0", "x1", "x2"], 0.0)
+    for i in range(3):
+        for j in range(3):
+            both = np.isfinite(x[:, i]) & np.isfinite(x[:, j])
+            assert got[i, j] == pytest.approx(1.0 if i == j else np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert moments.correlation_adjacency(df, ["x0", "x1", "x2"], 2.0).tolist() == np.eye(3).tolist()
+
+
+def test_batches_keep_every_row():
+    from braidview.plans import neural
+
+    for n in (0, 1, 5, 10, 11, 21):
+        got = list(neural.regrouped(iter([np.arange(a, min(n, a + 4))[:, None] for a in range(0, n, 4)]), 5))
+        assert np.concatenate([np.zeros((0, 1)), *got])[:, 0].tolist() == list(range(n))
+        assert all(len(x) > 1 for x in got) or n == 1
+    with pytest.raises(ValueError):
+        neural.NeuralSpec(kind="lend", k=1, metric="none such")
+
+
+def test_arrays_and_tables_give_the_same_fit(spark):
+    c = generators.build(spark, "linear_footprint", n=300, k=2, widths=(6, 5), noise=0.2)
+    frame = c.df.orderBy("row_id").toPandas()
+    arrays = {v: frame[cs].to_numpy() for v, cs in c.views.items()}
+    arrays["view1"][3, 2] = np.nan
+    frame.loc[3, c.views["view1"][2]] = np.nan
+    assert [b.shape for b in linear.fit_arrays(arrays, linear.Spec(k=2, mixer="ica", iterations=2), c.views).bases] == [(6, 2), (5, 2)]
+    for mixer in ("svd", "newton"):
+        spec = linear.Spec(k=2, mixer=mixer, iterations=10)
+        a, b = linear.fit(spark.createDataFrame(frame), c.views, spec), linear.fit_arrays(arrays, spec, c.views)
+        for x, y in zip(a.bases, b.bases):
+            assert np.allclose(np.abs(x), np.abs(y), atol=1e-5)
+        assert a.rounds == b.rounds and np.allclose(a.energies, b.energies, rtol=1e-5)
