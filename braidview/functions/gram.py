@@ -86,19 +86,30 @@ def _newton_schulz(t: np.ndarray, k: np.ndarray, rounds: int = 10, tol: float =
     return t
 
 
-def ica_rotation(rows: np.ndarray, k: int, rounds: int = 2000, tol: float = 1e-2, seed: int = 42) -> np.ndarray:
-    """Unmixing of centred rows by symmetric FastICA (logcosh), as columns for the rows' own coordinates."""
+#: Of an unmixing A: the mean over centred rows x of x tanh(x'A), and that of 1 - tanh(x'A)^2.
+IcaStep = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def array_step(rows: np.ndarray) -> IcaStep:
     x = rows - rows.mean(axis=0)
-    _, s, vt = np.linalg.svd(x, full_matrices=False)
-    white = vt[:k].T / s[:k] * math.sqrt(len(x))
-    z = x @ white
-    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((k, k)))[0]
+
+    def step(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        g = np.tanh(x @ a)
+        return x.T @ g / len(x), (1.0 - g**2).mean(axis=0)
+
+    return step
+
+
+def ica_turn(k: np.ndarray, n: int, rank: int, step: IcaStep, rounds: int = 2000, tol: float = 1e-2, seed: int = 42) -> np.ndarray:
+    """Unmixing of ``n`` centred rows with Gram matrix ``k`` by symmetric FastICA (logcosh), as columns for the rows' own coordinates; rows are only seen through ``step``."""
+    s, v = gram_svd(k, rank)
+    white = v / s * math.sqrt(n)
+    w = np.linalg.qr(np.random.default_rng(seed).standard_normal((rank, rank)))[0]
     for _ in range(rounds):
-        y = z @ w
-        g = np.tanh(y)
-        new = z.T @ g / len(z) - w * (1.0 - g**2).mean(axis=0)
-        u, _, v = np.linalg.svd(new)
-        new = u @ v
+        xg, slope = step(white @ w)
+        new = white.T @ xg - w * slope
+        u, _, t = np.linalg.svd(new)
+        new = u @ t
         done = np.abs(np.abs((new * w).sum(axis=0)) - 1.0).max() < tol
         w = new
         if done:
@@ -106,15 +117,21 @@ def ica_rotation(rows: np.ndarray, k: int, rounds: int = 2000, tol: float = 1e-2
     return white @ w
 
 
-def mix(k: np.ndarray, views: int, rank: int, mixer: str, n: int, rows: Callable[[], np.ndarray] | None = None) -> np.ndarray:
+def ica_rotation(rows: np.ndarray, k: int) -> np.ndarray:
+    """:func:`ica_turn` of rows that are held."""
+    x = rows - rows.mean(axis=0)
+    return ica_turn(x.T @ x, len(x), k, array_step(x))
+
+
+def mix(k: np.ndarray, views: int, rank: int, mixer: str, n: int, step: IcaStep | None = None) -> np.ndarray:
     """The mixing T (views * rank by rank) of normalised projections with Gram matrix ``k``, at unit deviation."""
     if mixer in ("avg", "newton"):
         t = np.concatenate([np.eye(rank)] * views) / views
         t = _newton_schulz(t, k) if mixer == "newton" else t
     elif mixer == "ica":
-        if rows is None:
+        if step is None:
             raise ValueError("the ica mixer needs rows")
-        t = ica_rotation(rows(), rank)
+        t = ica_turn(k, n, rank, step)
     else:  # svd; pca is the same on centred views
         _, v = gram_svd(k)
         t = np.zeros((len(k), rank))
@@ -125,12 +142,12 @@ def mix(k: np.ndarray, views: int, rank: int, mixer: str, n: int, rows: Callable
 
 def consensus(
     m: Moments, bases: Sequence[np.ndarray], mixer: str = "svd", topology: str = "star", graph: Mapping[int, Sequence[int]] | None = None,
-    prune: float | None = None, weights: Sequence[float] | None = None, rows: Callable[[np.ndarray], np.ndarray] | None = None,
+    prune: float | None = None, weights: Sequence[float] | None = None, rows: Callable[[np.ndarray], IcaStep] | None = None,
 ) -> list[Score]:
     """One score for ``star``; for ``loo`` and ``graph`` one per view, from the others or from its neighbours (its own projection if there are none).
 
     Projections are brought to unit root mean square first; a projection that is zero counts as zero. ``prune`` leaves out views whose
-    projection has a smaller cosine than that with the mean of all, unless none would be left. ``rows(B)`` gives the rows of X B to the ica mixer.
+    projection has a smaller cosine than that with the mean of all, unless none would be left. ``rows(B)`` gives the ica mixer a step on the rows of X B.
     """
     if topology not in ("star", "loo", "graph"):
         raise ValueError(f"unknown topology {topology}")
@@ -158,7 +175,7 @@ def consensus(
 
     def score_of(views: Sequence[int]) -> Score:
         at = np.concatenate([np.arange(i * rank, (i + 1) * rank) for i in views])
-        t = mix(k[np.ix_(at, at)], len(views), rank, mixer, m.n, None if rows is None else lambda: rows(big[:, at]))
+        t = mix(k[np.ix_(at, at)], len(views), rank, mixer, m.n, None if rows is None else rows(big[:, at]))
         a = big[:, at] @ t
         return Score([a[m.cuts[i] : m.cuts[i + 1]] for i in range(m.views)])
 

@@ -6,7 +6,7 @@ matrix's own rows and the driver gets columns times columns numbers whatever the
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,21 @@ def second_moments(df: DataFrame, columns: Sequence[str], shift: Sequence[float]
     return (out[:, :p] + out[:, :p].T) / 2, out[:, p], n
 
 
+def vector_sum(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over batches of ``f`` of a batch's rows (an array, null as NaN): ``size`` numbers, added up by place."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            total += f(np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["at", "v"])
+
+    out = np.zeros(size)
+    for r in df.mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # ``size`` rows
+        out[r["at"]] = r["v"]
+    return out
+
+
 def gram_long(df: DataFrame, key: str, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Cross-products as a table (i, j, value) by relational means: cells of each row side by side, summed by place."""
     cells = lambda names: F.array(*[F.col(f"`{n}`").cast("double") for n in names])
@@ -59,19 +74,13 @@ def correlation_adjacency(df: DataFrame, columns: Sequence[str], threshold: floa
     row = df.agg(*[F.avg(value(c)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     mean = np.array([row[f"m{i}"] or 0.0 for i in range(p)])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, p, p))
-        for b in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - mean
-            here = np.isfinite(x).astype(float)
-            x = np.where(here > 0, x, 0.0)
-            total += np.stack([x.T @ x, x.T @ here, (x**2).T @ here, here.T @ here])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * p * p)), pa.array(total.ravel())], names=["at", "v"])
-
-    sums = df.select(*[value(c).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # 4 p p rows
-    flat = np.zeros(4 * p * p)
-    for r in sums:
-        flat[r["at"]] = r["v"]
+    def sums(rows: np.ndarray) -> np.ndarray:
+        x = rows - mean
+        here = np.isfinite(x).astype(float)
+        x = np.where(here > 0, x, 0.0)
+        return np.stack([x.T @ x, x.T @ here, (x**2).T @ here, here.T @ here])
+
+    flat = vector_sum(df.select(*[value(c).alias(f"c{i}") for i, c in enumerate(columns)]), sums, 4 * p * p)
     xy, x, xx, n = flat.reshape(4, p, p)
     n = np.maximum(n, 1.0)
     size = np.sqrt((xx - x**2 / n).clip(min=0.0))  # of the row's column where the other one is present

@@ -7,7 +7,7 @@ for the mixing to be made anew on the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.constraints import constrain, parse_constraint, tangent
-from ..functions.gram import Moments, Score, consensus, downhill, energy, only, reconstruction_error, reconstruction_map, rv_of
+from ..functions.gram import IcaStep, Moments, Score, array_step, consensus, downhill, energy, only, reconstruction_error, reconstruction_map, rv_of
 from ..functions.linalg import canonical_sign, gram_svd, one_sample_t, orthogonality_defect, orthogonality_summary
 from ..functions.steps import make_step
 from ..operators.columns import value, weighted_sum
-from ..operators.moments import second_moments
+from ..operators.moments import second_moments, vector_sum
 from ..operators.prep import Scaling, array_scalings, fit_scalings
 from ..operators.relational import numbered
 
@@ -130,7 +130,7 @@ def solve(m: Moments, spec: Spec, rows=None) -> tuple[list[np.ndarray], list[Sco
 
 
 def fit(df: DataFrame, views: Views, spec: Spec) -> Fit:
-    """Fit the model. Only the ica mixer reads rows in its iterations (and wants them few)."""
+    """Fit the model. Only the ica mixer needs rows in its iterations."""
     views = {v: list(cs) for v, cs in views.items()}
     scalings, m = fit_scalings(df, views, spec.scale, moments=True)
     rows = _row_reader(df, scalings, m) if spec.mixer == "ica" else None
@@ -147,26 +147,45 @@ def fit_arrays(views: Mapping[str, np.ndarray], spec: Spec, names: Views | None
     if spec.mixer == "ica":
         x = np.hstack([(np.where(np.isfinite(x), x, s.nan_fill) - s.shift) * s.factor for x, s in zip(views.values(), scalings.values())])
         x = x - x.mean(axis=0)
-        rows = lambda b: x @ b
+        rows = lambda b: array_step(x @ b)
     bases, scores, history, rounds = solve(m, spec, rows)
     by_view = scores if len(scores) > 1 else scores * m.views
     return Fit(spec, named, scalings, bases, scores, [reconstruction_map(m, i, u) for i, u in enumerate(by_view)], history, rounds, m.n, m)
 
 
-#: Cells (rows times columns) that the ica mixer may bring to the driver.
+#: Cells (rows times columns) that the ica mixer brings to the driver, which spares a job for each of its steps; beyond, its sums are made where the rows are.
 ICA_CELLS = 5_000_000
 
 
-def _row_reader(df: DataFrame, scalings: dict[str, Scaling], m: Moments):
-    if m.n * len(m.gram) > ICA_CELLS:
-        raise ValueError(f"the ica mixer works on {ICA_CELLS} cells at most; take another mixer")
+def _row_reader(df: DataFrame, scalings: dict[str, Scaling], m: Moments) -> Callable[[np.ndarray], IcaStep]:
+    """Steps of the ica mixer on projections of the scaled rows."""
     names = [c for s in scalings.values() for c in s.columns]
-    scaled = df
+    mean = np.concatenate([np.array(s.steps["scaled_mean"]) for s in scalings.values()])
+    rows = df
     for s in scalings.values():
-        scaled = s.apply(scaled)
-    x = np.array([tuple(r) for r in scaled.select(*[f"`{c}`" for c in names]).collect()], dtype=float)
-    x -= x.mean(axis=0)
-    return lambda b: x @ b
+        rows = s.apply(rows)
+    rows = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    if m.n * len(m.gram) <= ICA_CELLS:
+        x = np.array([tuple(r) for r in rows.collect()], dtype=float) - mean
+        return lambda b: array_step(x @ b)
+
+    def of(b: np.ndarray) -> IcaStep:
+        q = b.shape[1]
+
+        def step(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = a.shape[1]
+
+            def sums(batch: np.ndarray) -> np.ndarray:
+                y = (batch - mean) @ b
+                g = np.tanh(y @ a)
+                return np.concatenate([(y.T @ g).ravel(), (1.0 - g**2).sum(axis=0)])
+
+            total = vector_sum(rows, sums, q * k + k) / m.n
+            return total[: q * k].reshape(q, k), total[q * k :]
+
+        return step
+
+    return of
 
 
 def scaled(df: DataFrame, f: Fit) -> DataFrame:

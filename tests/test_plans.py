@@ -321,3 +321,12 @@ def test_arrays_and_tables_give_the_same_fit(spark):
         for x, y in zip(a.bases, b.bases):
             assert np.allclose(np.abs(x), np.abs(y), atol=1e-5)
         assert a.rounds == b.rounds and np.allclose(a.energies, b.energies, rtol=1e-5)
+
+
+def test_ica_where_the_rows_are(case, monkeypatch):
+    spec = linear.Spec(k=2, mixer="ica", iterations=2)
+    here = linear.fit(case.df, case.views, spec)
+    monkeypatch.setattr(linear, "ICA_CELLS", 0)
+    there = linear.fit(case.df, case.views, spec)
+    for a, b in zip(here.scores[0].maps, there.scores[0].maps):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-9 * np.abs(a).max())
