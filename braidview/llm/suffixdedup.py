@@ -13,6 +13,10 @@ occurrences of one string; the smallest id among them decides for the others.
 Documents are dealt into batches by key, and one batch's documents come back to the same batch for each step, so that only gram hashes, snippets of grams that
 several documents share, and covered ranges are shuffled besides.
 
+What hashes decide. Snippets with equal 64-bit hashes count as equal, here and between batches, without a look at their bytes (1 in 2 x 10^19 for a pair of different ones). Whether a gram has differing snippets
+is told by 39 bits of their hashes, and grams are told apart by 48 bits at first: an error there would leave a window unseen only if all of a gram's differing snippets agree in 39 bits (1 in 5 x 10^11 for a pair).
+On ordinary text most repeated bytes are whole copies, which equal snippets settle; the suffix order decides the rest.
+
 Defined cases. Null texts are empty; texts of fewer than 50 bytes lose nothing. A null ``doc_id`` counts as larger than all others; rows with equal ids (or none)
 are not smaller than each other, so they don't remove from one another. Only ``doc_id`` and ``text`` are read.
 """

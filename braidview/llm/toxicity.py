@@ -8,7 +8,8 @@ innocent look-alikes weigh nothing); unseen misspellings a share of their word's
 ``CONTEXT`` tokens on both sides or a word of citing stands there before it. A logistic model scores a text from its abusive and its quoted weight.
 
 Bounded fit: lexicon and model are fitted on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of ``doc_id``), of which none has
-crc32(doc_id as text) mod 5 = 0. All texts are scored, whole. A text's own share is left out of its words' odds while fitting, as if it were new.
+crc32(doc_id as text) mod 5 = 0. From them come ``LEXICON`` words of 3 to 40 letters at most, those with the greatest odds, and ``VARIANTS`` of their spellings, the most frequent
+ones; rarer spellings count as unseen. All texts are scored, whole. A text's own share is left out of its words' odds while fitting, as if it were new.
 
 Defined cases. Null and empty texts get the score of a text without hits. A null ``doc_id`` is neither held out nor used to learn. Conflicting labels
 of one id count as toxic; null labels are ignored. Without labels of both kinds every score is 0. Only ``doc_id``, ``text`` and ``toxic`` are read.
