@@ -46,20 +46,22 @@ def names_of_all(patterns: str | Iterable[str], columns: Sequence[str], exclude:
 
 
 # The imaging predictor program. What the groups ask for, and what they leave out besides the common list.
-COMMON_OUT = """
-    hier_id background SNR evr mask msk smoothing minutes RandBasis templateL1 upsampl paramset nc_wm nc_csf censor bandpass outlier meanBold
-    dimensionality spc org andwidth unclassified cleanup slice dimx dimy dimz dimt modality
-""".split()
-FUNCTIONAL_OUT = "hier_id background thk area vol FD dvars ssnr tsnr motion SNR evr _alff falff_sd falff_mean".split()
+COMMON_OUT = [
+    "hier_id", "background", "SNR", "evr", "mask", "msk", "smoothing", "minutes", "RandBasis", "templateL1", "upsampl", "paramset", "nc_wm", "nc_csf", "censor",
+    "bandpass", "outlier", "meanBold", "dimensionality", "spc", "org", "andwidth", "unclassified", "cleanup", "slice", "dimx", "dimy", "dimz", "dimt", "modality",
+]
+FUNCTIONAL_OUT = [
+    "hier_id", "background", "thk", "area", "vol", "FD", "dvars", "ssnr", "tsnr", "motion", "SNR", "evr", "_alff", "falff_sd", "falff_mean",
+]
 GROUPS: list[tuple[str, list[str]]] = [
     ("T1w_", []),
     ("mtl", []),
     ("cerebellum", ["_cerebell"]),
-    ("T1Hier_", ["hier_id", r"[.]1", r"[.]2", r"[.]3", *"background tissue dktregions T1Hier_resnetGrade hemisphere lobes SNR evr area".split()]),
+    ("T1Hier_", ["hier_id", r"[.]1", r"[.]2", r"[.]3", "background", "tissue", "dktregions", "T1Hier_resnetGrade", "hemisphere", "lobes", "SNR", "evr", "area"]),
     ("", []),  # the brainstem volumes
     ("rsfMRI_fcnxpro", FUNCTIONAL_OUT),
     ("perf_", FUNCTIONAL_OUT),
-    ("DTI_", "hier_id background thk area vol motion FD dvars ssnr tsnr SNR evr cnx relcn".split()),
+    ("DTI_", ["hier_id", "background", "thk", "area", "vol", "motion", "FD", "dvars", "ssnr", "tsnr", "SNR", "evr", "cnx", "relcn"]),
 ]
 
 
