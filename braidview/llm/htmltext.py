@@ -6,7 +6,8 @@ their words are stop words, inside the article as outside. The others stay open.
 nearest decided block of its section (article or not); if two are as near and disagree, or there is none, it is in. Where no block of a section is in by rule, long open blocks are.
 
 Names of furniture count at either end of a class, id or role (``ad-slot``, ``main-nav``), not in names of layouts (``has-sidebar``, ``content-sidebar-wrap``), and
-not on an h1. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles.
+not on an h1. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles. So are
+they around the largest part of the running text (``RUNNING`` letters or more) of a page that has none elsewhere.
 
 Defined cases. Null and empty pages give an empty text. Unclosed elements, comments and scripts end with the page; stray closing tags are ignored; a tag without its ``>`` is text.
 A slash at the end of a tag closes nothing but void elements. Of furniture inside furniture the ``DEPTH`` innermost names count.
@@ -29,6 +30,7 @@ SHORT = 60
 LINKS = 0.5
 STOPS = 0.12
 DEPTH = 50
+RUNNING = 500
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -221,7 +223,7 @@ def blocks(page: str) -> list[Block]:
             link = True
     void = set() if clear else around
     for b in found:
-        b.out = b.out or any(x not in void for x in b.marks)
+        b.marks = tuple(x for x in b.marks if x not in void)
     return found
 
 
@@ -230,7 +232,7 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def decide(text: str, linked: int, main: bool, out: bool) -> bool | None:
+def decide(text: str, linked: int, out: bool) -> bool | None:
     """Pass one: whether a block is in by its place, links, length and stop words; None if they leave it open."""
     if out or linked > LINKS * len(text):
         return False
@@ -263,17 +265,28 @@ def inherit(rows: list[tuple[int, bool, bool, bool | None]]) -> list[bool]:
     return labels
 
 
+def _spared(held: list[tuple[Block, str]]) -> set[int]:
+    """Elements that are furniture by name, on a page whose running text stands nowhere else: those with most of it, if that is ``RUNNING`` letters at least."""
+    inside: dict[int, int] = {}
+    for b, text in held:
+        if b.marks and decide(text, b.linked, b.out):
+            for x in b.marks:
+                inside[x] = inside.get(x, 0) + len(text)
+    most = max(inside.values(), default=0)
+    return {x for x, n in inside.items() if n == most} if most >= RUNNING else set()
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, a line per block."""
     if not page:
         return ""
-    texts, rows = [], []
-    for b in blocks(page):
-        text = " ".join(entities.unescape("".join(b.parts)).split())
-        if text:
-            texts.append(text)
-            rows.append((len(text), b.main, b.out, decide(text, b.linked, b.main, b.out)))
-    return "\n".join(x for x, label in zip(texts, inherit(rows)) if label)
+    held = [(b, text) for b in blocks(page) if (text := " ".join(entities.unescape("".join(b.parts)).split()))]
+    spared = set() if any(not b.marks and decide(text, b.linked, b.out) for b, text in held) else _spared(held)
+    rows = []
+    for b, text in held:
+        out = b.out or any(x not in spared for x in b.marks)
+        rows.append((len(text), b.main, out, decide(text, b.linked, out)))
+    return "\n".join(text for (_, text), label in zip(held, inherit(rows)) if label)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

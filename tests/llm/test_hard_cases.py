@@ -272,6 +272,15 @@ def test_html_slashes_and_quotes():
         assert htmltext.main_text(f'<article class="{c}"><p>{text}</p></article>') == text
 
 
+def test_html_names_give_way_to_running_text():
+    line = "The words of this line are many enough to be a paragraph of the page that is kept."
+    body = "".join(f"<p>{line}</p>" for _ in range(8))
+    for c in ("entry-content share-enabled", "widget", "social-article", "main-banner"):
+        assert htmltext.main_text(f'<nav>Menu</nav><div class="{c}">{body}</div><div class="ad">{line}</div>') == "\n".join([line] * 8)
+    assert htmltext.main_text(f'<div class="widget">{body}</div><div><p>{line}</p></div>') == line
+    assert htmltext.main_text(f'<div class="ad"><p>{line}</p></div>') == htmltext.main_text(f'<div class="comments">{body}</div>') == htmltext.main_text(f"<nav>{body}</nav>") == ""
+
+
 WORDY = "the of and to in is that it for was on with as be by this are at from or".split()
 OTHER = "qua zor pli ven tak lum dro sif gan bel".split()
 
