@@ -41,9 +41,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
 @query("csv_roundtrip", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
 def _(spark, d):
     path = _scratch(spark, "csv")
-    o = tables.load(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    tables.write_delimited(o, f"{path}/a")
-    tables.write_delimited(o.limit(0), f"{path}/b")
+    o = tables.load(spark, d, "orders")
+    done = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    for name, part in (("a", done), ("b", ~done)):
+        tables.write_delimited(o.where(part).select("o_orderkey", "o_orderpriority", "o_totalprice"), f"{path}/{name}")
     return tables.read_delimited(spark, [f"{path}/a", f"{path}/b"], "o_orderkey long, o_orderpriority string, o_totalprice double")
 
 
@@ -118,10 +119,10 @@ def _(spark, d):
     return out.select("c_custkey", *[(F.round(c, 2) + F.lit(0.0)).alias(c) for c in ("r_mean_price", "r_mean_quantity")])
 
 
-@query("transductive_single_columns", f"WITH {_PAIR_SQL}, s AS (SELECT c_custkey, zx - AVG(zx) OVER () AS a, zy - AVG(zy) OVER () AS b FROM z WHERE c_custkey % 3 = 0), t AS (SELECT c_custkey, a / (SQRT(AVG(a * a) OVER ()) + 1e-8) / 2 + b / (SQRT(AVG(b * b) OVER ()) + 1e-8) / 2 AS t FROM s) SELECT c_custkey, ROUND(ABS(t) / (STDDEV_SAMP(t) OVER () + 1e-6), 2) AS size FROM t")
+@query("transductive_single_columns", f"WITH {_PAIR_SQL}, s AS (SELECT c_custkey, zx - AVG(zx) OVER () AS a, zy - AVG(zy) OVER () AS b FROM z), t AS (SELECT c_custkey, a / (SQRT(AVG(a * a) OVER ()) + 1e-8) / 2 + b / (SQRT(AVG(b * b) OVER ()) + 1e-8) / 2 AS t FROM s) SELECT c_custkey, ROUND(ABS(t) / (STDDEV_SAMP(t) OVER () + 1e-6), 2) AS size FROM t")
 def _(spark, d):
     v, f = _pair_fit(spark, d)
-    return linear.add_scores(v.where("c_custkey % 3 = 0"), f, transductive=True).select("c_custkey", F.round(F.abs("u_1"), 2).alias("size"))
+    return linear.add_scores(v, f, transductive=True).select("c_custkey", F.round(F.abs("u_1"), 2).alias("size"))
 
 
 @query("path_single_columns", f"WITH {_PAIR_SQL} SELECT '[0]' AS views, ROUND(POWER(CORR(zx, u), 2), 5) AS rv FROM u UNION ALL SELECT '[0, 1]', 1.0")
@@ -267,10 +268,10 @@ def _(spark, d):
 # -- metrics -------------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("held_out_r2", "WITH t AS (SELECT REGR_SLOPE(l_extendedprice, l_quantity) AS s, REGR_INTERCEPT(l_extendedprice, l_quantity) AS i FROM lineitem WHERE l_orderkey % 5 <> 0), h AS (SELECT l_extendedprice AS y, i + s * l_quantity AS f FROM lineitem, t WHERE l_orderkey % 5 = 0) SELECT ROUND(1 - SUM(POWER(y - f, 2)) / REGR_SYY(y, y), 8) AS r2 FROM h")
+@query("held_out_r2", "WITH t AS (SELECT REGR_SLOPE(l_extendedprice, l_quantity) AS s, REGR_INTERCEPT(l_extendedprice, l_quantity) AS i FROM lineitem WHERE l_returnflag <> 'R'), h AS (SELECT l_extendedprice AS y, i + s * l_quantity AS f FROM lineitem, t WHERE l_returnflag = 'R') SELECT ROUND(1 - SUM(POWER(y - f, 2)) / REGR_SYY(y, y), 8) AS r2 FROM h")
 def _(spark, d):
-    rows = tables.load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
-    return _one(spark, r2=metrics.held_out_r2(rows.where("l_orderkey % 5 <> 0"), rows.where("l_orderkey % 5 = 0"), ["l_quantity"], "l_extendedprice")).select(F.round("r2", 8).alias("r2"))
+    rows = tables.load(spark, d, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
+    return _one(spark, r2=metrics.held_out_r2(rows.where("l_returnflag <> 'R'"), rows.where("l_returnflag = 'R'"), ["l_quantity"], "l_extendedprice")).select(F.round("r2", 8).alias("r2"))
 
 
 @query("shared_private_spread", f"WITH {_X} SELECT ROUND((POWER(CORR(e0, e1), 2) + POWER(CORR(e32, e33), 2)) / 2, 8) AS shared_private_overlap, ROUND(VAR_SAMP(e0) + VAR_SAMP(e32), 8) AS shared_variance, ROUND(VAR_SAMP(e1) + VAR_SAMP(e33), 8) AS private_variance FROM x")
