@@ -490,6 +490,8 @@ def links(documents: DataFrame, known: DataFrame) -> DataFrame:
         more = stored(came.groupBy("group").cogroup(there.groupBy("group")).applyInArrow(_across, "a long, b long"), "links")
         drop_stored(rooted)
         found = found.unionByName(more)
+    drop_stored(index)
+    drop_stored(around)
     return found
 
 
@@ -501,7 +503,9 @@ def _small(df: DataFrame) -> DataFrame:
 def classes(documents: DataFrame) -> DataFrame:
     """``doc_id k1 k2 id n_shingles component_id`` of every row; ``id`` stands for the set."""
     known = survey(documents)
-    roots = stored(components(links(documents, known)), "roots")
+    found = links(documents, known)
+    roots = stored(components(found), "roots")
+    drop_stored(found)
     named = known.join(_small(roots), known["id"] == roots["node"], "left").select("doc_id", "k1", "k2", "id", "n", F.coalesce("root", "id").alias("root"))
     # most documents are alone; the others' roots are few enough to be sent along, or are joined by a shuffle
     least = stored(named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").select("root", "least"), "least")
