@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.gram import Moments
 from .columns import value
@@ -36,6 +39,26 @@ class Scaling:
         return df.withColumns(made)
 
 
+def derived(df: DataFrame) -> bool:
+    """Whether rows come out of joins, groupings or the like, so that reading them again means working them out again."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    return any(re.match(r"[\s:+|-]*(Join|Aggregate|Window|Generate|MapIn|FlatMap)", x) for x in lines)
+
+
+@contextmanager
+def held(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """The named columns of ``df`` for several passes; kept in memory and on the executors' disks meanwhile if they are :func:`derived`, read anew from plain tables."""
+    rows = df.select(*[f"`{c}`" for c in columns])
+    if not derived(rows):
+        yield rows
+        return
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def global_means(df: DataFrame, views: Mapping[str, Sequence[str]]) -> dict[str, float]:
     """Per view the mean of all cells that hold a number, 0 if none does; one pass for all views."""
     every = [c for cs in views.values() for c in cs]
@@ -56,15 +79,16 @@ def fit_scalings(df: DataFrame, views: Mapping[str, Sequence[str]], methods: Seq
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
         raise ValueError(f"unknown scaling {unknown}")
-    fills = global_means(df, views)
     every = [c for cs in views.values() for c in cs]
-    filled = df.select(*[F.coalesce(value(c), F.lit(fills[v])).alias(c) for v, cs in views.items() for c in cs])
-    stats = filled.agg(F.count("*").alias("n"), *[f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(every) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    n = stats["n"]
-    means, stds = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(len(every))]) for k in "ms")
-    gram = None
-    if moments or {"norm", "eigenvalue"} & set(methods):
-        gram, _, _ = second_moments(filled, every, means)  # centred, so that large means don't swallow small spreads
+    with held(df, list(dict.fromkeys(every))) as rows:
+        fills = global_means(rows, views)
+        filled = rows.select(*[F.coalesce(value(c), F.lit(fills[v])).alias(c) for v, cs in views.items() for c in cs])
+        stats = filled.agg(F.count("*").alias("n"), *[f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(every) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+        n = stats["n"]
+        means, stds = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(len(every))]) for k in "ms")
+        gram = None
+        if moments or {"norm", "eigenvalue"} & set(methods):
+            gram, _, _ = second_moments(filled, every, means)  # centred, so that large means don't swallow small spreads
     out, factors, at = {}, [], 0
     for v, cs in views.items():
         own = slice(at, at + len(cs))
