@@ -14,7 +14,7 @@ from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_vie
 from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
 from .operators import columns, moments, prep, relational
-from .plans import explain, linear, metrics, neural
+from .plans import embed, explain, linear, metrics, neural
 from .sources import tables
 from .streaming import whitening
 
@@ -55,6 +55,14 @@ def _(spark, d):
     return got["t"].select("s_suppkey", "s_name", (F.col("s_acctbal") * float(got["scale"][0, 0])).alias("twice"))
 
 
+_HOLES = [[1.5, float("nan")], [float("nan"), -2.0], [0.0, 3.25]]
+
+
+@query("matrix_source", "SELECT * FROM (VALUES (0, CAST(1.5 AS DOUBLE), CAST(NULL AS DOUBLE)), (1, NULL, -2.0), (2, 0.0, 3.25)) AS t(row_id, x0, x1)")
+def _(spark, d):
+    return tables.from_matrix(spark, _HOLES)
+
+
 # -- columns -------------------------------------------------------------------------------------------------------------------------------------
 
 _NAMES = ["T1Hier_a_vol", "DTI_b", "x_mean_fa_c", "x_mean_md_d", "rsfMRI_e", "perf_cbf_f", "T1Hier_DTI_g", "unrelated"]
@@ -65,6 +73,14 @@ def _(spark, d):
     return spark.createDataFrame([(v, n) for v, ns in columns.assemble_views(_NAMES).items() for n in ns], "view string, name string")
 
 
+_IMAGING = ["T1w_thk_a", "T1w_SNR", "mtl_x", "mtl_mask", "cerebellum_y", "DTI_fa_left", "DTI_evr", "perf_cbf_b", "perf_area", "unrelated"]
+
+
+@query("imaging_predictors", "SELECT * FROM (VALUES (1, 'T1w_thk_a'), (2, 'mtl_x'), (3, 'cerebellum_y'), (4, 'perf_cbf_b'), (5, 'DTI_fa_left')) AS t(place, name)")
+def _(spark, d):
+    return spark.createDataFrame(list(enumerate(columns.imaging_predictors(_IMAGING), 1)), "place int, name string")
+
+
 @query("lower_sides", "SELECT c_custkey AS \"left_custkey\", c_acctbal AS \"right_acctbal\" FROM customer")
 def _(spark, d):
     c = tables.load(spark, d, "customer").select(F.col("c_custkey").alias("Left_custkey"), F.col("c_acctbal").alias("Right_acctbal"))
@@ -139,6 +155,30 @@ def _(spark, d):
     return _table(spark, rows, "view string, r2 double", "r2", digits=5)
 
 
+@query("report_single_columns", f"WITH {_PAIR_SQL}, r AS (SELECT POWER(CORR(zx, u), 2) AS x, POWER(CORR(zy, u), 2) AS y FROM u) SELECT 1.0 AS mean_density, 0.0 AS mean_defect, ROUND((x + y) / 2, 5) AS mean_alignment_r2, ROUND(GREATEST(x, y), 5) AS best_alignment_r2, 1.0 AS combined_r2 FROM r")
+def _(spark, d):
+    out = explain.report_metrics(explain.report(_pair_fit(spark, d)[1]))
+    return _one(spark, **out).select(*_r(list(out), 5))
+
+
+@query("outcome_single_columns", f"WITH {_PAIR_SQL}, y AS (SELECT u.*, s FROM u JOIN (SELECT o_custkey, SUM(o_totalprice) AS s FROM orders GROUP BY 1) o ON o_custkey = c_custkey) SELECT 'orders' AS part, ROUND(POWER(CORR(zx, s), 2), 5) AS r2 FROM y UNION ALL SELECT 'lines', ROUND(POWER(CORR(zy, s), 2), 5) FROM y UNION ALL SELECT 'score', ROUND(POWER(CORR(u, s), 2), 5) FROM y")
+def _(spark, d):
+    v, f = _pair_fit(spark, d)
+    found = explain.attribute_outcome(v, f, "sum_price")
+    rows = [(k, float(x["global_r2"])) for k, x in found["per_view"].items()] + [("score", float(found["score"]["global_r2"]))]
+    return _table(spark, rows, "part string, r2 double", "r2", digits=5)
+
+
+_DAYS = "(SELECT o_custkey, CAST(MAX(date_diff('day', CAST(o_orderdate AS DATE), DATE '1999-01-01')) AS DOUBLE) AS t FROM orders GROUP BY 1)"
+
+
+@query("embed_residual_columns", "WITH " + _PAIR_SQL.replace("z AS (SELECT c_custkey, (x - AVG", f"w AS (SELECT c_custkey, x - REGR_INTERCEPT(x, t) OVER () - REGR_SLOPE(x, t) OVER () * t AS x, y - REGR_INTERCEPT(y, t) OVER () - REGR_SLOPE(y, t) OVER () * t AS y FROM v JOIN {_DAYS} ON o_custkey = c_custkey),\nz AS (SELECT c_custkey, (x - AVG", 1).replace("AS zy FROM v)", "AS zy FROM w)", 1) + " SELECT c_custkey, ROUND(ABS(u), 2) AS size FROM u")
+def _(spark, d):
+    spec = linear.Spec(k=1, mixer="avg", quantile=0.0, scale=("centerAndScale",), iterations=5)
+    f, rows = embed.embed_table(_customer_views(spark, d), spec, _PAIR, covariates="days")
+    return linear.add_scores(rows, f).select("c_custkey", F.round(F.abs("u_1"), 2).alias("size"))
+
+
 # -- permutations --------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -274,6 +314,12 @@ def _(spark, d):
     return _one(spark, r2=metrics.held_out_r2(rows.where("l_returnflag <> 'R'"), rows.where("l_returnflag = 'R'"), ["l_quantity"], "l_extendedprice")).select(F.round("r2", 8).alias("r2"))
 
 
+@query("all_metrics_fixed", f"WITH {_X}, {_CENTRED}, m AS (SELECT SUM(e0*e32) AS a, SUM(e0*e33) AS b, SUM(e1*e32) AS c, SUM(e1*e33) AS d, SUM(e0*e0+e1*e1) AS x, SUM(e32*e32+e33*e33) AS y, CORR(e0, e2) AS r1, CORR(e1, e2) AS r2, CORR(e0, e1) AS r12, STDDEV_SAMP(e0) AS s0, STDDEV_SAMP(e1) AS s1 FROM c) SELECT ROUND((a*a+b*b+c*c+d*d + 2*ABS(a*d-b*c)) / (x*y), 8) AS recovery, ROUND((r1*r1 + r2*r2 - 2*r1*r2*r12) / (1 - r12*r12), 8) AS outcome_r2, ROUND((s0 + s1) / 2, 8) AS u_std_mean, ROUND(LEAST(s0, s1), 8) AS u_std_min FROM m")
+def _(spark, d):
+    out = metrics.all_metrics(_dims(spark, d, _BOTH), ["e0", "e1"], ["e32", "e33"], "e2")
+    return _one(spark, **{k: out[k] for k in ("recovery", "outcome_r2", "u_std_mean", "u_std_min")}).select(*_r(["recovery", "outcome_r2", "u_std_mean", "u_std_min"], 8))
+
+
 @query("shared_private_spread", f"WITH {_X} SELECT ROUND((POWER(CORR(e0, e1), 2) + POWER(CORR(e32, e33), 2)) / 2, 8) AS shared_private_overlap, ROUND(VAR_SAMP(e0) + VAR_SAMP(e32), 8) AS shared_variance, ROUND(VAR_SAMP(e1) + VAR_SAMP(e33), 8) AS private_variance FROM x")
 def _(spark, d):
     out = metrics.shared_private(_dims(spark, d, _BOTH), {"lo": ["e0"], "hi": ["e32"]}, {"lo": ["e1"], "hi": ["e33"]})
@@ -371,6 +417,44 @@ def _(spark, d):
     return _one(spark, energy=gram.energy(m, 0, _ONE, gram.only(m, 0, _ONE), "dat", _W.T, 0.5)).select(F.round("energy", 8).alias("energy"))
 
 
+_V2 = f"v AS (SELECT * FROM {_values(np.hstack([_TWO, _W]), 'a, b, c, w')})"
+_MOMENTS = "g AS (SELECT SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(b * b) AS bb, SUM(a * w) AS aw FROM v), s AS (SELECT *, SQRT((aa + bb) / 2 + SQRT(POWER((aa - bb) / 2, 2) + ab * ab)) AS s1, SQRT((aa + bb) / 2 - SQRT(POWER((aa - bb) / 2, 2) + ab * ab)) AS s2 FROM g)"
+
+
+@query("algebra_forms", f"WITH {_V2}, {_MOMENTS} SELECT 'singular' AS rule, 0 AS i, ROUND(s1, 8) AS value FROM s UNION ALL SELECT 'singular', 1, ROUND(s2, 8) FROM s UNION ALL SELECT 'condition', 0, ROUND(s1 / s2, 6) FROM s UNION ALL SELECT 'smooth', 0, ROUND(aw / aa, 8) FROM s "
+    "UNION ALL SELECT 'whiten', i, ROUND(ABS(a) / SQRT(aa) / (SQRT(aa) + 1e-8), 8) FROM v, s UNION ALL SELECT 'hat', i, ROUND(a * aw / aa, 8) FROM v, s "
+    "UNION ALL SELECT 'defect_gradient', i, ROUND(4 * b / SQRT(aa + bb) * ab / (aa + bb), 8) FROM v, s UNION ALL SELECT 'masked', i, ROUND(CASE WHEN ROW_NUMBER() OVER (ORDER BY ABS(a) DESC, i) = 1 THEN a ELSE 0 END, 8) FROM v "
+    "UNION ALL SELECT 'largest_of_row', i, ROUND(CASE WHEN ABS(a) >= ABS(b) AND ABS(a) >= ABS(c) THEN a ELSE 0 END, 8) FROM v")
+def _(spark, d):
+    two, one = _TWO[:, :2], _TWO[:, :1]
+    found = {
+        "singular": linalg.svd(two)[1], "condition": [round(linalg.orthogonality_summary(two)["condition_number"], 6)], "smooth": linalg.smooth_regression(one, _W)["coefficients"].ravel(),
+        "whiten": np.abs(linalg.whiten(one)[:, 0]), "hat": linalg.hat_prediction(one, _W)[:, 0], "defect_gradient": linalg.orthogonality_defect_gradient(two)[:, 0],
+        "masked": constraints.masked_by_indicator(one)[:, 0], "largest_of_row": constraints.segment_by_rank(_TWO, 0.67, basic=True, sign="either")[:, 0],
+    }
+    rows = [(k, i, float(x)) for k, m in found.items() for i, x in enumerate(m)]
+    return spark.createDataFrame(rows, "rule string, i int, value double").select("rule", "i", (F.round("value", 8) + F.lit(0.0)).alias("value"))
+
+
+@query("penalties", f"WITH {_V2} SELECT ROUND(GREATEST(0, 1 - SQRT(VAR_POP(a) + 1e-4)), 8) AS variance, ROUND(POWER(COVAR_SAMP(a, b), 2), 8) AS covariance, ROUND(POWER(COVAR_SAMP(a, w), 2), 8) AS crossed, ROUND(-ABS(COVAR_SAMP(a, w)), 8) AS acc, CAST(-SIGN(COVAR_SAMP(a, w)) AS DOUBLE) AS nc FROM v")
+def _(spark, d):
+    a, w = var(_TWO[:, :1]), var(_W)
+    found = {
+        "variance": neural.variance_penalty(a), "covariance": neural.covariance_penalty(var(_TWO[:, :2])), "crossed": neural.cross_penalty(a, w), "acc": neural.similarity(a, w, "acc"), "nc": neural.similarity(a, w, "nc"),
+    }
+    return _one(spark, **{k: float(np.asarray(x.x)) for k, x in found.items()}).select(*_r(list(found), 8))
+
+
+@query("neural_optimisers_first_move", f"WITH {_L}, g AS (SELECT i, v, w / GREATEST(1.0, SQRT(SUM(w * w) OVER ())) + 1e-4 * v AS g FROM v) SELECT 'sgd' AS rule, i, ROUND(v - 5e-4 * g, 10) AS value FROM g UNION ALL SELECT 'adam', i, ROUND(v - 5e-4 * g / (ABS(g) + 1e-8), 10) FROM g UNION ALL SELECT 'larslow', i, ROUND(v - 5e-4 * 1e-3 * SQRT(SUM(v * v) OVER ()) / (SQRT(SUM(g * g) OVER ()) + 1e-8) * g, 10) FROM g")
+def _(spark, d):
+    rows = []
+    for rule in ("sgd", "adam", "larslow"):
+        params = {"x": _ONE.copy()}
+        neural.Optimiser(neural.NeuralSpec(kind="lend", k=1, optimizer=rule)).step(params, {"x": _W.copy()}, 0)
+        rows += [(rule, i, float(x)) for i, x in enumerate(params["x"][:, 0])]
+    return _table(spark, rows, "rule string, i int, value double", "value", digits=10)
+
+
 # -- neural parts ---------------------------------------------------------------------------------------------------------------------------------
 
 

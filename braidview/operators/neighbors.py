@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block side: a block pair compares its square.
-BLOCK_ROWS = 4096
+#: Rows of a block side, which decides how often a row travels; rows whose distances to a block are held at once.
+BLOCK_ROWS, SLICE_ROWS = 16_384, 512
 
 
 def _packed(df: DataFrame, key: str, columns: Sequence[str], blocks: int, name: str) -> DataFrame:
@@ -36,14 +36,17 @@ def nearest(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str],
             return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
         other = other.sort_values("id2", kind="stable")
         x, y = np.stack(own["x"].to_list()), np.stack(other["x2"].to_list())
-        ids = other["id2"].to_numpy()
-        square = ((x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1) - 2.0 * x @ y.T).clip(min=0.0)
-        keep = min(k + 8, len(ids))
-        near = np.argpartition(square, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(x), 1))
-        exact = np.sqrt(((x[:, None, :] - y[near]) ** 2).sum(axis=2))  # products lose digits where rows are close
-        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-        rows = np.arange(len(x))[:, None]
-        return pd.DataFrame({"i": np.repeat(own["id"].to_numpy(), order.shape[1]), "j": ids[near[rows, order]].ravel(), "d": exact[rows, order].ravel()})
+        i, ids, sizes = own["id"].to_numpy(), other["id2"].to_numpy(), (y**2).sum(axis=1)
+        keep, found = min(k + 8, len(ids)), []
+        for first in range(0, len(x), SLICE_ROWS):
+            z = x[first : first + SLICE_ROWS]
+            square = ((z**2).sum(axis=1)[:, None] + sizes - 2.0 * z @ y.T).clip(min=0.0)
+            near = np.argpartition(square, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(z), 1))
+            exact = np.sqrt(((z[:, None, :] - y[near]) ** 2).sum(axis=2))  # products lose digits where rows are close
+            order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+            at = np.arange(len(z))[:, None]
+            found.append((np.repeat(i[first : first + SLICE_ROWS], order.shape[1]), ids[near[at, order]].ravel(), exact[at, order].ravel()))
+        return pd.DataFrame({name: np.concatenate(c) for name, c in zip("ijd", zip(*found))})
 
     parts = a.groupBy("a", "b").cogroup(b.groupBy("a2", "b2")).applyInPandas(best, "i long, j long, d double")
     out = parts.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_r") <= k).drop("_r")
