@@ -393,9 +393,14 @@ def _settle(table: pa.Table) -> pa.Table:
             cuts = np.flatnonzero(np.concatenate([[True], gram[several][use][1:] != gram[several][use][:-1], [True]])) if len(use) else np.zeros(1, np.int64)
             for x, y in zip(cuts[:-1], cuts[1:]):
                 own = use[x:y].tolist()
-                first = first_ids([texts[k][low[k] : high[k] + LONG] for k in own], [ids[k] for k in own])
-                for k, f in zip(own, first):
-                    covered[int(several[k])] = [int(low[k]), *f]
+                # what many documents share is the same between unlike neighbours: one text with the smallest id stands for equal ones
+                least: dict[bytes, int] = {}
+                for k in own:
+                    part = texts[k][low[k] : high[k] + LONG]
+                    least[part] = min(ids[k], least.get(part, NO_ID))
+                first = dict(zip(least, first_ids(list(least), list(least.values()))))
+                for k in own:
+                    covered[int(several[k])] = [int(low[k]), *first[texts[k][low[k] : high[k] + LONG]]]
         # classes of a snippet that is no gram's only one: its windows whose first id is smaller than the class's
         for k in np.flatnonzero(np.isin(kind, list(covered))).tolist() if covered else []:
             if whole[k]:

@@ -168,6 +168,19 @@ def test_pair_answers_survive_clashes(monkeypatch):
     assert m.encode_all(want) == sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).encode(want)
 
 
+# -- op4 -----------------------------------------------------------------------
+
+
+def test_a_passage_between_unlike_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "BATCH_BYTES", 6000)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [noise(rng.choice([50, 64, 90, 300])) for _ in range(3)]
+    docs = [(rng.choice([None, *range(300)]) if i % 50 == 0 else i, noise(rng.randint(0, 40)) + rng.choice(passages) + noise(rng.randint(0, 40))) for i in range(350)]
+    got = rows(suffixdedup.query(spark.createDataFrame(docs, SCHEMA).repartition(5)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == spans_by_hand(docs)
+
+
 # -- op5 -----------------------------------------------------------------------
 
 
