@@ -462,11 +462,13 @@ def links(documents: DataFrame, known: DataFrame) -> DataFrame:
     rows = packed.select(F.pmod(F.xxhash64("id"), F.lit(batches)).cast("long").alias("batch"), "id", "size", "data")  # copies meet in a batch
     counts = rows.groupBy("batch").applyInArrow(_tokens(bits), "bucket long, of long, tokens binary, counts binary")
     told = counts.groupBy("bucket").applyInArrow(_add_up, "of long, bucket long, size long, data binary")
-    index = stored(rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_index(bits), "bucket long, postings binary, id long, size long, data binary"), "index")
+    files = max(8, batches)  # there are no more groups to work on, so fewer tasks lose nothing
+    index = rows.groupBy("batch").cogroup(told.groupBy("of")).applyInArrow(_index(bits), "bucket long, postings binary, id long, size long, data binary")
+    index = stored(index.coalesce(files), "index")
     texts = index.where("id is not null").select("id", "size", "data")
     again = texts.toDF(*texts.columns)  # for the other side of a cogroup
     around = index.where("bucket is not null").select("bucket", "postings").groupBy("bucket").applyInArrow(_hubs, "a long, n long, hub long")
-    around = stored(around.distinct(), "around")
+    around = stored(around.distinct().coalesce(files), "around")
     width = around.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("parts"))
     total, most = around.agg(F.sum("n")).first()[0] or 0, width.agg(F.max("parts")).first()[0] or 0
     groups = max(1, math.ceil(total / GROUP_SHINGLES))
@@ -474,7 +476,7 @@ def links(documents: DataFrame, known: DataFrame) -> DataFrame:
     group = F.pmod(F.xxhash64("hub", "part"), F.lit(groups)).alias("group")
     members = placed.join(texts, "id").select("hub", "part", "id", "size", "data", group)
     hubs = width.select(F.col("hub").alias("id"), F.col("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(again, "id").select("id", "size", "data", group)
-    found = stored(members.groupBy("group").cogroup(hubs.groupBy("group")).applyInArrow(_within, "a long, b long"), "links")
+    found = stored(members.groupBy("group").cogroup(hubs.groupBy("group")).applyInArrow(_within, "a long, b long").coalesce(max(8, groups)), "links")
     if most > 1:
         roots = components(found)
         rooted = placed.where("parts > 1").join(roots, F.col("id") == F.col("node"), "left").select("hub", "id", "part", "parts", F.coalesce("root", "id").alias("root"))
@@ -487,7 +489,7 @@ def links(documents: DataFrame, known: DataFrame) -> DataFrame:
         hosts = rooted.join(share, "hub").select("hub", "id", "root", "part", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
         names = ["hub", "part", "share", "id", "root", "size", "data", F.pmod(F.xxhash64("hub", "part", "share"), F.lit(groups)).alias("group")]
         came, there = visits.where("part <> own").join(texts, "id").select(*names), hosts.toDF(*hosts.columns).join(again, "id").select(*names)
-        more = stored(came.groupBy("group").cogroup(there.groupBy("group")).applyInArrow(_across, "a long, b long"), "links")
+        more = stored(came.groupBy("group").cogroup(there.groupBy("group")).applyInArrow(_across, "a long, b long").coalesce(max(8, groups)), "links")
         drop_stored(rooted)
         found = found.unionByName(more)
     drop_stored(index)
