@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, htmltext, jaccard, linededup, oracles, pieces, quality, suffixdedup, toxicity, warc
+from . import chat, decontaminate, fim, htmltext, jaccard, langid, linededup, merkle, oracles, pieces, quality, suffixdedup, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": _on(pieces.query, "documents"),
         "op10_jaccard_join": _on(jaccard.query, "documents"),
+        "op11_merkle_manifest": _on(merkle.query, "documents"),
+        "op12_fill_in_middle": _on(fim.query, "documents"),
+        "op13_language_id": _on(langid.query, "documents"),
         "op2_line_dedup": _on(linededup.query, "documents"),
         "op3_chat_formatting": _on(chat.query, "conversations"),
         "op4_suffix_array_dedup": _on(suffixdedup.query, "documents"),
@@ -36,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": oracles.WARC,
         "op9_decontamination": oracles.DECONTAMINATION,
         "op10_jaccard_join": oracles.JACCARD,
+        "op11_merkle_manifest": oracles.MERKLE,
+        "op12_fill_in_middle": oracles.FIM,
     }
