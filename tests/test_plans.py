@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidview import catalogue
+from braidview.functions import linalg
 from braidview.operators import columns, moments, neighbors, prep, relational
-from braidview.plans import embed, explain, harness, linear, neural
+from braidview.plans import embed, exchange, explain, harness, linear, neural
 from braidview.sources import generators, tables
 from braidview.streaming import whitening
 
@@ -124,31 +125,48 @@ def test_neural(case, kind):
 
 
 @pytest.mark.parametrize("kind", neural.KINDS)
-def test_neural_training_is_the_same_at_every_size(spark, case, kind, monkeypatch):
-    monkeypatch.setattr(neural, "STREAM_CELLS", 500)  # several partitions, which no mini-batch ends with
+def test_neural_training_is_the_same_in_any_number_of_tasks(case, kind):
     df = case.df.withColumn("flat", F.lit(3.0))
     views = {**case.views, next(iter(case.views)): [*next(iter(case.views.values())), "flat"]}
-    steps, step = [], neural.Optimiser.step
-    monkeypatch.setattr(neural.Optimiser, "step", lambda self, *a, **k: steps.append(1) or step(self, *a, **k))
     spec = neural.NeuralSpec(kind=kind, k=2, epochs=14, batch=50, warmup=2, hidden=(8, 4), flow_hidden=8, rate=5e-3, dynamic=True, freeze_private=3, patience=1, tol=0.02)
-    fits = [neural.fit_neural(df, views, spec, distributed=d) for d in (False, True)]
-    a, b = fits
-    assert len(a.history) == len(b.history) and len(steps) == 2 * 5 * len(a.history)  # 240 rows: five steps an epoch
-    assert np.allclose(a.history, b.history) and np.allclose(a.weights, b.weights) and np.allclose(a.mai, b.mai)
-    assert all(np.allclose(v, b.params[k], atol=1e-6) for k, v in a.params.items())
-    x, y = (neural.score_neural(df, f).orderBy("row_id").toPandas().filter(regex="^(u_|z_|r_x)") for f in fits)
-    assert np.allclose(x, y, atol=1e-5)
-
-
-def test_epochs_take_every_row_once_in_new_orders():
+    a, b = neural.fit_neural(df, views, spec, tasks=1), neural.fit_neural(df.repartition(7), views, spec, tasks=3)
+    assert len(a.history) == len(b.history)
+    assert np.allclose(a.history, b.history, rtol=1e-8) and np.allclose(a.weights, b.weights, atol=1e-8) and np.allclose(a.mai, b.mai, atol=1e-8)
+    assert all(np.allclose(v, b.params[k], rtol=0, atol=1e-8) for k, v in a.params.items())
+    x, y = (neural.score_neural(df, f).orderBy("row_id").toPandas().filter(regex="^(u_|z_|r_x)") for f in (a, b))
+    assert np.allclose(x, y, atol=1e-6)
+
+
+def test_training_in_tasks_equals_arrays(spark):
+    """A barrier stage takes the steps of the loop over arrays, on rows with repetitions, which keep their ids in any partition."""
+    x = np.random.default_rng(4).normal(size=(150, 5)).round(1)
+    x[100:] = x[0]
+    df = tables.from_matrix(spark, x).selectExpr("x0 c0", "x1 c1", "x2 c2", "x3 c3", "x4 c4")
+    spec = neural.NeuralSpec(k=2, epochs=6, batch=32, warmup=1, hidden=(6,), rate=5e-3)
+    ids = lambda rows: rows.groupBy(*df.columns).count().withColumn("_rank", F.explode(F.sequence(F.lit(1).cast("long"), "count"))).select(neural.row_ids(df.columns, F.col("_rank")).alias("_row"), *df.columns)
+    one, two = ids(df), ids(df.repartition(5).orderBy("c3"))
+    assert one.select("_row").distinct().count() == 150 and one.exceptAll(two).count() == 0
+    held = np.array([tuple(r) for r in one.orderBy("_row").collect()])
+    rows, keys = held[:, 1:], np.array([r["_row"] for r in one.orderBy("_row").collect()])
+    starts = [linalg.gram_svd(v.T @ v, 2)[1] for v in (rows[:, :3], rows[:, 3:])]
+    params, history, _, _ = neural.train_share(exchange.Alone(), rows, keys, 150, [3, 2], spec, starts)
+    found = neural.train_table(two, [3, 2], spec, tasks=4)
+    assert np.allclose(history, found[1], rtol=1e-8) and all(np.allclose(v, found[0][k], rtol=0, atol=1e-8) for k, v in params.items())
+
+
+def test_epochs_take_every_row_once_in_new_orders(monkeypatch):
+    keys = neural.epoch_keys(np.arange(100), 0, 3)
+    whole = np.vstack(list(exchange.in_order(exchange.Alone(), keys, 100)))
+    monkeypatch.setattr(exchange, "CHUNK_ROWS", 30)
+    assert len(list(exchange.in_order(exchange.Alone(), keys, 100))) == 4 and (np.vstack(list(exchange.in_order(exchange.Alone(), keys, 100))) == whole).all()
     spec = neural.NeuralSpec(batch=7)
-    x = np.repeat(1.0, 100)[:, None] * np.arange(100.0)[:, None]
-    first, second = (np.vstack(list(neural.held_blocks(x, np.arange(100), spec)(e)))[:, 0] for e in (0, 1))
+    x = np.arange(100.0)[:, None]
+    first, second = (np.vstack([b[:, 1:] for b in exchange.in_order(exchange.Alone(), neural.epoch_keys(np.arange(100), spec.seed, e), 100)])[:, 0] for e in (0, 1))
     assert sorted(first) == sorted(second) == list(range(100)) and (first != second).any()
     assert [len(b) for b in neural.regrouped(iter([x[:5], x[5:30], x[30:]]), 40)] == [40, 40, 20]
 
 
-def test_neural_mixes_independent_components(spark, monkeypatch):
+def test_neural_mixes_independent_components(spark):
     rng = np.random.default_rng(7)
     truth = rng.uniform(-1, 1, (600, 2))
     both = np.hstack([truth @ rng.normal(size=(2, 3)), truth @ rng.normal(size=(2, 3))])
@@ -160,9 +178,8 @@ def test_neural_mixes_independent_components(spark, monkeypatch):
     assert match.max(axis=1).min() > 0.95 and set(match.argmax(axis=1)) == {0, 1}  # singular vectors leave the sources mixed
     mixed = neural._mixed([neural.var(truth @ np.array([[1.0, 0.7], [0.4, 1.0]]))], spec).x
     assert np.abs(np.corrcoef(mixed.T, truth.T)[:2, 2:]).max(axis=1).min() > 0.95
-    monkeypatch.setattr(neural, "ICA_CELLS", 100)
-    with pytest.raises(ValueError, match="ica"):
-        neural.fit_neural(df, views, spec)
+    fits = [neural.fit_neural(df, views, spec, tasks=t) for t in (1, 3)]  # sums over tasks instead of all latents at once
+    assert all(np.allclose(a["map"], b["map"], atol=1e-8) for a, b in zip(fits[0].mixing, fits[1].mixing))
 
 
 def test_flow_inverts():
