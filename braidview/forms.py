@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _r, _sql_dims, _two_views, _weight, _weighted_sql, query
 from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
-from .operators import columns, moments, prep, relational
+from .operators import columns, moments, permutations, prep, relational
 from .plans import embed, explain, linear, metrics, neural
 from .sources import tables
 from .streaming import whitening
@@ -204,6 +204,32 @@ def _(spark, d):
     return _table(spark, rows, "seed int, rv double", "rv")
 
 
+#: Permutations, seed and rows of a stratum of the query below.
+_MANY, _MANY_SEED, _STRATUM = 100, 11, 300
+_MOVES = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(permutations.affine(_MANY_SEED, _MANY, 2)[:, 1].tolist()))
+_PLACED = f"""x AS ({_sql_dims([0, 1, 32, 33])}), h AS (SELECT *, CAST(('0x' || substr(md5('{_MANY_SEED}:0:' || vec_id), 1, 15)) AS BIGINT) AS h FROM x),
+s AS (SELECT *, h % (SELECT greatest(1, CAST(ceil(count(*) / {_STRATUM}.0) AS BIGINT)) FROM x) AS s FROM h),
+p AS (SELECT s, ROW_NUMBER() OVER (PARTITION BY s ORDER BY h, vec_id) - 1 AS q, COUNT(*) OVER (PARTITION BY s) AS m, {", ".join(f"e{i} - AVG(e{i}) OVER () AS e{i}" for i in (0, 1, 32, 33))} FROM s)"""
+
+
+@query("permutation_null_of_two_columns", f"""WITH {_PLACED}, k AS (SELECT * FROM (VALUES {_MOVES}) AS k(t, a, b)),
+y AS (SELECT t, s, (a * q + b) % m AS q, e32, e33 FROM p, k),
+c AS (SELECT t, SUM(e0 * y.e32) AS c00, SUM(e0 * y.e33) AS c01, SUM(e1 * y.e32) AS c10, SUM(e1 * y.e33) AS c11 FROM p JOIN y USING (s, q) GROUP BY t),
+o AS (SELECT SUM(e0 * e0) AS a, SUM(e0 * e1) AS b, SUM(e1 * e1) AS d, SUM(e32 * e32) AS e, SUM(e32 * e33) AS f, SUM(e33 * e33) AS g FROM p)
+SELECT t AS permutation, ROUND((c00 * c00 + c01 * c01 + c10 * c10 + c11 * c11) / sqrt((a * a + 2 * b * b + d * d) * (e * e + 2 * f * f + g * g)), 8) AS rv,
+ROUND(sqrt((c00 * c00 + c01 * c01 + c10 * c10 + c11 * c11 + sqrt(greatest(power(c00 * c00 + c01 * c01 + c10 * c10 + c11 * c11, 2) - 4 * power(c00 * c11 - c01 * c10, 2), 0))) / 2), 4) AS strongest FROM c, o""")
+def _(spark, d):
+    x, views = _dims(spark, d, [0, 1, 32, 33]), {"lo": ["e0", "e1"], "hi": ["e32", "e33"]}
+    scalings, m = prep.fit_scalings(x, views, ["center"], moments=True)
+
+    def asked(p: gram.Moments) -> list[float]:
+        return [gram.rv_of(p, gram.only(p, 0, np.eye(2)), gram.only(p, 1, np.eye(2))), np.linalg.svd(p.block(0, 1), compute_uv=False)[0]]
+
+    null = linear.null_values(x, "vec_id", scalings, m, _MANY, _MANY_SEED, asked, 2, stratum_rows=_STRATUM)
+    rows = [(t, round(float(rv), 8), round(float(top), 4)) for t, (rv, top) in enumerate(null)]
+    return spark.createDataFrame(rows, "permutation int, rv double, strongest double")
+
+
 # -- fixed bases ---------------------------------------------------------------------------------------------------------------------------------
 
 _VIEWS = {"lo": _e(LO), "hi": _e(HI)}

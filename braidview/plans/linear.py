@@ -22,6 +22,7 @@ from ..functions.linalg import canonical_sign, gram_svd, one_sample_t, orthogona
 from ..functions.steps import make_step
 from ..operators.columns import value, weighted_sum
 from ..operators.moments import second_moments, vector_sum
+from ..operators.permutations import hashed_order, permuted
 from ..operators.prep import Scaling, array_scalings, fit_scalings
 from ..operators.relational import numbered
 
@@ -286,20 +287,15 @@ def decompose(f: Fit, kind: str | None = None) -> dict[str, dict[str, object]]:
     return out
 
 
-def shuffling(seed: int, view: int, key: str) -> Column:
-    """60 bits that order the rows of a view at random: the head of the MD5 of seed, view and key."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(view), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
-
-
 def shuffled(df: DataFrame, key: str, views: Views, seed: int) -> DataFrame:
     """Rows of every view put in an order of their own, by a hash of seed, view and key, and joined by their places.
 
     The order depends on keys and seed alone. One exchange per view; no task orders all rows.
     """
     names = list(views)
-    out = ranked(df.select(*[f"`{c}`" for c in views[names[0]]], F.col(key)), shuffling(seed, 0, key), key)
+    out = ranked(df.select(*[f"`{c}`" for c in views[names[0]]], F.col(key)), hashed_order(seed, 0, key), key)
     for i, v in enumerate(names[1:], 1):
-        other = ranked(df.select(*[f"`{c}`" for c in views[v]], F.col(key).alias("_other")), shuffling(seed, i, "_other"), "_other").drop("_other")
+        other = ranked(df.select(*[f"`{c}`" for c in views[v]], F.col(key).alias("_other")), hashed_order(seed, i, "_other"), "_other").drop("_other")
         out = out.join(other, "_place")
     return out.drop("_place")
 
@@ -331,17 +327,31 @@ def _held(df: DataFrame, key: str, views: Views) -> Iterator[DataFrame]:
         rows.unpersist()
 
 
+def null_values(df: DataFrame, key: str, scalings: Mapping[str, Scaling], m: Moments, permutations: int, seed: int, of: Callable[[Moments], Sequence[float]], size: int = 1, **options) -> np.ndarray:
+    """What ``of`` gives for each of many permutations of the views' rows (see :mod:`..operators.permutations`), a row of ``size`` numbers each: one job."""
+    rows, names = df, []
+    for s in scalings.values():
+        rows = s.apply(rows)
+        rows = rows.withColumns({c: F.col(f"`{c}`") - F.lit(float(x)) for c, x in zip(s.columns, s.steps["scaled_mean"])})
+        names += s.columns
+    return permuted(rows, key, names, m, permutations, seed, of, size, **options)
+
+
+def final_energy(m: Moments, bases: Sequence[np.ndarray], scores: Sequence[Score], kind: str) -> float:
+    return sum(energy(m, i, bases[i], scores[i if len(scores) > 1 else 0], kind) for i in range(m.views))
+
+
 def refit_test(df: DataFrame, key: str, views: Views, spec: Spec, permutations: int = 50, seed: int = 0) -> dict[str, object]:
-    """Final energy against those of fits to shuffled views: one-sample t of the null against the observed one, alternative "less"."""
-    null = []
+    """Final energy against those of fits to permuted views: one-sample t of the null against the observed one, alternative "less"."""
+
+    def refitted(m: Moments) -> list[float]:
+        bases, _, _, _ = solve(m, spec)
+        return [final_energy(m, bases, consensus(m, bases, spec.mixer, spec.topology, spec.graph), spec.energy)]
+
     with _held(df, key, views) as rows:
         seen = fit(rows, views, spec)
-        for p in range(permutations):
-            m = permutation_moments(rows, key, seen.scalings, seen.views, seed + p + 1)
-            bases, _, _, _ = solve(m, spec)
-            u = consensus(m, bases, spec.mixer, spec.topology, spec.graph)
-            null.append(sum(energy(m, i, bases[i], u[i if len(u) > 1 else 0], spec.energy) for i in range(m.views)))
-    observed = sum(energy(seen.moments, i, seen.bases[i], seen.score_of(i), spec.energy) for i in range(seen.moments.views))
+        null = null_values(rows, key, seen.scalings, seen.moments, permutations, seed, refitted)[:, 0].tolist()
+    observed = final_energy(seen.moments, seen.bases, seen.scores, spec.energy)
     t, p = one_sample_t(null, observed, "less") if permutations > 1 and np.std(null) > 0 else (0.0, 1.0)
     return {"observed": observed, "null": null, "t": t, "p": p}
 
@@ -352,13 +362,15 @@ def mean_alignment(m: Moments, bases: Sequence[np.ndarray], scores: Sequence[Sco
 
 def alignment_test(df: DataFrame, key: str, views: Views, spec: Spec, permutations: int = 100, seed: int = 0) -> dict[str, object]:
     """Mean RV of view projections with the score against shuffled refits; p is the share of the null at or above it."""
+
+    def refitted(m: Moments) -> list[float]:
+        bases, scores, _, _ = solve(m, spec)
+        return [mean_alignment(m, bases, scores)]
+
     with _held(df, key, views) as rows:
         seen = fit(rows, views, spec)
-        observed, null = mean_alignment(seen.moments, seen.bases, seen.scores), []
-        for p in range(permutations):
-            m = permutation_moments(rows, key, seen.scalings, seen.views, seed + p + 1)
-            bases, scores, _, _ = solve(m, spec)
-            null.append(mean_alignment(m, bases, scores))
+        observed = mean_alignment(seen.moments, seen.bases, seen.scores)
+        null = null_values(rows, key, seen.scalings, seen.moments, permutations, seed, refitted)[:, 0].tolist()
     return {"observed": observed, "null": null, "p": float(np.mean([x >= observed for x in null])) if null else 1.0}
 
 
@@ -403,8 +415,8 @@ def _estimate_rank(df: DataFrame, key: str, views: Views, permutations: int, sha
     top = max(1, min(tops))
     real = _alignment_curve(m, top)
     if permutations and m.views > 1:
-        null = [_alignment_curve(permutation_moments(df, key, scalings, views, seed + p + 1), top) for p in range(permutations)]
-        return int(np.argmax(real - np.mean(null, axis=0))) + 1
+        null = null_values(df, key, scalings, m, permutations, seed, lambda x: _alignment_curve(x, top), top)
+        return int(np.argmax(real - null.mean(axis=0))) + 1
     if len(real) < 3:
         return 1
     height = (real - real.min()) / (real.max() - real.min() + 1e-10)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from braidview import catalogue
 from braidview.functions import linalg
-from braidview.operators import columns, moments, neighbors, prep, relational
+from braidview.operators import columns, moments, neighbors, permutations, prep, relational
 from braidview.plans import embed, exchange, explain, harness, linear, neural
 from braidview.sources import generators, tables
 from braidview.streaming import whitening
@@ -103,6 +103,39 @@ def test_inference(case):
     assert set(linear.structural_models(case.df, case.views, {"line": {0: [1], 1: [0]}}, spec)) == {"line"}
 
 
+@pytest.mark.parametrize("stratum", [1000, 64])
+def test_many_permutations_equal_each_one_by_hand(spark, case, stratum):
+    """Every permutation's cross-products are those of rows moved by hand; all come from one job."""
+    names = [c for cs in case.views.values() for c in cs]
+    scalings, m = prep.fit_scalings(case.df, case.views, ["centerAndScale"], moments=True)
+    got = linear.null_values(case.df.repartition(5), "row_id", scalings, m, 7, 3, lambda x: x.block(0, 1).ravel(), 30, stratum_rows=stratum)
+    held = case.df.select("row_id", permutations.hashed_order(3, 0, "row_id").alias("h"), *names).toPandas()
+    x = held[names].to_numpy()
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    strata = max(1, -(-len(x) // stratum))
+    moves = permutations.affine(3, 7, 2)
+    for t in range(7):
+        want = np.zeros((6, 5))
+        for s in range(strata):
+            own = np.flatnonzero(held["h"] % strata == s)
+            own = own[np.argsort(held["h"].to_numpy()[own], kind="stable")]
+            to = (moves[t, 1, 0] * np.arange(len(own)) + moves[t, 1, 1]) % len(own)
+            assert sorted(to) == list(range(len(own)))
+            moved = np.empty((len(own), 5))
+            moved[to] = x[own, 6:]
+            want += x[own, :6].T @ moved
+        assert np.allclose(got[t].reshape(6, 5), want, atol=1e-8)
+    assert all(permutations._prime(a) for a in (2**31 - 1, 2_147_483_629)) and not any(permutations._prime(a) for a in (2**31 - 3, 1_373_653, 25_326_001))
+
+
+def test_permutations_in_several_passes(case, monkeypatch):
+    scalings, m = prep.fit_scalings(case.df, case.views, ["center"], moments=True)
+    one = linear.null_values(case.df, "row_id", scalings, m, 5, 3, lambda x: [x.block(0, 1).sum()])
+    monkeypatch.setattr(permutations, "CELLS", 70)
+    assert np.allclose(one, linear.null_values(case.df, "row_id", scalings, m, 5, 3, lambda x: [x.block(0, 1).sum()]))
+    assert linear.null_values(case.df, "row_id", scalings, m, 0, 3, lambda x: [1.0]).shape == (0, 1)
+
+
 def test_explanations(case):
     f = linear.fit(case.df, case.views, linear.Spec(k=2, iterations=5))
     assert explain.report_metrics(explain.report(f))["combined_r2"] > 0.9
