@@ -2,10 +2,14 @@
 
 The score of a text is the mean, over its words and word pairs, of log p(bucket | trusted) / p(bucket | corpus):
 both multinomials are over hashed buckets with add-one smoothing, the trusted one counted over texts labelled
-``quality`` 1 and the other over every text. The threshold is the score that best separates the labelled texts
-(highest balanced accuracy; the lowest of equals), so it is the same in every run. Where no text is labelled 0, or none
+``quality`` 1 and the other over every text. A trusted text is scored, for its own verdict and for the threshold, with counts
+of the other trusted texts, so that texts which were learned from are judged as unseen ones are. The threshold is the score that best separates the
+labelled texts (highest balanced accuracy; the lowest of equals), so it is the same in every run. Where no text is labelled 0, or none
 is labelled 1, no text is rejected by score.
 
+Texts are read, split and hashed once; their measures and buckets are written to the shared folder, and counts, threshold and scores
+are made from there. Windows of eight words are compared by 64 bits of hash.
+
 Defined cases. Null and empty texts have no words; the word rule rejects them. A ``doc_id`` with several labels counts as
 the lowest of them; null labels and ids are ignored. Repeated rows are scored each. Only ``doc_id``, ``text`` and the two label
 columns are read, whatever other columns are named.
@@ -19,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import stored, words_of
 
 BUCKETS = 1 << 14
 WINDOW = 8
@@ -57,35 +61,43 @@ def _with_labels(documents: DataFrame, labels: DataFrame, how: str) -> DataFrame
     return documents.join(F.broadcast(labels) if small else labels, documents["doc_id"] == labels["_id"], how)
 
 
-def log_ratios(documents: DataFrame, labels: DataFrame) -> list[float]:
-    """log p(bucket | trusted) / p(bucket | corpus), counted over all texts; a list of fixed length."""
-    rows = _with_labels(documents.select("doc_id", "text"), labels.where("quality = 1").select("_id"), "left")
-    words = rows.select(F.col("_id").isNotNull().cast("long").alias("_t"), words_of(F.col("text")).alias("_words"))
-    # explode() would bring a filter on what it explodes, which Spark would push down and so work out the words twice
-    grams = words.select("_t", _hashes("_words").alias("_w")).select("_t", F.explode_outer(buckets_of("_w")).alias("_b"))
+def bucket_counts(rows: DataFrame) -> tuple[list[float], list[float]]:
+    """How often each bucket occurs in all of ``rows`` and in trusted ones; lists of fixed length."""
+    # explode() would bring a filter on what it explodes, which Spark would push down
+    grams = rows.select((F.col("_quality") == 1).cast("long").alias("_t"), F.explode_outer("_b").alias("_b"))
     counts = grams.where("_b is not null").groupBy("_b").agg(F.count("*").alias("n"), F.sum("_t").alias("t")).collect()  # BUCKETS rows at most
-    n, t = [1] * BUCKETS, [1] * BUCKETS
+    n, t = [0.0] * BUCKETS, [0.0] * BUCKETS
     for r in counts:
-        n[r["_b"]] += r["n"]
-        t[r["_b"]] += r["t"]
-    shift = math.log(sum(n)) - math.log(sum(t))
-    return [math.log(b) - math.log(a) + shift for a, b in zip(n, t)]
-
-
-def _scored(documents: DataFrame, ratios: list[float], *keep: str) -> DataFrame:
-    """``keep``, ``_words``, ``_w`` (hashes) and ``_score``."""
-    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded to a constant once
-    words = documents.select(*keep, words_of(F.col("text")).alias("_words")).select(*keep, "_words", _hashes("_words").alias("_w"))
-    grams = words.select(*keep, "_words", "_w", buckets_of("_w").alias("_b"))
-    total = F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    return grams.select(*keep, "_words", "_w", F.when(F.size("_b") > 0, total / F.size("_b")).otherwise(F.lit(0.0)).alias("_score"))
-
-
-def best_threshold(documents: DataFrame, labels: DataFrame, ratios: list[float]) -> float:
-    """The lower edge of the score bin from which labelled texts are best told apart."""
-    rows = _with_labels(documents.select("doc_id", "text"), labels, "inner").select("quality", "text")
+        n[r["_b"]], t[r["_b"]] = float(r["n"]), float(r["t"] or 0)
+    return n, t
+
+
+def score_of(n: list[float], t: list[float]) -> Column:
+    """The score of a row with ``_b`` and ``_quality``; add-one smoothing, and without a trusted text's own counts."""
+    table = lambda x: F.from_json(F.lit(json.dumps(x)), "array<double>")  # noqa: E731  # folded to a constant once
+    corpus, size = math.log(sum(n) + BUCKETS), F.size("_b")
+    plain = table([math.log(b + 1.0) - math.log(a + 1.0) for a, b in zip(n, t)])
+    unseen = F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.get(plain, b)) + size * F.lit(corpus - math.log(sum(t) + BUCKETS))
+    # equal buckets lie side by side once sorted: each run's length is what the text itself adds to its bucket
+    logs, trusted = table([math.log(a + 1.0) for a in n]), table(t)
+    of_run = lambda acc: acc["n"] * (F.log(F.greatest(F.get(trusted, acc["b"]) - acc["n"], F.lit(0.0)) + 1.0) - F.get(logs, acc["b"]))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("b"), F.lit(0.0).alias("n"))
+
+    def step(acc: Column, b: Column) -> Column:
+        same = acc["b"] == b
+        return F.struct(
+            F.when(same, acc["sum"]).otherwise(acc["sum"] + of_run(acc)).alias("sum"), b.alias("b"), F.when(same, acc["n"] + 1.0).otherwise(F.lit(1.0)).alias("n"),
+        )
+
+    own = F.aggregate(F.sort_array("_b"), start, step, lambda acc: acc["sum"] + of_run(acc)) + size * (F.lit(corpus) - F.log(F.lit(sum(t) + BUCKETS) - size))
+    total = F.when(F.col("_quality") == 1, own).otherwise(unseen)
+    return F.when(size > 0, total / size).otherwise(F.lit(0.0))
+
+
+def best_threshold(scored: DataFrame) -> float:
+    """The lower edge of the score bin from which labelled rows (``_quality``, ``_score``) are best told apart."""
     at = F.least(F.greatest(F.floor(F.col("_score") / BIN).cast("int"), F.lit(-BINS)), F.lit(BINS))
-    bins = _scored(rows, ratios, "quality").groupBy("quality", at.alias("at")).count().collect()  # 2 * (2 * BINS + 1) rows at most
+    bins = scored.select(F.col("_quality").alias("quality"), at.alias("at")).groupBy("quality", "at").count().collect()  # 2 * (2 * BINS + 1) rows at most
     good, bad = (sum(r["count"] for r in bins if r["quality"] == q) for q in (1, 0))
     if not good or not bad:
         return -math.inf
@@ -120,36 +132,35 @@ def repeated_words(hashes: str) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), union).otherwise(F.lit(0).cast("long"))
 
 
-def measures(documents: DataFrame, ratios: list[float], threshold: float, *keep: str) -> DataFrame:
-    """The base measures, ``base_failed``, ``score`` and ``kept`` of every row."""
+def measures(documents: DataFrame, *keep: str) -> DataFrame:
+    """The base measures and ``base_failed`` of every row, and ``_b``, the buckets of its words and pairs."""
     base = documents.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.select(*keep, "text", lines.alias("_lines"))
     base = base.select(
-        *keep, "text", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        *keep, (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), words_of(F.col("text")).alias("_words"),
     )
-    rows = _scored(base, ratios, *keep, "n_dup_lines", "n_symbols")
+    rows = base.select(*keep, "n_dup_lines", "n_symbols", "_words", _hashes("_words").alias("_w"))
     windows = F.transform(_seq(F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get("_w", i - 1 + j) for j in range(WINDOW)]))
     rows = rows.select(
-        *keep, "n_dup_lines", "n_symbols", "_score", F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"), windows.alias("_windows"),
+        *keep, "n_dup_lines", "n_symbols", F.size("_words").cast("long").alias("n_words"),
+        F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"), windows.alias("_windows"), buckets_of("_w").alias("_b"),
     )
-    rows = rows.select("*", repeated_words("_windows").alias("n_repeat_words"))
+    rows = rows.withColumn("n_repeat_words", repeated_words("_windows"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rows = rows.select("*", failed.alias("base_failed"))
-    passed = F.lit(True) if threshold == -math.inf else F.col("_score") >= threshold
-    return rows.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & passed).alias("kept"), F.col("_score").alias("score"),
-    )
+    return rows.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "_b")
 
 
 def quality(documents: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    """Fit on ``documents`` and ``labels``, then measure every row of ``documents``."""
-    known = quality_labels(labels)
-    ratios = log_ratios(documents, known)
-    return measures(documents, ratios, best_threshold(documents, known, ratios), *keep)
+    """Base measures, ``base_failed``, ``score`` and ``kept`` of every row of ``documents``; the score is fitted on them and ``labels``. ``keep`` has to name ``doc_id``."""
+    known = quality_labels(labels).withColumnRenamed("quality", "_quality")
+    rows = stored(_with_labels(measures(documents, *keep), known, "left").drop("_id"), "quality")
+    score = score_of(*bucket_counts(rows))
+    threshold = best_threshold(rows.where("_quality is not null").select("_quality", score.alias("_score")))
+    scored = rows.select(*[c for c in rows.columns if c not in ("_b", "_quality")], score.alias("score"))
+    passed = F.lit(True) if threshold == -math.inf else F.col("score") >= threshold
+    return scored.withColumn("kept", ~F.col("base_failed") & passed)
 
 
 def query(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -179,13 +179,6 @@ def test_quality_without_labels(odd, spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.query(odd, labels).collect())
 
 
-def test_quality_threshold_tells_labels_apart(documents, spark, sf_dir):
-    labels = common.table(spark, sf_dir, "labels")
-    got = quality.query(documents, labels).join(labels, "doc_id").where("not base_failed").collect()
-    right = np.mean([r["kept"] == bool(r["quality"]) for r in got])
-    assert right > 0.95
-
-
 # -- op6 ----------------------------------------------------------------------
 
 
