@@ -5,8 +5,9 @@ sidebars, notices, adverts, forms, comments and the like are out; so are blocks
 their words are stop words, inside the article as outside. The others stay open. In pass two an open block takes the label of the
 nearest decided block of its section (article or not); if two are as near and disagree, or there is none, it is in. Where no block of a section is in by rule, long open blocks are.
 
-Names of furniture count at either end of a class, id or role (``ad-slot``, ``main-nav``), not in names of layouts (``has-sidebar``, ``content-sidebar-wrap``), and
-not on an h1. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles. So are
+Names of furniture count at either end of a class, id or role (``ad-slot``, ``main-nav``, ``commentBox``), not in names of layouts (``has-sidebar``, ``content-sidebar-wrap``), and
+not on an h1. Inside an article or main element a name decides alone only if it says nothing else (``user_reply``, ``cookieBanner``); with a word of its own (``related-work``,
+``share-price``) it merely halves the share of links that is let pass, and the text decides. If every article or main element of a page stands within such names, the names around them are void, but for lists of comments and of other articles. So are
 they around the largest part of the running text (``RUNNING`` letters or more) of a page that has none elsewhere.
 
 Defined cases. Null and empty pages give an empty text. Unclosed elements, comments and scripts end with the page; stray closing tags are ignored; a tag without its ``>`` is text.
@@ -54,14 +55,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class, id or role that mark page furniture.
 FURNITURE = re.compile(
     r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|nav\w*|menu|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|disclaimer|"
-    r"comments?|commentlist|disqus|respond|replies|footer|masthead|site-?header|page-?header|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
+    r"comments?|commentlist|disqus|respond|repl(?:y|ies)|footer|masthead|site-?header|page-?header|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
     r"search\w*|pagination|pager|popup|modal|overlay|toolbar|widget|copyright|skip-?link|contentinfo|complementary|navigation)",
     re.I,
 )
 #: Those that hold articles other than the page's.
-OTHERS = re.compile(r"comments?|commentlist|disqus|respond|replies|related|recommend\w*", re.I)
+OTHERS = re.compile(r"comments?|commentlist|disqus|respond|repl(?:y|ies)|related|recommend\w*", re.I)
 #: Parts of class names that tell of a page's layout or state, beside furniture or the lack of it.
 LAYOUT = frozenset("has have no not non with without layout off closed disabled".split())
+#: Parts of names that say nothing of what is inside.
+PLAIN = frozenset(
+    """
+    area areas bar block body bottom box button buttons card cell column container content footer form global group head header heading holder icon icons in inner input item items left
+    link links list main message messages module outer page panel post posts primary reader readers right row secondary section site slot text thread title top unit user users view visitor wrap wrapper
+    """.split()
+)
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 NAME_END = re.compile(r"[\s/>]")
 TAG_STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -70,24 +79,24 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("linked", "main", "marks", "out", "parts")
+    __slots__ = ("doubted", "linked", "main", "marks", "out", "parts")
 
-    def __init__(self, main: bool, out: bool, marks: tuple[int, ...]) -> None:
+    def __init__(self, main: bool, out: bool, doubted: bool, marks: tuple[int, ...]) -> None:
         self.parts: list[str] = []
-        self.linked, self.main, self.out, self.marks = 0, main, out, marks
+        self.linked, self.main, self.out, self.doubted, self.marks = 0, main, out, doubted, marks
 
 
 @lru_cache(maxsize=10_000)
-def _named_furniture(token: str) -> str | None:
-    """The furniture that a class, id or role names at its start or end, if any."""
-    parts = re.split(r"[_-]+", token.strip("_-"))
-    low = {p.lower() for p in parts}
+def _named_furniture(token: str) -> tuple[str, bool] | None:
+    """The furniture that a class, id or role names at its start or end, if any, and whether the name says nothing else."""
+    parts = [p.lower() for p in NAME_PARTS.findall(token)]
+    low = set(parts)
     if low & LAYOUT or ("content" in low and ("sidebar" in low or {"side", "bar"} <= low)):
         return None
     for n in (1, 2):  # words of two parts: side-bar
-        for word in ("-".join(parts[:n]), "-".join(parts[-n:])):
+        for word, rest in (("-".join(parts[:n]), parts[n:]), ("-".join(parts[-n:]), parts[:-n])):
             if FURNITURE.fullmatch(word):
-                return word
+                return word, all(p in PLAIN or FURNITURE.fullmatch(p) for p in rest)
     return None
 
 
@@ -99,8 +108,8 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
-def _furniture(attributes: dict[str, str]) -> list[str]:
-    """The furniture that an element's class, id and role name."""
+def _furniture(attributes: dict[str, str]) -> list[tuple[str, bool]]:
+    """The furniture that an element's class, id and role name, and whether they name nothing else."""
     return [w for k in ("class", "id", "role") for t in attributes.get(k, "").split() if (w := _named_furniture(t))]
 
 
@@ -129,15 +138,18 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
             if last[">"] < first or not (page[first].isascii() and page[first].isalpha()):
                 at = start + 1
                 continue
-            stop = NAME_END.search(page, first).start()
-            name, i = page[first:stop].lower(), stop
-            while True:
-                m = TAG_STOP.search(page, i)
-                if m is None or m[0] == ">":
-                    break
-                i = page.index(m[0], m.end()) + 1 if m.end() <= last[m[0]] else m.end()
-            stop = m.start() if m else page.index(">", stop)
+            stop = page.index(">", first)
+            name = page[first:stop]
+            if not name.isalnum():
+                cut = i = NAME_END.search(page, first).start()
+                while True:
+                    m = TAG_STOP.search(page, i)
+                    if m is None or m[0] == ">":
+                        break
+                    i = page.index(m[0], m.end()) + 1 if m.end() <= last[m[0]] else m.end()
+                name, stop = page[first:cut], m.start() if m else page.index(">", cut)
             inside, after = page[first + len(name) : stop], stop + 1
+            name = name.lower()
         if start > since:
             yield "", False, page[since:start]
         at = since = after
@@ -154,19 +166,19 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what their place in the page says of them."""
     found: list[Block] = []
-    # name, inside the article, inside furniture, inside a link, and the elements around that are furniture by name only
-    open_tags: list[tuple[str, bool, bool, bool, tuple[int, ...]]] = []
+    # name, inside the article, inside furniture, inside a link, inside a doubtful name, and the elements around that are furniture by name only
+    open_tags: list[tuple[str, bool, bool, bool, bool, tuple[int, ...]]] = []
     opened: dict[str, int] = {}  # how many of a name are open
     large: list[int] = []  # which of them are block elements
-    main = out = link = False
+    main = out = link = doubt = False
     marks: tuple[int, ...] = ()
     around: set[int] = set()  # marked elements around an article or main, or such themselves
     clear = False  # an article or main stands outside all furniture
     block: Block | None = None
 
     def close(k: int) -> None:
-        nonlocal main, out, link, marks
-        _, main, out, link, marks = open_tags[k]
+        nonlocal main, out, link, doubt, marks
+        _, main, out, link, doubt, marks = open_tags[k]
         for x in open_tags[k:]:
             opened[x[0]] -= 1
         del open_tags[k:]
@@ -176,7 +188,7 @@ def blocks(page: str) -> list[Block]:
     for number, (name, closing, inside) in enumerate(tokens(page)):
         if not name:
             if block is None:
-                block = Block(main, out, marks)
+                block = Block(main, out, doubt, marks)
                 found.append(block)
             block.parts.append(inside)
             block.linked += len(inside.strip()) if link else 0
@@ -203,14 +215,19 @@ def blocks(page: str) -> list[Block]:
         attributes = _attributes(inside) if inside else {}
         if name in BLOCKS:
             large.append(len(open_tags))
-        open_tags.append((name, main, out, link, marks))
+        open_tags.append((name, main, out, link, doubt, marks))
         opened[name] = opened.get(name, 0) + 1
         article = name in ("article", "main")
         if article:
             main = True
         named = _furniture(attributes) if attributes and name not in ("html", "body", "h1") else []
+        if main and named:
+            whole = [x for x in named if x[1]]
+            if not whole:
+                doubt, block = True, None
+            named = whole
         hidden = attributes and name not in ("html", "body") and ("hidden" in attributes or NO_DISPLAY.search(attributes.get("style", "")))
-        if name in OUT or (name == "header" and not main) or hidden or (not article and any(OTHERS.fullmatch(w) for w in named)):
+        if name in OUT or (name == "header" and not main) or hidden or (not article and any(OTHERS.fullmatch(w) for w, _ in named)):
             out = True
             block = None
         elif named:
@@ -228,13 +245,13 @@ def blocks(page: str) -> list[Block]:
 
 
 def stop_density(text: str) -> float:
-    words = [w.lower() for w in LETTERS.findall(text)]
-    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    words = LETTERS.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
 
 
-def decide(text: str, linked: int, out: bool) -> bool | None:
+def decide(text: str, linked: int, out: bool, doubted: bool = False) -> bool | None:
     """Pass one: whether a block is in by its place, links, length and stop words; None if they leave it open."""
-    if out or linked > LINKS * len(text):
+    if out or linked > (LINKS / 2 if doubted else LINKS) * len(text):
         return False
     return True if len(text) > SHORT and stop_density(text) >= STOPS else None
 
@@ -269,7 +286,7 @@ def _spared(held: list[tuple[Block, str]]) -> set[int]:
     """Elements that are furniture by name, on a page whose running text stands nowhere else: those with most of it, if that is ``RUNNING`` letters at least."""
     inside: dict[int, int] = {}
     for b, text in held:
-        if b.marks and decide(text, b.linked, b.out):
+        if b.marks and decide(text, b.linked, b.out, b.doubted):
             for x in b.marks:
                 inside[x] = inside.get(x, 0) + len(text)
     most = max(inside.values(), default=0)
@@ -281,11 +298,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     held = [(b, text) for b in blocks(page) if (text := " ".join(entities.unescape("".join(b.parts)).split()))]
-    spared = set() if any(not b.marks and decide(text, b.linked, b.out) for b, text in held) else _spared(held)
+    spared = set() if any(not b.marks and decide(text, b.linked, b.out, b.doubted) for b, text in held) else _spared(held)
     rows = []
     for b, text in held:
         out = b.out or any(x not in spared for x in b.marks)
-        rows.append((len(text), b.main, out, decide(text, b.linked, out)))
+        rows.append((len(text), b.main, out, decide(text, b.linked, out, b.doubted)))
     return "\n".join(text for (_, text), label in zip(held, inherit(rows)) if label)
 
 

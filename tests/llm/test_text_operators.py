@@ -289,6 +289,22 @@ def test_html_rules():
     assert htmltext.main_text("<p>open <!-- never closed") == "open"
 
 
+def test_html_names_with_words_of_their_own_dont_remove_text():
+    prose = "This is a plain paragraph of the article that says what it has to say in some hundred letters and then it ends here."
+    page = "<body><article><h1>Title of it</h1><p>" + prose + "</p>{}<p>" + prose + " Last.</p></article></body>"
+    for tag in ('section id="related-work"', 'section id="search-algorithms"', 'section id="social-history"', 'p class="share-price"', 'section class="cookieRecipes"'):
+        name = tag.split()[0]
+        got = htmltext.main_text(page.format(f"<{tag}>Own {prose}</{name}>")).split("\n")
+        assert got == ["Title of it", prose, "Own " + prose, prose + " Last."], tag
+    for tag in ('div class="commentBox"', 'div class="user_reply"', 'div class="cookieBanner"', 'section id="comments"', 'div class="ad-slot"', 'div id="siteNavMenu"', 'div class="post-comments"'):
+        name = tag.split()[0]
+        for around in (page, "<body>{}" + page.format("") + "</body>"):
+            got = htmltext.main_text(around.format(f"<{tag}>Own {prose}</{name}>")).split("\n")
+            assert got == ["Title of it", prose, prose + " Last."], tag
+    links = "<a href=x>Another article of ours</a> and <a href=y>yet another one of ours</a> are there for you to read, if it is that you like to"
+    assert "Another" not in htmltext.main_text(page.format(f'<div class="related-reading">{links}</div>'))
+
+
 def test_html_furniture_spares_the_article():
     text = "The first paragraph of the text is long enough to be decided by its rule."
     other = "The words of the others are not what this page is about, and there are many of them."
