@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _r, _sql_dims, _two_views, _weight, _weighted_sql, query
 from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
-from .operators import columns, moments, permutations, prep, relational
+from .operators import columns, moments, permutations, prep, relational, wide
 from .plans import embed, explain, linear, metrics, neural
 from .sources import tables
 from .streaming import whitening
@@ -230,6 +230,49 @@ def _(spark, d):
     return spark.createDataFrame(rows, "permutation int, rv double, strongest double")
 
 
+# -- wide views ----------------------------------------------------------------------------------------------------------------------------------
+
+
+def _bought(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
+    """A row a customer: how much of each part, and from each supplier, they bought; and how many columns that makes."""
+    lines = tables.load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity").join(tables.load(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    views = []
+    for name, column in (("parts", "l_partkey"), ("suppliers", "l_suppkey")):
+        cells = lines.groupBy("o_custkey", column).agg(F.sum("l_quantity").alias("v"))
+        views.append(wide.sparse_rows(cells, ["o_custkey"], column, "v", name))
+    top = lines.agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s")).first()
+    return views[0].join(views[1], "o_custkey"), {"parts": top["p"] + 1, "suppliers": top["s"] + 1}
+
+
+@query("wide_range_pass", """WITH c AS (SELECT o_custkey AS r, l_partkey AS c, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), n AS (SELECT COUNT(DISTINCT r) AS n FROM c),
+m AS (SELECT c, SUM(v) / n AS m FROM c, n GROUP BY c, n), o AS (SELECT SUM(m * sin(c)) AS o0, SUM(m * cos(c)) AS o1 FROM m),
+y AS (SELECT r, SUM(v * sin(c)) - o0 AS y0, SUM(v * cos(c)) - o1 AS y1 FROM c, o GROUP BY r, o0, o1), w AS (SELECT SUM(y0) AS w0, SUM(y1) AS w1 FROM y),
+z AS (SELECT c, SUM(v * y0) AS z0, SUM(v * y1) AS z1 FROM c JOIN y USING (r) GROUP BY c)
+SELECT c AS part, ROUND(z0 - m * w0, 3) AS z0, ROUND(z1 - m * w1, 3) AS z1 FROM z JOIN m USING (c), w""")
+def _(spark, d):
+    rows, widths = _bought(spark, d)
+    scalings, _ = wide.fit_wide_scalings(rows, {"parts": widths["parts"]}, scale=False, divide=False)
+    at = np.arange(widths["parts"], dtype=float)
+    z = wide.range_pass(rows, scalings, np.column_stack([np.sin(at), np.cos(at)]))
+    seen = np.flatnonzero(scalings["parts"].shift != 0.0)
+    return spark.createDataFrame([(int(i), round(float(z[i, 0]), 3), round(float(z[i, 1]), 3)) for i in seen], "part long, z0 double, z1 double")
+
+
+@query("wide_singular_values")
+def _(spark, d):
+    rows, widths = _bought(spark, d)
+    scalings, n = wide.fit_wide_scalings(rows, widths, divide=False)
+    m = wide.wide_moments(rows, scalings, n, 10, passes=3)
+    return spark.createDataFrame([(v, j, float(x)) for i, v in enumerate(widths) for j, x in enumerate(m.svd(i, 3)[0])], "view string, place int, value double")
+
+
+@query("wide_scores")
+def _(spark, d):
+    rows, widths = _bought(spark, d)
+    f = linear.fit_wide(rows, widths, linear.Spec(k=2, iterations=20))
+    return linear.add_wide_scores(rows, f).select("o_custkey", "u_1", "u_2")
+
+
 # -- fixed bases ---------------------------------------------------------------------------------------------------------------------------------
 
 _VIEWS = {"lo": _e(LO), "hi": _e(HI)}

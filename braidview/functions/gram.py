@@ -12,17 +12,39 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .linalg import gram_svd, rv_from_grams
+from .linalg import canonical_sign, gram_svd, rv_from_grams
 
 ICA = ("logcosh", "exp", "gauss", "kurtosis")
 ENERGIES = ("regression", "acc", *ICA, "nc", "normalized_correlation", "dat")
 
 
+class Factored:
+    """The matrix ``left @ right.T`` by its factors, columns by a few numbers each: cross-products of wide views, which no machine holds as a square."""
+
+    __array_ufunc__ = None  # numpy leaves products to this class
+
+    def __init__(self, left: np.ndarray, right: np.ndarray) -> None:
+        self.left, self.right = left, right
+
+    def __len__(self) -> int:
+        return len(self.left)
+
+    def __getitem__(self, at) -> Factored:
+        rows, columns = at if isinstance(at, tuple) else (at, slice(None))
+        return Factored(self.left[rows], self.right[columns])
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return self.left @ (self.right.T @ x)
+
+    def __rmatmul__(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.left) @ self.right.T
+
+
 @dataclass
 class Moments:
     """Centred cross-products of the views' columns side by side; ``cuts`` bounds the views."""
 
-    gram: np.ndarray
+    gram: np.ndarray | Factored
     cuts: list[int]
     n: int
 
@@ -36,12 +58,28 @@ class Moments:
     def width(self, i: int) -> int:
         return self.cuts[i + 1] - self.cuts[i]
 
+    def total(self, i: int) -> float:
+        """The sum of squares of view ``i``."""
+        g = self.block(i, i)
+        return float((g.left * g.right).sum() if isinstance(g, Factored) else np.trace(g))
+
+    def svd(self, i: int, rank: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Leading singular values and right vectors of view ``i``."""
+        g = self.block(i, i)
+        if not isinstance(g, Factored):
+            return gram_svd(g, rank)
+        u, s, _ = np.linalg.svd(g.left, full_matrices=False)
+        r = len(s) if rank is None else min(rank, len(s))
+        return s[:r], canonical_sign(u[:, :r])
+
     def subset(self, views: Sequence[int]) -> Moments:
         at = np.concatenate([np.arange(self.cuts[i], self.cuts[i + 1]) for i in views])
-        return Moments(self.gram[np.ix_(at, at)], [0, *np.cumsum([self.width(i) for i in views]).tolist()], self.n)
+        return Moments(self.gram[at, at] if isinstance(self.gram, Factored) else self.gram[np.ix_(at, at)], [0, *np.cumsum([self.width(i) for i in views]).tolist()], self.n)
 
     def scaled(self, factors: Sequence[np.ndarray]) -> Moments:
         f = np.concatenate(factors)
+        if isinstance(self.gram, Factored):
+            return Moments(Factored(self.gram.left * f[:, None], self.gram.right * f[:, None]), self.cuts, self.n)
         return Moments(self.gram * np.outer(f, f), self.cuts, self.n)
 
 
@@ -189,7 +227,7 @@ def energy(m: Moments, i: int, v: np.ndarray, u: Score, kind: str, prior: np.nda
     """The energy of view ``i``'s basis against the score; kinds as in ENERGIES, others 0."""
     xu = u.with_view(m, i)
     if kind == "regression":
-        return float(np.trace(m.block(i, i)) - 2.0 * (xu * v).sum() + (u.own(m) * (v.T @ v)).sum())
+        return float(m.total(i) - 2.0 * (xu * v).sum() + (u.own(m) * (v.T @ v)).sum())
     if kind == "acc":
         return -float(np.abs(xu.T @ v).sum()) / (m.n - 1)
     if kind in ICA:
@@ -235,6 +273,6 @@ def reconstruction_map(m: Moments, i: int, u: Score) -> np.ndarray:
 
 def reconstruction_error(m: Moments, i: int, u: Score, w: np.ndarray) -> float:
     """||X_i - U W|| / ||X_i||."""
-    total = float(np.trace(m.block(i, i)))
+    total = m.total(i)
     rest = total - 2.0 * float((w * u.with_view(m, i).T).sum()) + float((u.own(m) * (w @ w.T)).sum())
     return math.sqrt(max(rest, 0.0) / total) if total > 0 else 0.0

@@ -25,6 +25,7 @@ from ..operators.moments import second_moments, vector_sum
 from ..operators.permutations import hashed_order, permuted
 from ..operators.prep import Scaling, array_scalings, fit_scalings
 from ..operators.relational import numbered
+from ..operators.wide import WideScaling, fit_wide_scalings, project, wide_moments
 
 Views = Mapping[str, Sequence[str]]
 
@@ -81,7 +82,7 @@ def initial_bases(m: Moments, k: int, seed: int = 0) -> list[np.ndarray]:
     """Leading right singular vectors of every view, turned so that their largest entries are positive (the mean of views depends on it); views with fewer columns than ``k`` are filled up with small noise."""
     rng, out = np.random.default_rng(seed), []
     for i in range(m.views):
-        _, v = gram_svd(m.block(i, i), k)
+        _, v = m.svd(i, k)
         v = canonical_sign(v)
         out.append(np.hstack([v, 1e-4 * rng.standard_normal((len(v), k - v.shape[1]))]) if v.shape[1] < k else v)
     return out
@@ -154,6 +155,40 @@ def fit_arrays(views: Mapping[str, np.ndarray], spec: Spec, names: Views | None
     return Fit(spec, named, scalings, bases, scores, [reconstruction_map(m, i, u) for i, u in enumerate(by_view)], history, rounds, m.n, m)
 
 
+@dataclass
+class WideFit:
+    """A fit of wide views (see :mod:`..operators.wide`): bases and maps have a row a column."""
+
+    spec: Spec
+    views: dict[str, int]
+    scalings: dict[str, WideScaling]
+    bases: list[np.ndarray]
+    scores: list[Score]
+    energies: list[float]
+    moments: Moments
+
+
+def fit_wide(df: DataFrame, views: Mapping[str, int], spec: Spec, rank: int = 20, passes: int = 2) -> WideFit:
+    """The fit of sparse views with ``views[name]`` columns each, from moments of rank ``rank``; the driver holds columns times rank numbers.
+
+    The ica mixer needs rows and isn't offered here; ``centerAndScale`` and ``np`` are the scalings.
+    """
+    if spec.mixer == "ica":
+        raise ValueError("wide views aren't mixed by independent components")
+    scalings, n = fit_wide_scalings(df, views, "centerAndScale" in spec.scale, "np" in spec.scale)
+    m = wide_moments(df, scalings, n, rank, passes=passes)
+    bases, scores, history, _ = solve(m, spec)
+    return WideFit(spec, dict(views), scalings, bases, scores, history, m)
+
+
+def add_wide_scores(df: DataFrame, f: WideFit, prefix: str = "u") -> DataFrame:
+    """Columns u_1 ... u_k (with one score per view: u_<view>_1 ...); map-only."""
+    for i, u in enumerate(f.scores):
+        tag = prefix if len(f.scores) == 1 else f"{prefix}_{list(f.views)[i]}"
+        df = project(df, f.scalings, dict(zip(f.views, u.maps)), [f"{tag}_{j + 1}" for j in range(u.maps[0].shape[1])])
+    return df
+
+
 #: Cells (rows times columns) that the ica mixer brings to the driver, which spares a job for each of its steps; beyond, its sums are made where the rows are.
 ICA_CELLS = 5_000_000
 
@@ -378,7 +413,7 @@ def _alignment_curve(m: Moments, top: int) -> np.ndarray:
     """For 1 ... ``top`` components the mean RV of each view's subspace with the consensus of the others'."""
     left = []
     for i in range(m.views):
-        s, v = gram_svd(m.block(i, i), top)
+        s, v = m.svd(i, top)
         left.append(v / np.where(s > 0, s, np.inf))
     out = []
     for k in range(1, top + 1):
