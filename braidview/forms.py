@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _r, _sql_dims, _two_views, _weight, _weighted_sql, query
+from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _ORDER_STATS, _r, _sql_dims, _two_views, _weight, _weighted_sql, query
 from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
 from .operators import columns, moments, permutations, prep, relational, wide
@@ -230,6 +230,29 @@ def _(spark, d):
     return spark.createDataFrame(rows, "permutation int, rv double, strongest double")
 
 
+# -- cases ---------------------------------------------------------------------------------------------------------------------------------------
+
+_CASE_VIEWS = {"orders": ["n_orders", "mean_price"], "lines": ["mean_quantity", "mean_discount"]}
+
+
+@query("rv_by_case", f"""WITH v AS (SELECT c_nationkey, n_orders, sum_price / n_orders AS a2, sum_quantity / n AS b1, sum_discount / n AS b2 FROM customer c JOIN ({_ORDER_STATS}) a ON c.c_custkey = a.c_custkey
+JOIN (SELECT o_custkey AS c_custkey, COUNT(*) AS n, SUM(l_quantity) AS sum_quantity, SUM(l_discount) AS sum_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey) b ON c.c_custkey = b.c_custkey),
+g AS (SELECT c_nationkey, COUNT(*) AS n, CORR(n_orders, b1) AS c11, CORR(n_orders, b2) AS c12, CORR(a2, b1) AS c21, CORR(a2, b2) AS c22, CORR(n_orders, a2) AS a, CORR(b1, b2) AS b FROM v GROUP BY c_nationkey)
+SELECT CAST(c_nationkey AS VARCHAR) AS nation, n, ROUND((c11 * c11 + c12 * c12 + c21 * c21 + c22 * c22) / sqrt((2 + 2 * a * a) * (2 + 2 * b * b)), 6) AS rv FROM g WHERE n > 3""")
+def _(spark, d):
+    rows = _customer_views(spark, d).join(tables.load(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    asked = lambda m, _: {"rv": float(gram.rv_of(m, gram.only(m, 0, np.eye(2)), gram.only(m, 1, np.eye(2))))}
+    out = linear.by_case(rows, "c_nationkey", _CASE_VIEWS, ["centerAndScale"], asked, "rv double")
+    return out.where("n > 3").select(F.col("case").alias("nation"), "n", F.round("rv", 6).alias("rv"))
+
+
+@query("fits_by_case")
+def _(spark, d):
+    rows = _customer_views(spark, d).join(tables.load(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    out = linear.fit_by_case(rows, "c_nationkey", _CASE_VIEWS, linear.Spec(k=1))
+    return out.select(F.col("case").alias("nation"), "n", "rounds", F.element_at("energies", -1).alias("energy"))
+
+
 # -- wide views ----------------------------------------------------------------------------------------------------------------------------------
 
 

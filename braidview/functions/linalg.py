@@ -14,10 +14,11 @@ def clean(x) -> np.ndarray:
 
 
 def canonical_sign(v: np.ndarray) -> np.ndarray:
-    """Columns turned so that each one's entry of largest size is positive."""
+    """Columns turned so that each one's entry of largest size is positive; of entries as large but for rounding the first one counts."""
     v = np.array(v, dtype=float)
     if v.size:
-        peak = v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])]
+        size = np.abs(v)
+        peak = v[(size >= (1.0 - 1e-9) * size.max(axis=0)).argmax(axis=0), np.arange(v.shape[1])]
         v *= np.where(peak < 0, -1.0, 1.0)
     return v
 

@@ -15,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.gram import Moments
 from .columns import value
-from .moments import second_moments
+from .moments import Filled, filled, first_values, gapped_sums
 
 METHODS = ("none", "norm", "np", "sqrtnp", "center", "centerAndScale", "eigenvalue")
 
@@ -72,33 +72,36 @@ def global_means(df: DataFrame, views: Mapping[str, Sequence[str]]) -> dict[str,
 
 
 def fit_scalings(df: DataFrame, views: Mapping[str, Sequence[str]], methods: Sequence[str] = ("centerAndScale", "np"), moments: bool = False) -> tuple[dict[str, Scaling], Moments | None]:
-    """Scalings of all views in two passes, and in a third their centred cross-products where ``moments`` or a method asks for them.
+    """Scalings of all views, and their centred cross-products where ``moments`` or a method asks for them.
 
-    The cross-products are those of the scaled views, centred whether or not the methods centre.
+    With cross-products one pass gives everything; without, two passes inside the JVM do. The cross-products are those of the scaled views, centred whether or not the
+    methods centre.
     """
     unknown = [m for m in methods if m not in METHODS]
     if unknown:
         raise ValueError(f"unknown scaling {unknown}")
     every = [c for cs in views.values() for c in cs]
+    cuts = [0, *np.cumsum([len(cs) for cs in views.values()]).tolist()]
+    if moments or {"norm", "eigenvalue"} & set(methods):
+        with held(df, list(dict.fromkeys(every))) as rows:
+            shift = first_values(rows, every)
+            sums = np.zeros((2 * len(every) + 1) ** 2)
+            for r in gapped_sums(rows, every, shift).collect():  # columns times columns at most
+                sums[r["at"]] = r["v"]
+        return scaled_moments(filled(sums.reshape(2 * len(every) + 1, -1), shift, cuts), views, methods, moments)
     with held(df, list(dict.fromkeys(every))) as rows:
         fills = global_means(rows, views)
-        filled = rows.select(*[F.coalesce(value(c), F.lit(fills[v])).alias(c) for v, cs in views.items() for c in cs])
-        stats = filled.agg(F.count("*").alias("n"), *[f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(every) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-        n = stats["n"]
-        means, stds = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(len(every))]) for k in "ms")
-        gram = None
-        if moments or {"norm", "eigenvalue"} & set(methods):
-            gram, _, _ = second_moments(filled, every, means)  # centred, so that large means don't swallow small spreads
-    out, factors, at = {}, [], 0
-    for v, cs in views.items():
-        own = slice(at, at + len(cs))
-        out[v] = _scaling(list(cs), methods, fills[v], n, means[own], stds[own], None if gram is None else gram[own, own])
-        factors.append(np.array(out[v].factor))
-        at += len(cs)
-    found = None
-    if moments:
-        found = Moments(gram, [0, *np.cumsum([len(cs) for cs in views.values()]).tolist()], n).scaled(factors)
-    return out, found
+        there = rows.select(*[F.coalesce(value(c), F.lit(fills[v])).alias(c) for v, cs in views.items() for c in cs])
+        stats = there.agg(F.count("*").alias("n"), *[f(f"`{c}`").alias(f"{k}{i}") for i, c in enumerate(every) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    means, stds = (np.array([stats[f"{k}{i}"] or 0.0 for i in range(len(every))]) for k in "ms")
+    return {v: _scaling(list(cs), methods, fills[v], stats["n"], means[a:b], stds[a:b], None) for (v, cs), a, b in zip(views.items(), cuts, cuts[1:])}, None
+
+
+def scaled_moments(f: Filled, views: Mapping[str, Sequence[str]], methods: Sequence[str], moments: bool = True) -> tuple[dict[str, Scaling], Moments | None]:
+    """Scalings and moments from what one pass tells."""
+    cuts = [0, *np.cumsum([len(cs) for cs in views.values()]).tolist()]
+    out = {v: _scaling(list(cs), methods, fill, f.n, f.mean[a:b], f.std[a:b], f.gram[a:b, a:b]) for (v, cs), fill, a, b in zip(views.items(), f.fills, cuts, cuts[1:])}
+    return out, Moments(f.gram, cuts, f.n).scaled([np.array(s.factor) for s in out.values()]) if moments else None
 
 
 def array_scalings(views: Mapping[str, np.ndarray], names: Mapping[str, Sequence[str]], methods: Sequence[str] = ("centerAndScale", "np")) -> tuple[dict[str, Scaling], Moments]:

@@ -1,6 +1,6 @@
 """The linear multi-view model: fit, score, reconstruct, and what can be asked of a fit.
 
-Rows are read for scaling statistics (two passes) and cross-products (one); iterations run at the driver on features by
+Rows are read once, for scaling statistics and cross-products together; iterations run at the driver on features by
 features matrices. Scoring is column arithmetic, map-only, and the same for a row whatever rows it comes with, unless ``transductive`` asks
 for the mixing to be made anew on the batch.
 """
@@ -12,6 +12,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -21,9 +22,9 @@ from ..functions.gram import IcaStep, Moments, Score, array_step, consensus, dow
 from ..functions.linalg import canonical_sign, gram_svd, one_sample_t, orthogonality_defect, orthogonality_summary
 from ..functions.steps import make_step
 from ..operators.columns import value, weighted_sum
-from ..operators.moments import second_moments, vector_sum
+from ..operators.moments import filled, first_values, gapped_sums, second_moments, vector_sum
 from ..operators.permutations import hashed_order, permuted
-from ..operators.prep import Scaling, array_scalings, fit_scalings
+from ..operators.prep import Scaling, array_scalings, fit_scalings, scaled_moments
 from ..operators.relational import numbered
 from ..operators.wide import WideScaling, fit_wide_scalings, project, wide_moments
 
@@ -155,6 +156,42 @@ def fit_arrays(views: Mapping[str, np.ndarray], spec: Spec, names: Views | None
     return Fit(spec, named, scalings, bases, scores, [reconstruction_map(m, i, u) for i, u in enumerate(by_view)], history, rounds, m.n, m)
 
 
+def by_case(df: DataFrame, case: str, views: Views, scale: Sequence[str], of: Callable[[Moments, dict[str, Scaling]], Mapping[str, object]], schema: str) -> DataFrame:
+    """``case n`` and the columns of ``schema``, which ``of`` makes from the scalings and moments of each case's rows: one job for all cases.
+
+    Tasks add up cross-products case by case, and what is asked of a case is worked out where its sums come together, so neither a case's rows nor all cases' sums are anywhere in one
+    place. A null case counts as "".
+    """
+    views = {v: list(cs) for v, cs in views.items()}
+    every, cuts = [c for cs in views.values() for c in cs], [0, *np.cumsum([len(cs) for cs in views.values()]).tolist()]
+    shift, size = first_values(df, every), 2 * len(every) + 1
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def answer(table: pa.Table) -> pa.Table:
+        sums = np.zeros(size * size)
+        sums[table.column("at").to_numpy()] = table.column("v").to_numpy()
+        found = filled(sums.reshape(size, size), shift, cuts)
+        scalings, m = scaled_moments(found, views, scale)
+        made = of(m, scalings)
+        return pa.table({"case": table.column("case").slice(0, 1), "n": pa.array([found.n], pa.int64()), **{k: pa.array([made[k]]) for k in names}})
+
+    sums = gapped_sums(df, every, shift, case)
+    spread = sums.repartition(df.sparkSession.sparkContext.defaultParallelism, "case")  # fits cost more than their sums weigh
+    return spread.groupBy("case").applyInArrow(answer, f"case string, n long, {schema}")
+
+
+def fit_by_case(df: DataFrame, case: str, views: Views, spec: Spec) -> DataFrame:
+    """A fit for every case, all in one job: ``case n rounds energies bases maps`` (bases and score maps by view, row after row)."""
+    if spec.mixer == "ica":
+        raise ValueError("fits by case see no rows, which the ica mixer needs")
+
+    def fitted(m: Moments, scalings: dict[str, Scaling]) -> dict[str, object]:
+        bases, scores, history, rounds = solve(m, spec)
+        return {"rounds": rounds, "energies": [float(x) for x in history], "bases": [v.ravel().tolist() for v in bases], "maps": [x.ravel().tolist() for u in scores for x in u.maps]}
+
+    return by_case(df, case, views, spec.scale, fitted, "rounds long, energies array<double>, bases array<array<double>>, maps array<array<double>>")
+
+
 @dataclass
 class WideFit:
     """A fit of wide views (see :mod:`..operators.wide`): bases and maps have a row a column."""

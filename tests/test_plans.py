@@ -136,6 +136,60 @@ def test_permutations_in_several_passes(case, monkeypatch):
     assert linear.null_values(case.df, "row_id", scalings, m, 0, 3, lambda x: [1.0]).shape == (0, 1)
 
 
+def test_one_pass_fills_gaps_and_centres(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 5)) * [1, 2, 1e-3, 1, 0] + [1e6, 0, 5, -3, 1e4]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 4] = 1e4
+    x[0, 4] = np.nan
+    df = tables.from_matrix(spark, x).repartition(4)
+    views = {"a": ["x0", "x1"], "b": ["x2", "x3"], "c": ["x4"]}
+    scalings, m = prep.fit_scalings(df, views, ["centerAndScale"], moments=True)
+    filled = x.copy()
+    for at in ([0, 1], [2, 3], [4]):
+        part = filled[:, at]
+        part[np.isnan(part)] = np.nanmean(part)
+        filled[:, at] = part
+    sd = filled.std(axis=0, ddof=1)
+    z = (filled - filled.mean(axis=0)) / np.where(sd < 1e-10, 1, sd)
+    assert m.n == 90 and np.allclose(m.gram, z.T @ z, atol=1e-6)
+    native, _ = prep.fit_scalings(df, views, ["centerAndScale"])
+    for v in views:
+        assert np.allclose(native[v].shift, scalings[v].shift) and np.allclose(native[v].factor, scalings[v].factor, rtol=1e-6) and native[v].nan_fill == pytest.approx(scalings[v].nan_fill)
+
+
+def test_a_thousand_fits_in_one_job_equal_the_loop(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n, cases = 12, 1000
+    shared = rng.normal(size=(n * cases, 1))
+    x = np.hstack([shared + 0.5 * rng.normal(size=(n * cases, 2)), shared + 0.5 * rng.normal(size=(n * cases, 2))])
+    df = tables.from_matrix(spark, x).withColumn("part", F.col("row_id") % cases).repartition(4)
+    views, spec = {"a": ["x0", "x1"], "b": ["x2", "x3"]}, linear.Spec(k=2, iterations=8)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "fits")
+    got = {r["case"]: r for r in linear.fit_by_case(df, "part", views, spec).collect()}
+    assert len(jobs.getJobIdsForGroup("fits")) <= 6  # a first row, then the stages of one query
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(got) == cases
+    for c in (0, 1, 499, 999):
+        want = linear.fit_arrays({"a": x[c::cases, :2], "b": x[c::cases, 2:]}, spec)
+        r = got[str(c)]
+        assert r["n"] == n and r["rounds"] == want.rounds and np.allclose(r["energies"], want.energies, rtol=1e-6)
+        assert all(np.allclose(b, w.ravel(), atol=1e-6) for b, w in zip(r["bases"], want.bases))
+    with pytest.raises(ValueError, match="ica"):
+        linear.fit_by_case(df, "part", views, linear.Spec(k=1, mixer="ica"))
+
+
+def test_cases_that_are_null_or_flushed(spark, case):
+    df = case.df.withColumn("part", F.when(F.col("row_id") % 3 == 0, F.lit(None)).otherwise(F.col("row_id") % 3))
+    asked = lambda m, s: {"total": float(m.total(0)), "names": sorted(s)}
+    got = {r["case"]: r for r in linear.by_case(df, "part", case.views, ["center"], asked, "total double, names array<string>").collect()}
+    assert set(got) == {"", "1", "2"} and sum(r["n"] for r in got.values()) == 240 and got["1"]["names"] == sorted(case.views)
+    names = next(iter(case.views.values()))
+    x = df.where("part is null").select(*names).toPandas().to_numpy()
+    assert got[""]["total"] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+
+
 def test_explanations(case):
     f = linear.fit(case.df, case.views, linear.Spec(k=2, iterations=5))
     assert explain.report_metrics(explain.report(f))["combined_r2"] > 0.9
