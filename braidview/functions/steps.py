@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -321,7 +320,7 @@ def list_steps() -> list[str]:
 
 
 def make_step(name: str, **options) -> Step:
-    """The rule of a name; an unknown one gives the hybrid, with a warning."""
+    """The rule of a name."""
     if name not in RULES:
-        warnings.warn(f"no step rule is named {name}: hybrid_adam is taken", stacklevel=2)
-    return RULES.get(name, Hybrid)(**options)
+        raise ValueError(f"no step rule is named {name}; there are {', '.join(list_steps())}")
+    return RULES[name](**options)

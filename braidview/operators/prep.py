@@ -15,7 +15,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ..functions.gram import Moments
 from .columns import value
-from .moments import Filled, filled, first_values, gapped_sums
+from .moments import Filled, filled, first_values, gapped_sums, second_moments
 
 METHODS = ("none", "norm", "np", "sqrtnp", "center", "centerAndScale", "eigenvalue")
 

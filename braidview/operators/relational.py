@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpoint_folder
 
 def align_views(tables: Sequence[DataFrame], key: str, fill: float | None = 0.0) -> DataFrame:
     """Inner join of views on their key; missing numbers become ``fill``."""
@@ -109,45 +110,30 @@ def variance_shares(values: DataFrame, threshold: float) -> DataFrame:
     return values.withColumn("share", share).withColumn("enough", F.col("share") >= threshold)
 
 
-def below(bounds: Sequence[object], x: Column) -> Column:
-    """How many of the ascending ``bounds`` are smaller than ``x``, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b) for b in bounds])
-    start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        low, high = acc["low"], acc["high"]
-        middle = F.shiftright(low + high, 1)
-        smaller = (low < high) & (F.get(table, middle) < x)
-        return F.struct(F.when(smaller, middle + 1).otherwise(low).cast("int").alias("low"), F.when((low < high) & ~smaller, middle).otherwise(high).cast("int").alias("high"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, halve, lambda acc: acc["low"])
-
-
-#: Rows of a range that one task numbers, about; ranges at most; keys that their bounds are taken from.
-RANGE_ROWS, RANGES, RANGE_SAMPLE = 200_000, 1024, 20_000
+#: Rows of a range that one task numbers, about; ranges whose sizes are sent to all executors, at most.
+RANGE_ROWS, SENT_RANGES = 200_000, 100_000
 
 
 def numbered(df: DataFrame, key: str, *ties: str, place: str = "_place") -> tuple[DataFrame, int]:
     """``df`` with the rows' places from 1 in the order of ``key`` (of any type with an order), then ``ties``; and their number.
 
-    Numbering goes by key ranges of about equal numbers of rows: bounds from the keys with the smallest hashes (a bounded list), rows per range next, places within ranges last, so
-    no task orders all rows.
+    Rows are sorted by ranges of key, ties and a number of their own, so that a key which many rows share is split as well, and checkpointed: partitions stay as they
+    are. A row's place is its place in its partition and the sizes of those before it, a table with a row a partition. No task has much more than ``RANGE_ROWS`` rows at
+    any size, and numbering itself shuffles nothing more.
     """
     n = df.count()
-    parts, bounds = min(RANGES, -(-n // RANGE_ROWS)), []
-    if parts > 1:
-        sample = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(RANGE_SAMPLE).collect())
-        bounds = sorted({sample[len(sample) * p // parts] for p in range(1, parts)}) if sample else []
-    rows = df.withColumn("_part", F.coalesce(below(bounds, F.col(key)), F.lit(0)))
-    sizes = {r["_part"]: r["count"] for r in rows.groupBy("_part").count().collect()} if bounds else {}
-    before, total = [], 0
-    for p in range(len(bounds) + 1):
-        before.append(total)
-        total += sizes.get(p, 0)
-    at = F.row_number().over(Window.partitionBy("_part").orderBy(key, *ties))
-    return rows.withColumn(place, F.get(F.array(*[F.lit(b) for b in before]), F.col("_part")) + at).drop("_part"), n
+    if n <= RANGE_ROWS:
+        return df.withColumn(place, F.row_number().over(Window.orderBy(key, *ties)).cast("long")), n  # one task's rows
+    checkpoint_folder(df.sparkSession)
+    order = [key, *ties, "_tie"]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(-(-n // RANGE_ROWS), *order).sortWithinPartitions(*order).drop("_tie").checkpoint()
+    # the upper bits name the partition, the lower 33 count its rows
+    rows = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = F.broadcast(before) if -(-n // RANGE_ROWS) <= SENT_RANGES else before
+    at = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(before, "_part").withColumn(place, at).drop("_part", "_id", "_before").select(*df.columns, place), n
 
 
 def split_rows(df: DataFrame, key: str, shares: Sequence[float], names: Sequence[str]) -> DataFrame:
