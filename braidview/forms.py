@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _ORDER_STATS, _r, _sql_dims, _two_views, _weight, _weighted_sql, query
+from .catalogue import _BOTH, _CENTRED, _FOUR, _X, HI, LO, _basis, _customer_views, _dims, _e, _one, _ORDER_STATS, _r, _sql_dims, _two_views, _weight, _weighted_sql, SQL, query
 from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
 from .operators import columns, moments, permutations, prep, relational, wide
 from .plans import embed, explain, linear, metrics, neural
 from .sources import tables
-from .streaming import whitening
+from .streaming import stateful, whitening
 
 
 def _table(spark: SparkSession, rows: list, schema: str, *rounded: str, digits: int = 8) -> DataFrame:
@@ -613,3 +613,27 @@ def _(spark, d):
     queue.push(np.array([[r["e0"], r["e1"]] for r in sorted(newest.collect(), key=lambda r: r["vec_id"])]))
     stats.update(queue.rows)
     return _one(spark, m0=stats.mean[0], m1=stats.mean[1], a=stats.cov[0, 0], b=stats.cov[0, 1], c=stats.cov[1, 1]).select(*_r(["m0", "m1", "a", "b", "c"], 8))
+
+
+def _streamed(spark: SparkSession, d: str, columns: list[str], **settings) -> DataFrame:
+    """The last state of a stream over ``embeddings``, which come in four parts; the stream is stopped after each and started again."""
+    folder = _scratch(spark, "stream")
+    rows = _dims(spark, d, [0, 1]).withColumn("part", F.pmod(F.floor(F.col("vec_id") / 50), F.lit(4)))
+    for part in range(4):
+        rows.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.drop("part").schema).parquet(f"{folder}/in")
+        stateful.run_to_table(stateful.running_statistics(stream, columns, "vec_id", **settings), f"{folder}/out", f"{folder}/checkpoint")
+    return stateful.newest_state(spark, f"{folder}/out")
+
+
+@query("whitening_stream", SQL["whitening_queue"].replace("SELECT ROUND(m0, 8)", "SELECT (SELECT MAX(vec_id) FROM embeddings) AS last, (SELECT COUNT(*) FROM x) AS n, (SELECT COUNT(DISTINCT (vec_id // 50) % 4) FROM embeddings) AS batches, ROUND(m0, 8)"))
+def _(spark, d):
+    got = _streamed(spark, d, ["e0", "e1"], capacity=256, rate=1.0, least=2)
+    at = lambda c, i: F.round(F.get(c, F.lit(i)), 8)
+    return got.select("last", "n", "batches", at("mean", 0).alias("m0"), at("mean", 1).alias("m1"), at("cov", 0).alias("a"), at("cov", 1).alias("b"), at("cov", 3).alias("c"))
+
+
+@query("independent_stream")
+def _(spark, d):
+    got = _streamed(spark, d, ["e0", "e1"], capacity=256, least=2, every=2)
+    return got.select("last", "n", "batches", F.posexplode("map").alias("place", "weight"))

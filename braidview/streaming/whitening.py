@@ -101,11 +101,15 @@ class StableIca:
             self.skew = self.skew + self.rate * (g - g.T)
         self.batches += 1
 
+    def map(self) -> np.ndarray | None:
+        """What centred rows are multiplied by."""
+        return None if self.white is None else self.white @ rotation(self.skew)
+
     def transform(self, df: DataFrame, columns: Sequence[str], prefix: str = "s") -> DataFrame:
         """Independent coordinates s_1 ... as column arithmetic."""
         if self.white is None:
             return df.withColumns({f"{prefix}_{j + 1}": F.coalesce(value(c), F.lit(0.0)) for j, c in enumerate(columns)})
-        a = self.white @ rotation(self.skew)
+        a = self.map()
         off = self.stats.mean @ a
         return df.withColumns({f"{prefix}_{j + 1}": weighted_sum(columns, a[:, j]) - F.lit(float(off[j])) for j in range(self.width)})
 
