@@ -386,6 +386,12 @@ def _(spark, d):
     return neighbors.nearest_self(_dims(spark, d, LO), "vec_id", _e(LO), 3).withColumn("d", F.round("d", 6))
 
 
+@query("knn_by_cells", SQL["knn_self"])
+def _(spark, d):
+    rows = _dims(spark, d, LO)
+    return neighbors.nearest_by_cells(rows, rows, "vec_id", _e(LO), 4, cell_rows=200)[0].withColumn("d", F.round("d", 6))
+
+
 @query("knn_gaussian", _knn_sql(4, kernel="EXP(-d * d / 0.5)"))
 def _(spark, d):
     return neighbors.nearest_self(_dims(spark, d, LO), "vec_id", _e(LO), 3, sigma=0.5).withColumn("d", F.round("d", 6))

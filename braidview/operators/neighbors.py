@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import checkpoint_folder
+
 #: Rows of a block side, which decides how often a row travels; rows whose distances to a block are held at once.
 BLOCK_ROWS, SLICE_ROWS = 16_384, 512
+#: Cells around pivots, at most: what every task knows of the other side.
+MOST_CELLS = 1_000
 
 
 def _packed(df: DataFrame, key: str, columns: Sequence[str], blocks: int, name: str) -> DataFrame:
@@ -19,17 +26,11 @@ def _packed(df: DataFrame, key: str, columns: Sequence[str], blocks: int, name:
     return df.select(F.col(key).cast("long").alias("id"), vector.alias("x"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias(name))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], k: int, sigma: float | None = None) -> DataFrame:
-    """``i j d``: the ``k`` rows of ``right`` nearest to every row of ``left`` (ties by id); with ``sigma`` the kernel exp(-d^2 / 2 sigma^2) instead of d.
+EDGES = "i long, j long, d double"
 
-    Rows are dealt into blocks; each pair of blocks is one group that keeps its own ``k`` best per row by matrix products, and a second step keeps the best
-    of all blocks. Every pair of rows is looked at, as exact neighbours need, but only k rows per left row and block leave a group.
-    """
-    blocks = lambda df: max(1, math.ceil(df.count() / BLOCK_ROWS))
-    m, n = blocks(left), blocks(right)
-    # every row travels to each block of the other side
-    a = _packed(left, key, columns, m, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "x", "a", "b")
-    b = _packed(right, key, columns, n, "b2").withColumn("a2", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("id").alias("id2"), F.col("x").alias("x2"), "a2", "b2")
+
+def _best(k: int):
+    """The ``k`` rows of one block nearest to every row of another."""
 
     def best(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         if own.empty or other.empty:
@@ -48,11 +49,142 @@ def nearest(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str],
             found.append((np.repeat(i[first : first + SLICE_ROWS], order.shape[1]), ids[near[at, order]].ravel(), exact[at, order].ravel()))
         return pd.DataFrame({name: np.concatenate(c) for name, c in zip("ijd", zip(*found))})
 
-    parts = a.groupBy("a", "b").cogroup(b.groupBy("a2", "b2")).applyInPandas(best, "i long, j long, d double")
-    out = parts.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_r") <= k).drop("_r")
+    return best
+
+
+def _first(edges: DataFrame, k: int) -> DataFrame:
+    return edges.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("_r") <= k).drop("_r")
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], k: int, sigma: float | None = None) -> DataFrame:
+    """``i j d``: the ``k`` rows of ``right`` nearest to every row of ``left`` (ties by id); with ``sigma`` the kernel exp(-d^2 / 2 sigma^2) instead of d.
+
+    Rows are dealt into blocks; each pair of blocks is one group that keeps its own ``k`` best per row by matrix products, and a second step keeps the best
+    of all blocks. Every pair of rows is looked at, as exact neighbours need, but only k rows per left row and block leave a group.
+    """
+    blocks = lambda df: max(1, math.ceil(df.count() / BLOCK_ROWS))
+    m, n = blocks(left), blocks(right)
+    # every row travels to each block of the other side
+    a = _packed(left, key, columns, m, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "x", "a", "b")
+    b = _packed(right, key, columns, n, "b2").withColumn("a2", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("id").alias("id2"), F.col("x").alias("x2"), "a2", "b2")
+
+    parts = a.groupBy("a", "b").cogroup(b.groupBy("a2", "b2")).applyInPandas(_best(k), EDGES)
+    out = _first(parts, k)
     return out if sigma is None else out.withColumn("d", F.exp(-F.col("d") * F.col("d") / F.lit(2.0 * sigma**2)))
 
 
+@dataclass
+class Cells:
+    """Pivots, how many rows are nearest to each, and the least and greatest of their distances to it."""
+
+    pivots: np.ndarray
+    count: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        """Of rows to all pivots; exact differences, as bounds may not lose digits."""
+        out = np.empty((len(x), len(self.pivots)))
+        for a in range(0, len(x), 64):
+            out[a : a + 64] = np.sqrt(((x[a : a + 64, None, :] - self.pivots) ** 2).sum(axis=2))
+        return out
+
+    def home(self, d: np.ndarray, k: int) -> np.ndarray:
+        """The nearest cell with ``k`` rows; the nearest at all if there is none."""
+        enough = self.count >= k
+        return np.argmin(np.where(enough, d, np.inf) if enough.any() else d, axis=1)
+
+    def least(self, d: np.ndarray) -> np.ndarray:
+        """Below which distance no row of a cell can be, by the triangle inequality: its rows lie in a ring around its pivot, and nearer to it than to the row's nearest pivot."""
+        ring = np.maximum(d - self.high, self.low - d)
+        near = np.argmin(d, axis=1)
+        apart = self.between[near]
+        plane = np.divide(d**2 - d[np.arange(len(d)), near][:, None] ** 2, 2.0 * apart, out=np.zeros_like(d), where=apart > 0)
+        bound = np.maximum(np.maximum(ring, plane), 0.0)
+        return np.where(self.count > 0, bound - 1e-9 * (1.0 + d), np.inf)
+
+    @cached_property
+    def between(self) -> np.ndarray:
+        return self.distances(self.pivots)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _cells(rows: DataFrame, n: int, cell_rows: int) -> tuple[Cells, DataFrame]:
+    """Cells of ``rows`` (``id x``), and the rows with ``cell`` and ``sub``, their part of a cell of more than ``cell_rows`` rows."""
+    wanted = min(MOST_CELLS, max(1, math.ceil(n / cell_rows)))
+    found = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()  # MOST_CELLS rows at most
+    pivots = np.unique(np.array([r["x"] for r in found], dtype=float), axis=0)
+    blank = Cells(pivots, np.zeros(len(pivots)), np.zeros(len(pivots)), np.zeros(len(pivots)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = blank.distances(_matrix(b.column(1))) if b.num_rows else np.zeros((0, len(pivots)))
+            at = np.argmin(d, axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.int32()), pa.array(d[np.arange(len(d)), at])], names=["id", "x", "cell", "to"])
+
+    dealt = rows.mapInArrow(placed, "id long, x array<double>, cell int, to double")
+    count, low, high = (np.zeros(len(pivots)) for _ in range(3))
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.min("to").alias("low"), F.max("to").alias("high")).collect():
+        count[r["cell"]], low[r["cell"]], high[r["cell"]] = r["n"], r["low"], r["high"]
+    subs = F.array(*[F.lit(max(1, math.ceil(c / cell_rows))) for c in count])
+    return Cells(pivots, count, low, high), dealt.select("id", "x", "cell", F.pmod(F.xxhash64("id"), F.get(subs, F.col("cell"))).cast("int").alias("sub"))
+
+
+def _meet(visits: DataFrame, cells: DataFrame, k: int, cell_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """``i j d``: for every visit (``id x cell``) the ``k`` nearest of each part of the cell; and the number of visits by cell.
+
+    Visitors of a cell come in shares of about ``cell_rows``, and the cell's rows travel to each share: a cell that everyone visits is many groups.
+    """
+    many = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+    shares = F.array(*[F.lit(math.ceil(many.get(c, 0) / cell_rows)) for c in range(max(many, default=-1) + 1)])
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    parts = cells.groupBy("cell").agg((F.max("sub") + 1).alias("subs"))
+    a = visits.join(F.broadcast(parts), "cell").select("id", "x", "cell", F.pmod(F.xxhash64("id", F.lit(7)), F.get(shares, F.col("cell"))).cast("int").alias("share"), spread(F.col("subs")).alias("sub"))
+    b = cells.where(F.get(shares, F.col("cell")) > 0).select(F.col("id").alias("id2"), F.col("x").alias("x2"), "cell", "sub", spread(F.get(shares, F.col("cell"))).alias("share"))
+    return a.groupBy("cell", "sub", "share").cogroup(b.groupBy("cell", "sub", "share")).applyInPandas(_best(k), EDGES), many
+
+
+def nearest_by_cells(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], k: int, sigma: float | None = None, cell_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
+    """The edges of :func:`nearest`, and the share of all pairs of rows that was looked at.
+
+    The right rows are dealt to the cells of their nearest pivots. A left row first meets the nearest cell that has ``k`` rows, which bounds how far its neighbours can be; then it
+    visits only cells that the triangle inequality lets hold a row within that bound. Nothing is lost; on rows in clusters most cells are skipped.
+    """
+    columns, n, m = list(columns), right.count(), left.count()
+    if not n or not m:
+        return nearest(left, right, key, columns, k, sigma), 0.0
+    checkpoint_folder(left.sparkSession)
+    own, other = (_packed(df, key, columns, 1, "_").drop("_") for df in (left, right))
+    known, cells = _cells(other, n, cell_rows)
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known.home(known.distances(_matrix(b.column(1))), k), pa.int32())], names=["id", "x", "cell"])
+
+    def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = known.distances(_matrix(b.column(1)))
+                go = known.least(d) <= b.column(2).to_numpy(zero_copy_only=False)[:, None]
+                go[np.arange(len(d)), known.home(d, k)] = False
+                row, cell = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell, pa.int32())], names=["id", "x", "cell"])
+
+    visit = "id long, x array<double>, cell int"
+    first, home = _meet(own.mapInArrow(at_home, visit), cells, k, cell_rows)
+    first = _first(first, k).checkpoint()  # the second step reads it twice
+    bound = first.groupBy("i").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(math.inf)).alias("bound"))
+    asked = own.join(bound, F.col("id") == F.col("i")).select("id", "x", "bound")
+    second, away = _meet(asked.mapInArrow(abroad, visit), cells, k, cell_rows)
+    seen = sum(known.count[c] * v for many in (home, away) for c, v in many.items())
+    out = _first(first.unionByName(second), k)
+    return out if sigma is None else out.withColumn("d", F.exp(-F.col("d") * F.col("d") / F.lit(2.0 * sigma**2))), float(seen / (n * m))
+
+
 def nearest_self(df: DataFrame, key: str, columns: Sequence[str], k: int, sigma: float | None = None) -> DataFrame:
     """Neighbours within one table: ``k`` + 1 with the row itself."""
     return nearest(df, df, key, columns, k + 1, sigma)
