@@ -3,8 +3,9 @@
 A turn's text may hold tool declarations, calls and results as JSON between tags: ``<tools>[{"name", "parameters"}]</tools>``,
 ``<tool_call>{"id", "name", "arguments", "after"}</tool_call>``, ``<tool_result>{"id", "content"}</tool_result>``. Calls and results of a conversation are hash-joined by
 identifier (the n-th call of an id with its n-th result). Calls are put in topological order: a call comes after those that it names in ``after`` or refers to by an argument
-"$id"; among free ones the earlier in the conversation is first. Arguments are validated against the declared schema (type, enum, required, properties,
-additionalProperties, items, minimum, maximum, minLength, maxLength). Every turn becomes one canonical JSON object: sorted keys, no spaces, letters as they are.
+"$id"; among free ones the earlier in the conversation is first. Arguments are validated against the declared schema (type, enum, const, required, properties,
+additionalProperties, minProperties, maxProperties, items, minItems, maxItems, uniqueItems, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, minLength,
+maxLength, pattern, allOf, anyOf, oneOf, not; annotations and unknown words constrain nothing). Every turn becomes one canonical JSON object: sorted keys, no spaces, letters as they are.
 
 Calls and declarations are joined by name for validation. For the order alone the calls of a conversation are gathered in one task, each with its id and the ids that it
 needs (some hundred bytes, no texts or arguments): a conversation may have as many calls as fit there, some millions; its turns, texts and results have no such bound.
@@ -13,7 +14,8 @@ Defined cases. Null texts are empty, null roles stay null. A null ``conv_id`` is
 Ids are compared by their text (a number by its JSON). Of several declarations of a name the last one counts, in the whole conversation.
 A tag that isn't sound JSON stays in the content and counts in ``n_bad``: text that can't be read, NaN and numbers beyond a double's range, surrogates without their other half, more than ``DEPTH`` levels,
 or a call, result or declaration without its name or id. Of equal keys in an object the last one counts. Calls on or behind a cycle come last, in order of appearance, with ``order`` null. Calls without a
-declaration, or with one whose schema has a keyword of the wrong kind, are ``valid`` null. Only ``conv_id``, ``turn``, ``role`` and ``text`` are read.
+declaration, or with one whose schema has a keyword of the wrong kind or a constraint that isn't among those above, are ``valid`` null; so are those for which a
+``pattern`` takes longer than ``PATTERN_SECONDS``. Only ``conv_id``, ``turn``, ``role`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,24 +130,65 @@ def _same(a: object, b: object) -> bool:
     return isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
+# Words of JSON Schema that constrain a value and aren't read here.
+UNREAD = frozenset(
+    """
+    $ref $dynamicRef $recursiveRef if then else patternProperties propertyNames contains minContains maxContains prefixItems additionalItems unevaluatedItems unevaluatedProperties
+    dependentRequired dependentSchemas dependencies
+    """.split()
+)
+COUNTS = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties")
+BOUNDS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum")
+PATTERN_SECONDS = 2.0
+
+
+class Undecided(Exception):
+    """Whether a value fits can't be told."""
+
+
+@lru_cache(maxsize=1_000)
+def _pattern(text: str) -> regex.Pattern | None:
+    try:
+        return regex.compile(text)
+    except regex.error:
+        return None
+
+
+def _whole(x: object) -> object:
+    """Numbers that are whole as integers, so that equal values have one form."""
+    if isinstance(x, dict):
+        return {k: _whole(v) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_whole(v) for v in x]
+    return int(x) if isinstance(x, float) and x.is_integer() else x
+
+
 def usable(schema: object) -> bool:
-    """Whether the keywords of a schema that :func:`valid` reads are of the kinds that they have to be."""
+    """Whether :func:`valid` reads all constraints of a schema, and these are of the kinds that they have to be."""
     if not isinstance(schema, dict):
         return isinstance(schema, bool)
     kinds = schema.get("type", [])
     names = [kinds] if isinstance(kinds, str) else kinds
+    several = [schema[k] for k in ("allOf", "anyOf", "oneOf") if k in schema]
     return (
-        isinstance(names, list) and (names != [] or "type" not in schema) and all(isinstance(k, str) and (k in _TYPES or k in ("number", "integer")) for k in names)
+        not UNREAD & schema.keys() and all(isinstance(x, list) and x and all(map(usable, x)) for x in several) and usable(schema.get("not", True))
+        and (isinstance(schema.get("pattern", ""), str) and _pattern(schema.get("pattern", "")) is not None) and isinstance(schema.get("uniqueItems", False), bool)
+        and _number(schema.get("multipleOf", 1)) and schema.get("multipleOf", 1) > 0
+        and isinstance(names, list) and (names != [] or "type" not in schema) and all(isinstance(k, str) and (k in _TYPES or k in ("number", "integer")) for k in names)
         and isinstance(schema.get("enum", []), list)
         and isinstance(schema.get("required", []), list) and all(isinstance(k, str) for k in schema.get("required", []))
         and isinstance(schema.get("properties", {}), dict) and all(map(usable, schema.get("properties", {}).values()))
         and usable(schema.get("additionalProperties", True)) and usable(schema.get("items", True))
-        and all(_number(schema.get(k, 0)) for k in ("minimum", "maximum")) and all(_is(schema.get(k, 0), "integer") for k in ("minLength", "maxLength"))
+        and all(_number(schema.get(k, 0)) for k in BOUNDS) and all(_is(schema.get(k, 0), "integer") for k in COUNTS)
     )
 
 
+def _sized(n: int, schema: dict, least: str, most: str) -> bool:
+    return schema.get(least, 0) <= n <= schema.get(most, n)
+
+
 def valid(value: object, schema: object) -> bool:
-    """Whether a value fits a usable schema (the keywords named above; others are ignored)."""
+    """Whether a value fits a usable schema; :class:`Undecided` if a pattern takes too long."""
     if isinstance(schema, bool):
         return schema
     kinds = schema.get("type")
@@ -150,16 +196,43 @@ def valid(value: object, schema: object) -> bool:
         return False
     if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return False
+    if "const" in schema and not _same(value, schema["const"]):
+        return False
+    if not all(valid(value, x) for x in schema.get("allOf", [])) or ("anyOf" in schema and not any(valid(value, x) for x in schema["anyOf"])):
+        return False
+    if ("oneOf" in schema and sum(valid(value, x) for x in schema["oneOf"]) != 1) or ("not" in schema and valid(value, schema["not"])):
+        return False
     if isinstance(value, dict):
         known = schema.get("properties", {})
         if any(k not in value for k in schema.get("required", [])) or any(k in value and not valid(value[k], s) for k, s in known.items()):
             return False
-        return all(valid(v, schema.get("additionalProperties", True)) for k, v in value.items() if k not in known)
+        return _sized(len(value), schema, "minProperties", "maxProperties") and all(valid(v, schema.get("additionalProperties", True)) for k, v in value.items() if k not in known)
     if isinstance(value, list):
+        if not _sized(len(value), schema, "minItems", "maxItems") or (schema.get("uniqueItems") and len({canonical(_whole(x)) for x in value}) < len(value)):
+            return False
         return all(valid(v, schema.get("items", True)) for v in value)
     if isinstance(value, str):
-        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
-    return not _number(value) or schema.get("minimum", value) <= value <= schema.get("maximum", value)
+        if not _sized(len(value), schema, "minLength", "maxLength"):
+            return False
+        try:
+            return "pattern" not in schema or _pattern(schema["pattern"]).search(value, timeout=PATTERN_SECONDS) is not None
+        except TimeoutError as e:
+            raise Undecided from e
+    if not _number(value):
+        return True
+    if not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        return False
+    if ("exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]) or ("exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]):
+        return False
+    return "multipleOf" not in schema or Fraction(str(value)) % Fraction(str(schema["multipleOf"])) == 0
+
+
+def verdict(value: object, schema: object) -> bool | None:
+    """Whether a value fits a schema, or null if that can't be told."""
+    try:
+        return valid(value, schema) if usable(schema) else None
+    except Undecided:
+        return None
 
 
 def references(value: object) -> set[str]:
@@ -218,7 +291,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said = []
         for body, declared in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
             schema = None if declared is None else json.loads(declared)
-            said.append(valid(json.loads(body), schema) if declared is not None and usable(schema) else None)
+            said.append(verdict(json.loads(body), schema) if declared is not None else None)
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(said, pa.bool_())], names=["k1", "k2", "seq", "valid"])
 
 

@@ -162,3 +162,27 @@ def test_the_last_declaration_counts(spark):
     turns = [(1, 0, "system", tools({"required": ["y"]})), (1, 1, "assistant", call), (1, 2, "system", tools({"required": ["z"]}, {"required": ["x"]})), (2, 0, "a", call), (None, 0, "a", call + tools({}))]
     got = {(r["conv_id"], r["turn"]): json.loads(r["message"]) for r in chat.query(spark.createDataFrame(turns, SCHEMA)).collect()}
     assert got[1, 1]["tool_calls"][0]["valid"] is True and got[2, 0]["tool_calls"][0]["valid"] is None and got[None, 0]["tool_calls"][0]["valid"] is True
+
+
+@pytest.mark.parametrize(
+    ("schema", "right", "wrong"),
+    [
+        ({"pattern": "^a+$"}, ["aa", 3], ["ab", ""]), ({"const": {"a": 1}}, [{"a": 1.0}], [{"a": True}, None]), ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["x", 3], [2]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, [2, 1.5, "x"], [1, 3, 0]), ({"minItems": 1, "maxItems": 2}, [[1], [1, 2], {}], [[], [1, 2, 3]]),
+        ({"uniqueItems": True}, [[1, True, "1"]], [[1, 1.0], [{"a": 1}, {"a": 1}]]), ({"multipleOf": 0.1}, [0.3, 1, "x"], [0.35]), ({"minProperties": 1, "maxProperties": 1}, [{"a": 1}], [{}, {"a": 1, "b": 2}]),
+        ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, [1, 2], [3]), ({"oneOf": [{"minimum": 1}, {"maximum": 2}]}, [0, 3], [1, 2]), ({"not": {"type": "null"}}, [1, ""], [None]),
+        ({"title": "t", "format": "date", "x-own": 1, "default": []}, [1, "no date"], []),
+    ],
+)
+def test_constraints_of_schemas(schema, right, wrong):
+    assert all(chat.verdict(x, schema) is True for x in right) and all(chat.verdict(x, schema) is False for x in wrong)
+
+
+@pytest.mark.parametrize("schema", [{"$ref": "#/x"}, {"if": {}}, {"properties": {"a": {"prefixItems": []}}}, {"anyOf": []}, {"anyOf": [{"contains": {}}]}, {"pattern": "("}, {"multipleOf": 0}, {"uniqueItems": 1}, {"minItems": "1"}])
+def test_constraints_that_are_not_read_give_null(schema):
+    assert chat.verdict({"a": 1}, schema) is None
+
+
+def test_a_pattern_that_takes_too_long_gives_null(monkeypatch):
+    monkeypatch.setattr(chat, "PATTERN_SECONDS", 0.05)
+    assert chat.verdict("a" * 40 + "b", {"pattern": "^(a|aa)+$"}) is None
