@@ -15,7 +15,7 @@ from .functions import constraints, gram, linalg, steps
 from .functions.autodiff import Var, var
 from .operators import columns, moments, permutations, prep, relational, wide
 from .plans import embed, explain, linear, metrics, neural
-from .sources import tables
+from .sources import study, tables
 from .streaming import stateful, whitening
 
 
@@ -55,6 +55,23 @@ def _(spark, d):
     return got["t"].select("s_suppkey", "s_name", (F.col("s_acctbal") * float(got["scale"][0, 0])).alias("twice"))
 
 
+def _study(spark: SparkSession, d: str) -> str:
+    """A study in a new folder: what users did (``activity``, two thirds of them), how often (``counts``), and their highest value, which isn't a number for some."""
+    path, e = _scratch(spark, "study"), tables.load(spark, d, "events")
+    e.where("user_id % 3 <> 0").groupBy("user_id", "event_type").agg(F.avg("value").alias("v")).select(F.col("user_id").alias("sampleId"), F.col("event_type").alias("entrezGeneId"), F.col("v").alias("value")).write.csv(f"{path}/activity", header=True)
+    e.groupBy("user_id", "event_type").count().select(F.col("user_id").alias("sampleId"), F.col("event_type").alias("entrezGeneId"), F.col("count").alias("value")).write.csv(f"{path}/counts", header=True)
+    top = F.when(F.col("sampleId") % 5 == 0, F.lit("[Not Available]")).otherwise(F.col("m").cast("string"))
+    e.groupBy(F.col("user_id").alias("sampleId")).agg(F.max("value").alias("m")).select("sampleId", top.alias("months")).write.csv(f"{path}/clinical", header=True)
+    return path
+
+
+@query("study_views", "SELECT user_id AS sample, ROUND(MAX(value), 6) AS outcome, ROUND(COALESCE(AVG(value) FILTER (WHERE event_type = 'click'), 0), 6) AS activity_click, ROUND(COALESCE(AVG(value) FILTER (WHERE event_type = 'view'), 0), 6) AS activity_view, "
+       "CAST(COUNT(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS counts_error FROM events WHERE user_id % 3 <> 0 AND user_id % 5 <> 0 GROUP BY user_id HAVING MAX(value) IS NOT NULL")
+def _(spark, d):
+    out, _ = study.study_views(spark, _study(spark, d), {"activity": ["click", "view"], "counts": ["error"]}, "months", sample="sampleId", feature="entrezGeneId")
+    return out.select("sample", *_r(["outcome", "activity_click", "activity_view"]), F.col("counts_error").cast("double").alias("counts_error"))
+
+
 _HOLES = [[1.5, float("nan")], [float("nan"), -2.0], [0.0, 3.25]]
 
 
