@@ -58,22 +58,32 @@ def linear_footprint(spark: SparkSession, n: int = 1000, k: int = 3, widths: Seq
     return Case(df.withColumn("y", F.col("t_1") + F.lit(0.1) * normal(seed, place)), views, truth, bases, "linear_footprint")
 
 
+# How strongly the outcome moves the first component, and the curves of the published cases.
+OUTCOME, SQUARE, FREQUENCY, HALF, MIXED_FREQUENCY = 2.0, 0.4, 2.5, 0.5, 2.0
+
+
 def nonlinear_shared(spark: SparkSession, n: int = 1000, k: int = 3, widths: Sequence[int] = (100, 80, 60), noise: float = 0.5, seed: int = 42, regime: str = "mixed") -> Case:
-    """Views see the shared components through different curves: polynomial, sinusoidal, a mix by view, or straight."""
-    curves = {
-        "polynomial": [lambda x: x + 0.5 * x * x, lambda x: x - 0.3 * x * x * x, lambda x: x * x], "sinusoidal": [lambda x: F.sin(2.0 * x), lambda x: F.sin(x + 0.5), lambda x: F.sin(3.0 * x)],
-        "mixed": [lambda x: x, lambda x: F.tanh(x), lambda x: F.sin(2.0 * x)],
-    }.get(regime, [lambda x: x])
+    """Views see the shared components through curves: polynomial, sinusoidal, a mix by view (straight, squares, sines), or straight. The outcome moves the first component."""
     df, views, bases, place = _table(spark, n, k, seed), {}, [], 1000
+    df = df.withColumn("y", normal(seed, 900)).withColumn("t_1", F.col("t_1") + F.lit(OUTCOME) * F.col("y"))
     truth, rng = [f"t_{j + 1}" for j in range(k)], np.random.default_rng(seed)
     for m, p in enumerate(widths):
-        v = rng.standard_normal((p, k)) / math.sqrt(k)
+        v, w = rng.standard_normal((p, k)), rng.standard_normal((p, k))
+        straight = _project(truth, v)
+        if regime == "polynomial":
+            cells = [x + F.lit(SQUARE) * x * x for x in straight]
+        elif regime == "sinusoidal":
+            cells = [F.sin(F.lit(FREQUENCY) * x) for x in straight]
+        elif regime == "mixed" and m:
+            bent = [F.col(t) * F.col(t) if m == 1 else F.sin(F.lit(MIXED_FREQUENCY) * F.col(t)) for t in truth]
+            cells = [F.lit(HALF) * (x + sum((b * F.lit(float(c)) for b, c in zip(bent, row)), F.lit(0.0))) for x, row in zip(straight, w)]
+        else:
+            cells = straight
         views[f"view{m + 1}"] = [f"x{m + 1}_{i}" for i in range(p)]
-        curve = curves[m % len(curves)]
-        df = df.withColumns({c: curve(e) + F.lit(noise) * normal(seed, place + i) for i, (c, e) in enumerate(zip(views[f"view{m + 1}"], _project(truth, v)))})
+        df = df.withColumns({c: e + F.lit(noise) * normal(seed, place + i) for i, (c, e) in enumerate(zip(views[f"view{m + 1}"], cells))})
         place += p
         bases.append(v)
-    return Case(df.withColumn("y", sum((F.col(t) for t in truth), F.lit(0.0)) + F.lit(0.1) * normal(seed, place)), views, truth, bases, f"nonlinear_{regime}")
+    return Case(df, views, truth, bases, f"nonlinear_{regime}")
 
 
 def shared_plus_private(spark: SparkSession, n: int = 1000, k: int = 2, private: int = 2, widths: Sequence[int] = (100, 100), noise: float = 0.5, seed: int = 42) -> Case:
