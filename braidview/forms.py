@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,22 +73,22 @@ def _(spark, d):
     return out.select("sample", *_r(["outcome", "activity_click", "activity_view"]), F.col("counts_error").cast("double").alias("counts_error"))
 
 
-_HOLES = [[1.5, float("nan")], [float("nan"), -2.0], [0.0, 3.25]]
-
-
-@query("matrix_source", "SELECT * FROM (VALUES (0, CAST(1.5 AS DOUBLE), CAST(NULL AS DOUBLE)), (1, NULL, -2.0), (2, 0.0, 3.25)) AS t(row_id, x0, x1)")
+@query("matrix_source", "SELECT n_nationkey AS row_id, CASE WHEN n_nationkey % 3 <> 0 THEN a END AS x0, CASE WHEN n_nationkey % 2 = 0 THEN b END AS x1 FROM (SELECT n_nationkey, CAST(COUNT(c_custkey) AS DOUBLE) AS a, ROUND(COALESCE(SUM(c_acctbal), 0), 2) AS b FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey)")
 def _(spark, d):
-    return tables.from_matrix(spark, _HOLES)
-
+    c = tables.load(spark, d, "nation").join(tables.load(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    rows = c.groupBy("n_nationkey").agg(F.count("c_custkey").cast("double").alias("a"), F.round(F.coalesce(F.sum("c_acctbal"), F.lit(0.0)), 2).alias("b")).orderBy("n_nationkey").collect()
+    nan = float("nan")
+    return tables.from_matrix(spark, [[r["a"] if r["n_nationkey"] % 3 else nan, nan if r["n_nationkey"] % 2 else r["b"]] for r in rows])
 
-# -- columns -------------------------------------------------------------------------------------------------------------------------------------
 
-_NAMES = ["T1Hier_a_vol", "DTI_b", "x_mean_fa_c", "x_mean_md_d", "rsfMRI_e", "perf_cbf_f", "T1Hier_DTI_g", "unrelated"]
+_MARKED = ["T1Hier_a_vol", "DTI_b", "x_mean_fa_c", "x_mean_md_d", "rsfMRI_e", "perf_cbf_f", "T1Hier_DTI_g", "unrelated"]
 
 
-@query("assemble_views", "WITH n(name) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") " + " UNION ALL ".join(f"SELECT '{v}' AS view, name FROM n WHERE " + " OR ".join(f"contains(name, '{m}')" for m in ms) for v, ms in columns.VIEW_MARKS.items()))
+@query("assemble_views", "WITH n AS (SELECT [" + ", ".join(f"'{n}'" for n in _MARKED) + "][s_suppkey % 8 + 1] || '_' || s_suppkey AS name FROM supplier) " + " UNION ALL ".join(f"SELECT '{v}' AS view, name FROM n WHERE " + " OR ".join(f"contains(name, '{m}')" for m in ms) for v, ms in columns.VIEW_MARKS.items()))
 def _(spark, d):
-    return spark.createDataFrame([(v, n) for v, ns in columns.assemble_views(_NAMES).items() for n in ns], "view string, name string")
+    name = F.concat_ws("_", F.get(F.array(*[F.lit(n) for n in _MARKED]), (F.col("s_suppkey") % 8).cast("int")), F.col("s_suppkey").cast("string"))
+    names = [r[0] for r in tables.load(spark, d, "supplier").select(name).collect()]  # as names of columns
+    return spark.createDataFrame([(v, n) for v, ns in columns.assemble_views(names).items() for n in ns], "view string, name string")
 
 
 _IMAGING = ["T1w_thk_a", "T1w_SNR", "mtl_x", "mtl_mask", "cerebellum_y", "DTI_fa_left", "DTI_evr", "perf_cbf_b", "perf_area", "unrelated"]
@@ -452,19 +453,28 @@ def _(spark, d):
     return _one(spark, f=out["f"], partial_eta2=out["partial_eta2"]).select(F.round("f", 5).alias("f"), F.round("partial_eta2", 8).alias("partial_eta2"))
 
 
-_TWO = np.hstack([_basis(LO, 2), _basis(HI, 1)])
+#: Four columns of eight numbers, measured on the first dimensions of both halves of ``embeddings``: mean squares, means of either half's sizes, and covariances of neighbours.
+_MEASURED = [(f"AVG(e{i} * e{i})", f"AVG(ABS(e{i + 32}))", f"AVG(e{i + 32} * e{i + 32})", f"COVAR_POP(e{i}, e{(i + 1) % 8}) / (STDDEV_POP(e{i}) * STDDEV_POP(e{(i + 1) % 8}))") for i in LO]
+_V2 = f"x AS ({_sql_dims(_BOTH)}), v AS (" + " UNION ALL ".join(f"SELECT {i} AS i, {a} AS a, {b} AS b, {c} AS c, {w} AS w FROM x" for i, (a, b, c, w) in enumerate(_MEASURED)) + ")"
+
+
+def _measured(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    """The first three columns, and the last one."""
+    x = _dims(spark, d, _BOTH)
+    row = x.agg(*[F.expr(e).alias(f"m{i}_{j}") for i, four in enumerate(_MEASURED) for j, e in enumerate(four)]).first()
+    m = np.array([[row[f"m{i}_{j}"] for j in range(4)] for i in range(8)])
+    return m[:, :3], m[:, 3:]
 
 
-@query("basis_metrics", f"WITH v AS (SELECT * FROM {_values(_TWO, 'a, b, c')}), n AS (SELECT SUM(a * a) + SUM(b * b) AS n FROM v) SELECT ROUND(2 * POWER(SUM(a * b) / ANY_VALUE(n), 2), 8) AS orthogonality, ROUND(POWER(CORR(a, c), 2), 8) AS recovery FROM v, n")
+@query("basis_metrics", f"WITH {_V2}, n AS (SELECT SUM(a * a) + SUM(b * b) AS n FROM v) SELECT ROUND(2 * POWER(SUM(a * b) / ANY_VALUE(n), 2), 8) AS orthogonality, ROUND(POWER(CORR(a, c), 2), 8) AS recovery FROM v, n")
 def _(spark, d):
-    return _one(spark, orthogonality=metrics.basis_orthogonality([_TWO[:, :2]]), recovery=metrics.basis_recovery([_TWO[:, 2:]], [_TWO[:, :1]])).select(*_r(["orthogonality", "recovery"], 8))
+    m, _ = _measured(spark, d)
+    return _one(spark, orthogonality=metrics.basis_orthogonality([m[:, :2]]), recovery=metrics.basis_recovery([m[:, 2:]], [m[:, :1]])).select(*_r(["orthogonality", "recovery"], 8))
 
 
-# -- constraints and step rules on literal matrices -------------------------------------------------------------------------------------------------
+# -- constraints and step rules on measured matrices ------------------------------------------------------------------------------------------------
 
-_ONE = _basis(LO, 1)
-_W = np.round(np.cos(np.arange(8.0))[:, None], 6)
-_L = f"v AS (SELECT i, v, w FROM {_values(np.hstack([_ONE, _W]), 'v, w')})"
+_L = _V2.replace("v AS (", "m AS (", 1) + ", v AS (SELECT i, a AS v, w FROM m)"
 _NORM = "SQRT(SUM(v * v) OVER ())"
 
 
@@ -477,7 +487,8 @@ _NORM = "SQRT(SUM(v * v) OVER ())"
     "UNION ALL SELECT 'unit_rows', i, ROUND(v / (SQRT(v * v + w * w) + 1e-8), 8) FROM v UNION ALL SELECT 'l1', i, ROUND(v / SUM(ABS(v)) OVER (), 8) FROM v "
     "UNION ALL SELECT 'indicator', i, CASE WHEN ROW_NUMBER() OVER (ORDER BY ABS(v) DESC, i) = 1 THEN 1.0 ELSE 0.0 END FROM v")
 def _(spark, d):
-    v, w = _ONE, _W
+    m, w = _measured(spark, d)
+    v = m[:, :1]
     found = {
         "polar": linalg.polar(v), "newton_schulz": linalg.newton_schulz(v, 60, 1e-15), "partly": constraints.partly_orthonormal(v, 1), "nonnegative": constraints.orthonormal_nonnegative(v, tol=1e-14),
         "soft_positive": constraints.constrain(v, constraints.parse_constraint("none"), 0.3, "positive"), "hard": constraints.threshold_columns(v, 0.3, soft=False),
@@ -488,10 +499,17 @@ def _(spark, d):
     return spark.createDataFrame(rows, "rule string, i int, value double").select("rule", "i", (F.round("value", 8) + F.lit(0.0)).alias("value"))
 
 
-@query("parse_constraints", "SELECT * FROM (VALUES ('orthox0.1x1', 'ortho', CAST(0.1 AS DOUBLE), 1), ('Stiefel', 'Stiefel', 1.0, 1), ('noxne', 'no', 0.0, 1), ('Grassmannx2x7', 'Grassmann', 2.0, 7), ('', '', 0.0, 1)) AS t(text, kind, weight, iterations)")
+_TEXT = "CASE WHEN c_custkey % 5 = 0 THEN 'Stiefel' WHEN c_custkey % 5 = 1 THEN c_mktsegment || 'xnone' ELSE c_mktsegment || 'x' || (c_nationkey * 0.5) || 'x' || (c_custkey % 7) END"
+
+
+@query("parse_constraints", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Stiefel' ELSE c_mktsegment END AS kind, CAST(CASE WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 5 = 1 THEN 0 ELSE c_nationkey * 0.5 END AS DOUBLE) AS weight, CAST(CASE WHEN c_custkey % 5 < 2 THEN 1 ELSE c_custkey % 7 END AS INT) AS iterations FROM customer")
 def _(spark, d):
-    rows = [(t, c.kind, c.weight, c.iterations) for t in ("orthox0.1x1", "Stiefel", "noxne", "Grassmannx2x7", "") for c in [constraints.parse_constraint(t)]]
-    return spark.createDataFrame(rows, "text string, kind string, weight double, iterations int")
+    def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [constraints.parse_constraint(t) for t in f["text"]]
+            yield pd.DataFrame({"c_custkey": f["c_custkey"], "kind": [c.kind for c in found], "weight": [c.weight for c in found], "iterations": [c.iterations for c in found]})
+
+    return tables.load(spark, d, "customer").select("c_custkey", F.expr(_TEXT).alias("text")).mapInPandas(parsed, "c_custkey long, kind string, weight double, iterations int")
 
 
 _FIRST = {
@@ -506,27 +524,29 @@ _FIRST = {
 
 @query("step_rules_first_move", f"WITH {_L} " + " UNION ALL ".join(f"SELECT '{k}' AS rule, i, ROUND(v + {x}, 8) AS value FROM v" for k, x in _FIRST.items()))
 def _(spark, d):
-    rows = [(k, i, float(x)) for k in _FIRST for i, x in enumerate(steps.make_step(k)(0, _ONE, _W)[:, 0])]
+    m, w = _measured(spark, d)
+    rows = [(k, i, float(x)) for k in _FIRST for i, x in enumerate(steps.make_step(k)(0, m[:, :1], w)[:, 0])]
     return _table(spark, rows, "rule string, i int, value double", "value")
 
 
 @query("line_search_on_a_quadratic", f"WITH {_L} SELECT i, ROUND(w, 8) AS ahead, ROUND(w, 8) AS both FROM v")
 def _(spark, d):
+    m, w = _measured(spark, d)
+    v = m[:, :1]
     # half of twice the way to the minimum: a step of 1 ends as high as it began, one of 1/2 in the minimum
-    cost = lambda x: float(((x - _W) ** 2).sum())
-    g = 2.0 * (_W - _ONE)
-    step = steps.backtrack(_ONE, g, -float((g * g).sum()), cost)
-    other, way = steps.backtrack_both(_ONE, -g, float((g * g).sum()), cost)
-    return _table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip((_ONE + step * g)[:, 0], (_ONE + other * way)[:, 0]))], "i int, ahead double, both double", "ahead", "both")
+    cost = lambda x: float(((x - w) ** 2).sum())
+    g = 2.0 * (w - v)
+    step = steps.backtrack(v, g, -float((g * g).sum()), cost)
+    other, way = steps.backtrack_both(v, -g, float((g * g).sum()), cost)
+    return _table(spark, [(i, float(a), float(b)) for i, (a, b) in enumerate(zip((v + step * g)[:, 0], (v + other * way)[:, 0]))], "i int, ahead double, both double", "ahead", "both")
 
 
 @query("energy_prior", f"WITH {_L} SELECT ROUND(-0.5 * POWER(SUM(v * w), 2), 8) AS energy FROM v")
 def _(spark, d):
-    m = gram.Moments(np.eye(8), [0, 8], 10)
-    return _one(spark, energy=gram.energy(m, 0, _ONE, gram.only(m, 0, _ONE), "dat", _W.T, 0.5)).select(F.round("energy", 8).alias("energy"))
+    (three, w), m = _measured(spark, d), gram.Moments(np.eye(8), [0, 8], 10)
+    return _one(spark, energy=gram.energy(m, 0, three[:, :1], gram.only(m, 0, three[:, :1]), "dat", w.T, 0.5)).select(F.round("energy", 8).alias("energy"))
 
 
-_V2 = f"v AS (SELECT * FROM {_values(np.hstack([_TWO, _W]), 'a, b, c, w')})"
 _MOMENTS = "g AS (SELECT SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(b * b) AS bb, SUM(a * w) AS aw FROM v), s AS (SELECT *, SQRT((aa + bb) / 2 + SQRT(POWER((aa - bb) / 2, 2) + ab * ab)) AS s1, SQRT((aa + bb) / 2 - SQRT(POWER((aa - bb) / 2, 2) + ab * ab)) AS s2 FROM g)"
 
 
@@ -535,11 +555,12 @@ _MOMENTS = "g AS (SELECT SUM(a * a) AS aa, SUM(a * b) AS ab, SUM(b * b) AS bb, S
     "UNION ALL SELECT 'defect_gradient', i, ROUND(4 * b / SQRT(aa + bb) * ab / (aa + bb), 8) FROM v, s UNION ALL SELECT 'masked', i, ROUND(CASE WHEN ROW_NUMBER() OVER (ORDER BY ABS(a) DESC, i) = 1 THEN a ELSE 0 END, 8) FROM v "
     "UNION ALL SELECT 'largest_of_row', i, ROUND(CASE WHEN ABS(a) >= ABS(b) AND ABS(a) >= ABS(c) THEN a ELSE 0 END, 8) FROM v")
 def _(spark, d):
-    two, one = _TWO[:, :2], _TWO[:, :1]
+    three, w = _measured(spark, d)
+    two, one = three[:, :2], three[:, :1]
     found = {
-        "singular": linalg.svd(two)[1], "condition": [round(linalg.orthogonality_summary(two)["condition_number"], 6)], "smooth": linalg.smooth_regression(one, _W)["coefficients"].ravel(),
-        "whiten": np.abs(linalg.whiten(one)[:, 0]), "hat": linalg.hat_prediction(one, _W)[:, 0], "defect_gradient": linalg.orthogonality_defect_gradient(two)[:, 0],
-        "masked": constraints.masked_by_indicator(one)[:, 0], "largest_of_row": constraints.segment_by_rank(_TWO, 0.67, basic=True, sign="either")[:, 0],
+        "singular": linalg.svd(two)[1], "condition": [round(linalg.orthogonality_summary(two)["condition_number"], 6)], "smooth": linalg.smooth_regression(one, w)["coefficients"].ravel(),
+        "whiten": np.abs(linalg.whiten(one)[:, 0]), "hat": linalg.hat_prediction(one, w)[:, 0], "defect_gradient": linalg.orthogonality_defect_gradient(two)[:, 0],
+        "masked": constraints.masked_by_indicator(one)[:, 0], "largest_of_row": constraints.segment_by_rank(three, 0.67, basic=True, sign="either")[:, 0],
     }
     rows = [(k, i, float(x)) for k, m in found.items() for i, x in enumerate(m)]
     return spark.createDataFrame(rows, "rule string, i int, value double").select("rule", "i", (F.round("value", 8) + F.lit(0.0)).alias("value"))
@@ -547,19 +568,20 @@ def _(spark, d):
 
 @query("penalties", f"WITH {_V2} SELECT ROUND(GREATEST(0, 1 - SQRT(VAR_POP(a) + 1e-4)), 8) AS variance, ROUND(POWER(COVAR_SAMP(a, b), 2), 8) AS covariance, ROUND(POWER(COVAR_SAMP(a, w), 2), 8) AS crossed, ROUND(-ABS(COVAR_SAMP(a, w)), 8) AS acc, CAST(-SIGN(COVAR_SAMP(a, w)) AS DOUBLE) AS nc FROM v")
 def _(spark, d):
-    a, w = var(_TWO[:, :1]), var(_W)
+    three, w = _measured(spark, d)
+    a, w = var(three[:, :1]), var(w)
     found = {
-        "variance": neural.variance_penalty(a), "covariance": neural.covariance_penalty(var(_TWO[:, :2])), "crossed": neural.cross_penalty(a, w), "acc": neural.similarity(a, w, "acc"), "nc": neural.similarity(a, w, "nc"),
+        "variance": neural.variance_penalty(a), "covariance": neural.covariance_penalty(var(three[:, :2])), "crossed": neural.cross_penalty(a, w), "acc": neural.similarity(a, w, "acc"), "nc": neural.similarity(a, w, "nc"),
     }
     return _one(spark, **{k: float(np.asarray(x.x)) for k, x in found.items()}).select(*_r(list(found), 8))
 
 
 @query("neural_optimisers_first_move", f"WITH {_L}, g AS (SELECT i, v, w / GREATEST(1.0, SQRT(SUM(w * w) OVER ())) + 1e-4 * v AS g FROM v) SELECT 'sgd' AS rule, i, ROUND(v - 5e-4 * g, 10) AS value FROM g UNION ALL SELECT 'adam', i, ROUND(v - 5e-4 * g / (ABS(g) + 1e-8), 10) FROM g UNION ALL SELECT 'larslow', i, ROUND(v - 5e-4 * 1e-3 * SQRT(SUM(v * v) OVER ()) / (SQRT(SUM(g * g) OVER ()) + 1e-8) * g, 10) FROM g")
 def _(spark, d):
-    rows = []
+    (three, w), rows = _measured(spark, d), []
     for rule in ("sgd", "adam", "larslow"):
-        params = {"x": _ONE.copy()}
-        neural.Optimiser(neural.NeuralSpec(kind="lend", k=1, optimizer=rule)).step(params, {"x": _W.copy()}, 0)
+        params = {"x": three[:, :1].copy()}
+        neural.Optimiser(neural.NeuralSpec(kind="lend", k=1, optimizer=rule)).step(params, {"x": w.copy()}, 0)
         rows += [(rule, i, float(x)) for i, x in enumerate(params["x"][:, 0])]
     return _table(spark, rows, "rule string, i int, value double", "value", digits=10)
 
@@ -567,18 +589,21 @@ def _(spark, d):
 # -- neural parts ---------------------------------------------------------------------------------------------------------------------------------
 
 
-@query("projection_schedule", "SELECT CAST(e AS INT) AS epoch, CASE WHEN e < 12 THEN 0.0 ELSE LEAST(1.0, (e - 11) / 8.0) END AS alpha FROM range(0, 20) AS t(e)")
+@query("projection_schedule", "SELECT vec_id, CASE WHEN vec_id % 20 < 12 THEN 0.0 ELSE LEAST(1.0, (vec_id % 20 - 11) / 8.0) END AS alpha FROM embeddings")
 def _(spark, d):
     spec = neural.NeuralSpec(kind="lend", k=2, epochs=20, warmup=5, first_layer="scheduled")
-    return spark.createDataFrame([(e, neural.alpha_at(spec, e)) for e in range(20)], "epoch int, alpha double")
 
+    def at(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"vec_id": f["vec_id"], "alpha": [neural.alpha_at(spec, int(e) % 20) for e in f["vec_id"]]})
 
-_MAI = [0.9, 0.7, 0.2]
+    return tables.load(spark, d, "embeddings").select(F.col("vec_id").cast("long")).mapInPandas(at, "vec_id long, alpha double")
 
 
-@query("gating_weights", f"WITH m AS (SELECT * FROM {_values(np.array(_MAI)[:, None], 'm')}), e AS (SELECT e, 5 + 10 * LEAST(1.0, e / 30.0) AS s, GREATEST(0.0, LEAST(1.0, (e - 10) / 20.0)) AS rho FROM range(0, 41, 5) AS t(e)), r AS (SELECT CAST(e AS INT) AS epoch, CAST(i AS INT) AS view, rho, m / (1 + EXP(-s * (m - (SELECT AVG(m) FROM m)))) AS raw FROM m, e) SELECT epoch, view, ROUND((1 - rho) / 3 + rho * raw / (SUM(raw) OVER (PARTITION BY epoch) + 1e-8), 8) AS weight FROM r")
+@query("gating_weights", f"WITH x AS ({_sql_dims(_BOTH)}), m AS (" + " UNION ALL ".join(f"SELECT {i} AS i, ABS(CORR(e{i}, e{i + 32})) AS m FROM x" for i in range(3)) + "), e AS (SELECT e, 5 + 10 * LEAST(1.0, e / 30.0) AS s, GREATEST(0.0, LEAST(1.0, (e - 10) / 20.0)) AS rho FROM range(0, 41, 5) AS t(e)), r AS (SELECT CAST(e AS INT) AS epoch, CAST(i AS INT) AS view, rho, m / (1 + EXP(-s * (m - (SELECT AVG(m) FROM m)))) AS raw FROM m, e) SELECT epoch, view, ROUND((1 - rho) / 3 + rho * raw / (SUM(raw) OVER (PARTITION BY epoch) + 1e-8), 8) AS weight FROM r")
 def _(spark, d):
-    rows = [(e, i, float(x)) for e in range(0, 41, 5) for i, x in enumerate(neural.gate(np.array(_MAI), e))]
+    row = _dims(spark, d, _BOTH).agg(*[F.abs(F.corr(f"e{i}", f"e{i + 32}")).alias(f"m{i}") for i in range(3)]).first()
+    rows = [(e, i, float(x)) for e in range(0, 41, 5) for i, x in enumerate(neural.gate(np.array(list(row)), e))]
     return _table(spark, rows, "epoch int, view int, weight double", "weight")
 
 
