@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import checkpoint_folder
+from ..sources.scratch import drop_stored, stored  # noqa: F401
 
 #: White space of the word rules: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,24 +22,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage ends here."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete what :func:`stored` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two hashes with unlike seeds."""
     return [F.xxhash64(F.lit(11), text).alias("_k1"), F.xxhash64(F.lit(29), text).alias("_k2")]
