@@ -435,3 +435,35 @@ def test_ica_where_the_rows_are(case, monkeypatch):
     there = linear.fit(case.df, case.views, spec)
     for a, b in zip(here.scores[0].maps, there.scores[0].maps):
         assert np.allclose(a, b, rtol=1e-6, atol=1e-9 * np.abs(a).max())
+
+
+@pytest.mark.parametrize("mask", ["block", "alternate"])
+def test_flow_layers_are_single_nodes_with_right_gradients(mask):
+    """A flow is one node of the differentiator in either direction (one for every operation before), and its gradients are those of differences."""
+    rng, spec = np.random.default_rng(8), neural.NeuralSpec(kind="flow", k=2, flow_hidden=5, mask=mask)
+    p = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in neural.initial_parameters([5], spec).items()}
+    x, weight = rng.normal(size=(9, 5)), rng.normal(size=(9, 5))
+
+    def value(p, x):
+        held = {k: neural.var(v) for k, v in p.items()}
+        at = neural.var(x)
+        z, det = neural.flow_forward(held, 0, at, spec)
+        back = neural.flow_inverse(held, 0, z * 0.7, spec)
+        return (z * weight).sum() + (det * det).sum() + (back * back).sum(), held, at
+
+    total, held, at = value(p, x)
+    total.backward()
+    nodes, todo = set(), [total]
+    while todo:
+        v = todo.pop()
+        if id(v) not in nodes:
+            nodes.add(id(v))
+            todo += v.parents
+    assert len(nodes) < len(p) + 25
+    for k in (*rng.choice(sorted(p), 8, replace=False), None):
+        own = x if k is None else p[k]
+        place = tuple(int(rng.integers(0, n)) for n in own.shape)
+        step = np.zeros(own.shape)
+        step[place] = 1e-6
+        high, low = (float(value({**p, k: own + s} if k else p, x if k else own + s)[0].x) for s in (step, -step))
+        assert (held[k].g if k else at.g)[place] == pytest.approx((high - low) / 2e-6, rel=1e-5, abs=1e-6)
