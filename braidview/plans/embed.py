@@ -13,11 +13,17 @@ from ..functions.gram import Moments
 from ..functions.linalg import gram_svd, unit_columns
 from ..operators.columns import apply_bases, apply_bases_shortened, assemble_views, imaging_predictors, quality_rows, value, weighted_sum
 from ..operators.moments import correlation_adjacency
-from ..operators.prep import fit_scalings, impute_column_means, residualise, standardise_block
+from ..operators.prep import derived, fit_scalings, impute_column_means, residualise, standardise_block
+from ..sources.scratch import stored
 from .linear import Fit, Spec, fit
 from .neural import NeuralFit, NeuralSpec, fit_neural
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Rows that come out of joins or groupings, written once: each of the passes that follow would work them out again."""
+    return stored(df, "embed") if derived(df) else df
+
+
 def embed_table(
     df: DataFrame, spec: Spec | NeuralSpec, views: Mapping[str, Sequence[str]] | None = None, grade: str | None = "T1Hier_resnetGrade", least_grade: float = 1.02, mask: Column | None = None,
     covariates: str | Sequence[str] | None = None, asymmetry: bool = True,
@@ -32,7 +38,7 @@ def embed_table(
         raise ValueError("no column belongs to any view")
     rows = quality_rows(df, grade, least_grade, mask) if grade and grade in df.columns else df if mask is None else df.where(mask)
     names = [c for cs in views.values() for c in cs]
-    rows = impute_column_means(rows, names)
+    rows = impute_column_means(_settled(rows), names)
     if covariates:
         for cs in views.values():
             rows = residualise(rows, list(cs), covariates)
@@ -77,7 +83,7 @@ def extend_embedding(
     taken = [v for v in new_views if v in bases]
     if missing or taken:
         raise ValueError(f"missing columns {missing}; views that exist already {taken}")
-    rows, scored = apply_bases_shortened(df, bases, features)
+    rows, scored = apply_bases_shortened(_settled(df), bases, features)
     if not scored:
         raise ValueError("no feature of the embedding is in the table")
     blocks: dict[str, list[str]] = {}

@@ -467,3 +467,22 @@ def test_flow_layers_are_single_nodes_with_right_gradients(mask):
         step[place] = 1e-6
         high, low = (float(value({**p, k: own + s} if k else p, x if k else own + s)[0].x) for s in (step, -step))
         assert (held[k].g if k else at.g)[place] == pytest.approx((high - low) / 2e-6, rel=1e-5, abs=1e-6)
+
+
+def test_embedding_works_out_its_rows_once(spark):
+    """Every pass read the joins and groupings anew before."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=5))) for i in range(60)], "id long, a double, b double, c double, d double, age double").mapInPandas(counted, "id long, a double, b double, c double, d double, age double")
+    for make in (
+        lambda: linear.add_scores(*embed.embed_table(rows, linear.Spec(k=1, iterations=2), {"x": ["a", "b"], "y": ["c", "d"]}, covariates="age")[::-1]),
+        lambda: embed.extend_embedding(rows, {"x": np.eye(2)}, {"x": ["a", "b"]}, {"y": ["c", "d"]})[0],
+    ):
+        before = seen.value
+        assert make().count() == 60 and seen.value - before == 60
