@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import checkpoint_folder
 
-#: Rows of a block side, which decides how often a row travels; rows whose distances to a block are held at once.
-BLOCK_ROWS, SLICE_ROWS = 16_384, 512
+#: Rows of a block side, which decides how often a row travels; distances that are held at once; rows whose cells are looked for at once.
+BLOCK_ROWS, SLICE_CELLS, SLICE_ROWS = 16_384, 1 << 20, 1_024
 #: Cells around pivots, at most: what every task knows of the other side.
 MOST_CELLS = 1_000
 
@@ -29,25 +29,58 @@ def _packed(df: DataFrame, key: str, columns: Sequence[str], blocks: int, name:
 EDGES = "i long, j long, d double"
 
 
+def _nearest_of(i: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, bound: np.ndarray | None = None) -> pa.Table:
+    """The ``k`` rows of ``y`` nearest to every row of ``x``, ties by id, and only those within the row's ``bound``."""
+    first = np.argsort(ids, kind="stable")
+    ids, y = ids[first], y[first]
+    sizes, keep, found = (y**2).sum(axis=1), min(k + 8, len(ids)), []
+    step = max(1, SLICE_CELLS // max(len(ids), 1))
+    for a in range(0, len(x), step):
+        z = x[a : a + step]
+        own, at = (z**2).sum(axis=1), np.arange(len(z))[:, None]
+        if keep < len(ids):
+            square = z @ y.T
+            square *= -2.0
+            square += sizes
+            near = np.argpartition(square, keep - 1, axis=1)[:, :keep]
+            last = square[at, near].max(axis=1) + own
+        else:
+            near, last = np.tile(np.arange(len(ids)), (len(z), 1)), None
+        exact = np.sqrt(((z[:, None, :] - y[near]) ** 2).sum(axis=2))  # products lose digits where rows are close
+        order = np.lexsort((ids[near], exact), axis=1)[:, :k]
+        j, d = ids[near[at, order]], exact[at, order]
+        # where rows that were left out may be as near as the last of the k, as among many copies, all rows that near are compared
+        for r in () if last is None else np.flatnonzero(last <= d[:, -1] ** 2 + 1e-9 * (1.0 + own + sizes.max())):
+            all_d = np.sqrt(((z[r] - y) ** 2).sum(axis=1))
+            close = np.flatnonzero(all_d <= d[r, -1])
+            close = close[np.lexsort((ids[close], all_d[close]))[:k]]
+            j[r], d[r] = ids[close], all_d[close]
+        rows = np.repeat(i[a : a + step], j.shape[1])
+        j, d = j.ravel(), d.ravel()
+        if bound is not None:
+            within = d <= np.repeat(bound[a : a + step], len(d) // max(len(z), 1))
+            rows, j, d = rows[within], j[within], d[within]
+        found.append((rows, j, d))
+    return _edges(found)
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    i, j, d = zip(*found) if found else ((), (), ())
+    return pa.table({"i": np.concatenate([np.zeros(0, np.int64), *i]), "j": np.concatenate([np.zeros(0, np.int64), *j]), "d": np.concatenate([np.zeros(0), *d])})
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _best(k: int):
     """The ``k`` rows of one block nearest to every row of another."""
 
-    def best(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        if own.empty or other.empty:
-            return pd.DataFrame({"i": pd.Series(dtype="int64"), "j": pd.Series(dtype="int64"), "d": pd.Series(dtype="float64")})
-        other = other.sort_values("id2", kind="stable")
-        x, y = np.stack(own["x"].to_list()), np.stack(other["x2"].to_list())
-        i, ids, sizes = own["id"].to_numpy(), other["id2"].to_numpy(), (y**2).sum(axis=1)
-        keep, found = min(k + 8, len(ids)), []
-        for first in range(0, len(x), SLICE_ROWS):
-            z = x[first : first + SLICE_ROWS]
-            square = ((z**2).sum(axis=1)[:, None] + sizes - 2.0 * z @ y.T).clip(min=0.0)
-            near = np.argpartition(square, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(z), 1))
-            exact = np.sqrt(((z[:, None, :] - y[near]) ** 2).sum(axis=2))  # products lose digits where rows are close
-            order = np.lexsort((ids[near], exact), axis=1)[:, :k]
-            at = np.arange(len(z))[:, None]
-            found.append((np.repeat(i[first : first + SLICE_ROWS], order.shape[1]), ids[near[at, order]].ravel(), exact[at, order].ravel()))
-        return pd.DataFrame({name: np.concatenate(c) for name, c in zip("ijd", zip(*found))})
+    def best(own: pa.Table, other: pa.Table) -> pa.Table:
+        if not own.num_rows or not other.num_rows:
+            return _edges([])
+        return _nearest_of(own.column("id").to_numpy(), _matrix(own.column("x")), other.column("id2").to_numpy(), _matrix(other.column("x2")), k)
 
     return best
 
@@ -68,7 +101,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str],
     a = _packed(left, key, columns, m, "a").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "x", "a", "b")
     b = _packed(right, key, columns, n, "b2").withColumn("a2", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("id").alias("id2"), F.col("x").alias("x2"), "a2", "b2")
 
-    parts = a.groupBy("a", "b").cogroup(b.groupBy("a2", "b2")).applyInPandas(_best(k), EDGES)
+    parts = a.groupBy("a", "b").cogroup(b.groupBy("a2", "b2")).applyInArrow(_best(k), EDGES)
     out = _first(parts, k)
     return out if sigma is None else out.withColumn("d", F.exp(-F.col("d") * F.col("d") / F.lit(2.0 * sigma**2)))
 
@@ -108,10 +141,6 @@ class Cells:
         return self.distances(self.pivots)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
 def _cells(rows: DataFrame, n: int, cell_rows: int) -> tuple[Cells, DataFrame]:
     """Cells of ``rows`` (``id x``), and the rows with ``cell`` and ``sub``, their part of a cell of more than ``cell_rows`` rows."""
     wanted = min(MOST_CELLS, max(1, math.ceil(n / cell_rows)))
@@ -133,18 +162,37 @@ def _cells(rows: DataFrame, n: int, cell_rows: int) -> tuple[Cells, DataFrame]:
     return Cells(pivots, count, low, high), dealt.select("id", "x", "cell", F.pmod(F.xxhash64("id"), F.get(subs, F.col("cell"))).cast("int").alias("sub"))
 
 
-def _meet(visits: DataFrame, cells: DataFrame, k: int, cell_rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """``i j d``: for every visit (``id x cell``) the ``k`` nearest of each part of the cell; and the number of visits by cell.
+VISITS = "cell int, rows int, salt long, id binary, x binary, bound binary"
+
+
+def _visits(ids: np.ndarray, x: np.ndarray, bound: np.ndarray, row: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """A record for every cell, with all of these rows that visit it; ``cell`` is sorted."""
+    names, first = np.unique(cell, return_index=True)
+    parts = np.split(row, first[1:]) if len(first) else []
+    packed = lambda a: pa.array([np.ascontiguousarray(a[p]).tobytes() for p in parts], pa.binary())
+    salt = pa.array([int(ids[p[0]]) for p in parts], pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([len(p) for p in parts], pa.int32()), salt, packed(ids), packed(x), packed(bound)], names=["cell", "rows", "salt", "id", "x", "bound"])
 
-    Visitors of a cell come in shares of about ``cell_rows``, and the cell's rows travel to each share: a cell that everyone visits is many groups.
+
+def _meet(visits: DataFrame, cells: DataFrame, k: int) -> tuple[DataFrame, dict[int, int]]:
+    """``i j d``: for every visit (``VISITS``) the ``k`` nearest of each part of the cell, within the visitor's bound; and the number of visits by cell.
+
+    Visitors of a cell come in shares of about ``BLOCK_ROWS``, and the cell's rows travel to each share: a cell that everyone visits is many groups.
     """
-    many = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
-    shares = F.array(*[F.lit(math.ceil(many.get(c, 0) / cell_rows)) for c in range(max(many, default=-1) + 1)])
+    many = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.sum("rows").alias("n")).collect()}
+    shares = F.array(*[F.lit(math.ceil(many.get(c, 0) / BLOCK_ROWS)) for c in range(max(many, default=-1) + 1)])
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     parts = cells.groupBy("cell").agg((F.max("sub") + 1).alias("subs"))
-    a = visits.join(F.broadcast(parts), "cell").select("id", "x", "cell", F.pmod(F.xxhash64("id", F.lit(7)), F.get(shares, F.col("cell"))).cast("int").alias("share"), spread(F.col("subs")).alias("sub"))
+    a = visits.join(F.broadcast(parts), "cell").select("id", "x", "bound", "cell", F.pmod(F.xxhash64("salt", F.lit(7)), F.get(shares, F.col("cell"))).cast("int").alias("share"), spread(F.col("subs")).alias("sub"))
     b = cells.where(F.get(shares, F.col("cell")) > 0).select(F.col("id").alias("id2"), F.col("x").alias("x2"), "cell", "sub", spread(F.get(shares, F.col("cell"))).alias("share"))
-    return a.groupBy("cell", "sub", "share").cogroup(b.groupBy("cell", "sub", "share")).applyInPandas(_best(k), EDGES), many
+
+    def best(own: pa.Table, other: pa.Table) -> pa.Table:
+        if not own.num_rows or not other.num_rows:
+            return _edges([])
+        ids, x, bound = (np.frombuffer(b"".join(own.column(c).to_pylist()), t) for c, t in (("id", np.int64), ("x", float), ("bound", float)))
+        return _nearest_of(ids, x.reshape(len(ids), -1), other.column("id2").to_numpy(), _matrix(other.column("x2")), k, bound)
+
+    return a.groupBy("cell", "sub", "share").cogroup(b.groupBy("cell", "sub", "share")).applyInArrow(best, EDGES), many
 
 
 def nearest_by_cells(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], k: int, sigma: float | None = None, cell_rows: int = BLOCK_ROWS) -> tuple[DataFrame, float]:
@@ -160,26 +208,31 @@ def nearest_by_cells(left: DataFrame, right: DataFrame, key: str, columns: Seque
     own, other = (_packed(df, key, columns, 1, "_").drop("_") for df in (left, right))
     known, cells = _cells(other, n, cell_rows)
 
-    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known.home(known.distances(_matrix(b.column(1))), k), pa.int32())], names=["id", "x", "cell"])
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                part = b.slice(at, SLICE_ROWS)
+                yield part.column(0).to_numpy(), _matrix(part.column(1)), part
+
+    def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x, _ in slices(batches):
+            cell = known.home(known.distances(x), k)
+            row = np.argsort(cell, kind="stable")
+            yield _visits(ids, x, np.full(len(ids), np.inf), row, cell[row])
 
     def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                d = known.distances(_matrix(b.column(1)))
-                go = known.least(d) <= b.column(2).to_numpy(zero_copy_only=False)[:, None]
-                go[np.arange(len(d)), known.home(d, k)] = False
-                row, cell = np.nonzero(go)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell, pa.int32())], names=["id", "x", "cell"])
-
-    visit = "id long, x array<double>, cell int"
-    first, home = _meet(own.mapInArrow(at_home, visit), cells, k, cell_rows)
+        for ids, x, part in slices(batches):
+            d, bound = known.distances(x), part.column(2).to_numpy(zero_copy_only=False)
+            go = known.least(d) <= bound[:, None]
+            go[np.arange(len(d)), known.home(d, k)] = False
+            cell, row = np.nonzero(go.T)
+            yield _visits(ids, x, bound, row, cell)
+
+    first, home = _meet(own.mapInArrow(at_home, VISITS), cells, k)
     first = _first(first, k).checkpoint()  # the second step reads it twice
     bound = first.groupBy("i").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(math.inf)).alias("bound"))
     asked = own.join(bound, F.col("id") == F.col("i")).select("id", "x", "bound")
-    second, away = _meet(asked.mapInArrow(abroad, visit), cells, k, cell_rows)
+    second, away = _meet(asked.mapInArrow(abroad, VISITS), cells, k)
     seen = sum(known.count[c] * v for many in (home, away) for c, v in many.items())
     out = _first(first.unionByName(second), k)
     return out if sigma is None else out.withColumn("d", F.exp(-F.col("d") * F.col("d") / F.lit(2.0 * sigma**2))), float(seen / (n * m))

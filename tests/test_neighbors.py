@@ -57,3 +57,23 @@ def test_few_rows_and_none(spark):
     assert neighbors.nearest_by_cells(df, df.limit(0), "row_id", ["x0", "x1"], 2)[0].collect() == []
     kernel, _ = neighbors.nearest_by_cells(df, df, "row_id", ["x0", "x1"], 1, sigma=1.0)
     assert [r["d"] for r in kernel.collect()] == [1.0, 1.0, 1.0]
+
+
+def test_copies_are_taken_by_id_and_few_distances_are_held():
+    """Of more copies than candidates any could be taken before, and distances of 512 rows were held with three copies of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    y = np.vstack([np.ones((60, 2)), rng.normal(size=(16_000, 2)) * 30])
+    ids = rng.permutation(len(y))
+    x = np.vstack([np.ones((3, 2)), rng.normal(size=(600, 2)) * 30])
+    tracemalloc.start()
+    got = neighbors._nearest_of(np.arange(len(x)), x, ids, y, 4).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+    for r in (0, 1, 2):
+        assert got[got["i"] == r]["j"].tolist() == sorted(ids[:60].tolist())[:4]
+    for r in (3, 100, 602):
+        d = np.sqrt(((x[r] - y) ** 2).sum(axis=1))
+        assert got[got["i"] == r]["j"].tolist() == ids[np.lexsort((ids, d))[:4]].tolist()
