@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import drop_stored, stored  # noqa: F401
+from ..sources.scratch import checkpoint_folder, drop_stored, stored  # noqa: F401
 
 #: White space of the word rules: space, \t, \n, \v, \f, \r.
 SPACE = r"[\x20\x09-\x0D]+"
