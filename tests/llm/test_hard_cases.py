@@ -236,6 +236,21 @@ def test_quality_scores_and_verdicts(spark, sf_dir):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= where)
 
 
+def test_quality_scores_of_repeats(spark):
+    """Trusted texts whose words fall into the first and the last bucket, once, in runs and between others."""
+    import xxhash
+
+    at = {}
+    for i in range(400_000):
+        at.setdefault(xxhash.xxh64_intdigest(f"w{i}".encode(), seed=42) % quality.BUCKETS, f"w{i}")
+    first, last = at[0], at[quality.BUCKETS - 1]
+    docs = [(1, first), (2, f"{first} {first}"), (3, f"{first} x {first} y {first} {last}"), (4, f"{last} {last} {last} x"), (5, f"{last} {first}"), (6, "x y x y x y"), (7, "other words"), (8, f"{first} {first} x"), (9, None)]
+    labels = [(i, int(i < 7)) for i in range(1, 9)]
+    want, _ = scores_by_hand(docs, labels)
+    got = quality.query(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(*x, 0) for x in labels], "doc_id long, quality int, toxic int"))
+    assert [r["score"] for r in got.orderBy("doc_id").collect()] == pytest.approx(want, abs=1e-9)
+
+
 def test_quality_runs_no_python(spark):
     labels = spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame(ODD, SCHEMA)

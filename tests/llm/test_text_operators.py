@@ -179,6 +179,23 @@ def test_quality_without_labels(odd, spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.query(odd, labels).collect())
 
 
+def test_quality_works_out_windows_and_scores_once(spark):
+    """Repeats of every kind by brute force; windows come from the pairs' hashes, and what is returned reads scores, not buckets."""
+    rng = random.Random(11)
+    texts = ["x y " * 30, "x " * 40, "a b c d e f g h " * 2, "a b c d e f g " * 2 + "z", "p q r s " + "a b c d e f g h " * 3 + "p q r s", "one two three four five six seven"]
+    for _ in range(60):
+        words = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))]
+        at, size = rng.randrange(len(words) + 1), rng.randint(4, 12)
+        texts.append(rng.choice([" ", "\n", " \t "]).join(words + words[at : at + size] + words[:size]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    out = quality.query(docs, labels)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert rows(out, *names) == sorted(((i, *measures_by_hand(t)) for i, t in enumerate(texts)), key=repr)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan(out) and "_b#" not in plan(out) and "sequence(" not in plan(quality.measures(docs, "doc_id"))
+
+
 # -- op6 ----------------------------------------------------------------------
 
 
