@@ -486,3 +486,75 @@ def test_embedding_works_out_its_rows_once(spark):
     ):
         before = seen.value
         assert make().count() == 60 and seen.value - before == 60
+
+
+PACKED = [{"kind": "lend", "quantile": 0.3}, {"kind": "flow_v", "sign": "any"}, {"kind": "flow"}, {"kind": "flow", "mask": "alternate", "k": 3, "flow_layers": 3}, {"kind": "flow_v"}, {"kind": "flow_v", "topology": "graph", "graph": {}, "mixer": "avg"}, {"kind": "lend"}, {"kind": "lend", "topology": "star", "mixer": "avg", "k": 1, "dropout": 0.0}]
+
+
+@pytest.mark.parametrize("kw", PACKED)
+def test_packed_steps_are_the_differentiators(kw):
+    from braidview.plans import packed
+
+    spec = neural.NeuralSpec(**({"k": 2, "hidden": (7, 5), "flow_hidden": 6} | kw))
+    rng = np.random.default_rng(8)
+    xs = [rng.normal(size=(40, 4)) for _ in range(3)]
+    params = {k: v + 0.1 * rng.normal(size=v.shape) for k, v in neural.initial_parameters([4] * 3, spec).items()}
+    both = packed.Packed([4] * 3, spec)
+    flat = both.pack(params)
+    assert packed.fits([4] * 3, spec) and flat.size == sum(v.size for v in params.values())
+    assert all((v == params[k]).all() for k, v in both.unpack(flat).items()) and set(both.unpack(flat)) == set(params)
+    for epoch, n in ((0, 40), (30, 33), (149, 2), (149, 40)):
+        value, grads, _ = neural.gradients(params, [x[:n] for x in xs], spec, epoch, None, np.random.default_rng(5))
+        got, own = both.gradients(flat, np.hstack(xs)[:n], epoch, np.random.default_rng(5))
+        assert got == pytest.approx(value, rel=1e-12)
+        assert all(np.allclose(g, grads[k], rtol=1e-8, atol=1e-10) for k, g in both.unpack(own).items())
+    assert not np.isfinite(both.gradients(flat, np.full((5, 12), np.nan), 0, rng)[0])
+    assert not any(packed.fits(w, neural.NeuralSpec(**{"kind": "flow", "k": 2} | k)) for w, k in (([4, 3], {}), ([3, 3], {}), ([4, 4], {"mixer": "svd"}), ([4, 4], {"dynamic": True}), ([4, 4], {"energy": "acc"}), ([4, 4], {"kind": "ned"})))
+
+
+@pytest.mark.parametrize("kind", ["flow", "flow_v", "lend"])
+def test_training_takes_packed_steps(kind, monkeypatch):
+    """Models of the registered shape train without the differentiator, and get the parameters that it gives."""
+    rng = np.random.default_rng(9)
+    shared = rng.normal(size=(130, 2))
+    xs = [shared @ rng.normal(size=(2, 4)) + 0.1 * rng.normal(size=(130, 4)) for _ in range(2)]
+    spec = neural.NeuralSpec(kind=kind, k=2, epochs=12, batch=43, warmup=2, hidden=(6, 4), flow_hidden=6, rate=5e-3)
+    plain = neural.gradients
+    monkeypatch.setattr(neural, "gradients", lambda *a, **k: pytest.fail("a step by nodes"))
+    found = neural.train_arrays(xs, spec)
+    monkeypatch.setattr(neural, "gradients", plain)
+    monkeypatch.setattr(neural, "fits", lambda *a: False)
+    want = neural.train_arrays(xs, spec)
+    assert np.allclose(found[1], want[1], rtol=1e-9) and set(found[0]) == set(want[0])
+    assert all(np.allclose(v, want[0][k], rtol=0, atol=1e-9) for k, v in found[0].items())
+
+
+@pytest.mark.parametrize("kind", ["flow", "lend", "ned_private"])
+def test_the_first_task_takes_steps_of_small_batches(case, kind, monkeypatch):
+    """Rows are sent to it in the order of the epoch; steps that all tasks take together lead to the same parameters."""
+    views = {v: cs[:4] for v, cs in case.views.items()}
+    spec = neural.NeuralSpec(kind=kind, k=2, epochs=5, batch=50, warmup=2, hidden=(6, 4), flow_hidden=6, rate=5e-3)
+    led = neural.fit_neural(case.df, views, spec, tasks=3)
+    alone = neural.fit_neural(case.df, views, spec, tasks=1)
+    monkeypatch.setattr(neural, "LED_ROWS", 0)
+    together = neural.fit_neural(case.df, views, spec, tasks=3)
+    assert all((v == alone.params[k]).all() and np.allclose(v, together.params[k], rtol=0, atol=1e-8) for k, v in led.params.items())
+
+
+def test_rows_are_sent_in_order(monkeypatch):
+    """Three tasks' rows reach the first one chunk by chunk in the order of their keys."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(exchange, "CHUNK_ROWS", 20)
+    keys = [neural.epoch_keys(np.arange(a, 90, 3), 0, 1) for a in range(3)]
+    rows = [np.arange(a, 90.0, 3)[:, None] for a in range(3)]
+    sent = [[], [], []]
+    for r in (1, 2):
+        assert list(exchange.rows_in_order(SimpleNamespace(collect=sent[r].append), keys[r], rows[r], 90)) == []
+    ready = iter(zip(sent[1], sent[2]))
+    got = list(exchange.rows_in_order(SimpleNamespace(collect=lambda x: [x, *next(ready)]), keys[0], rows[0], 90))
+    assert len(got) == 5 and sorted(np.vstack(got)[:, 0]) == list(range(90))
+    place = np.empty(90, dtype=np.int64)
+    for k, x in zip(keys, rows):
+        place[x[:, 0].astype(int)] = k
+    assert (np.diff(place[np.vstack(got)[:, 0].astype(int)]) > 0).all()
